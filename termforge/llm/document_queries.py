@@ -27,10 +27,10 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return leak_report(p8_leaks(spark, folder).withColumnRenamed("item_id", "item")).withColumnRenamed("item", "item_id")
 
 
-_RUNS = r"""doc_words as (select doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), x -> lower(x)) as w from documents where text is not null),
-item_words as (select item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), x -> lower(x)) as w from benchmark where text is not null),
-doc_runs as (select doc_id, unnest(list_transform(range(1, len(w) - 10), i -> hash(array_to_string(w[i:i + 11], ' ')))) as run from doc_words where len(w) >= 12),
-item_runs as (select item_id, unnest(list_transform(range(1, len(w) - 10), i -> hash(array_to_string(w[i:i + 11], ' ')))) as run from item_words where len(w) >= 12)"""
+_RUNS = r"""doc_words as (select doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from documents where text is not null),
+item_words as (select item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from benchmark where text is not null),
+doc_runs as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: hash(array_to_string(w[i:i + 11], ' ')))) as run from doc_words where len(w) >= 12),
+item_runs as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: hash(array_to_string(w[i:i + 11], ' ')))) as run from item_words where len(w) >= 12)"""
 
 QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items}
 ORACLE = {"p8_found": f"with {_RUNS} select distinct doc_id, item_id from doc_runs join item_runs using (run)"}

@@ -38,7 +38,7 @@ def p5_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """The three best terms of each record by the saturating, length-normalised weight."""
     text = distinctive_terms(bodies(spark, folder), "docid", "body", Weighting(), top=3)
     values = distinctive_values(schema_names(spark, folder), Weighting(), top=3)
-    return _field("body", text).unionByName(_field("feature_name", values)).select("field_name", F.col("record").alias("record_id"), F.col("place").cast("bigint").alias("place"), "term", F.round("score", 4).alias("score"))
+    return _field("body", text).unionByName(_field("feature_name", values)).select("field_name", F.col("record").alias("record_id"), F.col("place").cast("bigint").alias("place"), "term")
 
 
 def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +76,7 @@ totals as (select field_name, count(*) as total, avg(length) as average from len
 dfs as (select field_name, term, count(*) as df from terms group by all),
 scored as (select t.field_name, t.record, t.term, round(ln(1 + (total - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / average)), 6) as score
   from terms t join dfs using (field_name, term) join totals using (field_name) join lengths using (field_name, record) where df >= 2)
-select field_name, record as record_id, place, term, round(score, 4) as score from (select *, row_number() over (partition by field_name, record order by score desc, term) as place
+select field_name, record as record_id, place, term from (select *, row_number() over (partition by field_name, record order by score desc, term) as place
   from scored where score > 0) where place <= 3""",
     "p6_counts": f"""with {_BODY}, {_MODEL},
 terms as (select 'body' as field_name, * from body_terms union all select 'feature_name', * from name_terms),
