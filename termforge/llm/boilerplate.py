@@ -180,14 +180,15 @@ def _is_prose(line: str) -> bool:
     return bool(_INNER_END.search(bare)) or len(bare) > 40 and bool(_SENTENCE_END.search(bare)) or len(bare.split()) > 11 or "。" in bare
 
 
-def furniture(body: str | None, title: str | None = None) -> list[int]:
+def furniture(body: str | None, title: str | None = None, mended: bool = False) -> list[int]:
     """Numbers, from 1, of the lines that are page furniture; lines are split at newlines, blank ones are never listed.
 
-    A line equal to ``title``, if known, ends a list of teasers before the article.
+    A line equal to ``title``, if known, ends a list of teasers before the article. Lines are read with wrong encodings
+    mended, unless the body is ``mended`` already.
     """
     if not body or not body.strip():
         return []
-    if not body.isascii() and is_garbled(body):
+    if not mended and not body.isascii() and is_garbled(body):
         again = restore(body)
         body = again if again.count("\n") == body.count("\n") else body
     numbers, lines = [], []
@@ -237,11 +238,11 @@ def furniture(body: str | None, title: str | None = None) -> list[int]:
     return [number for number, o in zip(numbers, out) if o]
 
 
-def article(body: str | None, title: str | None = None) -> str | None:
+def article(body: str | None, title: str | None = None, mended: bool = False) -> str | None:
     """The body without its furniture; null stays null."""
     if body is None:
         return None
-    gone = set(furniture(body, title))
+    gone = set(furniture(body, title, mended))
     return "\n".join(x for i, x in enumerate(body.split("\n"), 1) if i not in gone)
 
 

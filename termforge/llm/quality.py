@@ -44,37 +44,36 @@ MEASURES = {
     "doc_terminal_line_ratio": f"size(filter(l, x -> contains('{_TERMINAL}', right(x, 1)))) / nullif(size(l), 0)",
     "doc_common_word_ratio": f"size(filter(w, x -> array_contains({_COMMON}, x))) / nullif(size(w), 0)",
 }
-#: What the rules may ask, over ``t``, its words ``w``, its non-blank lines ``l`` (without blanks around) and its sentences ``s``.
+#: What the rules may ask, over ``t``, its words ``w``, the distinct ones ``d``, its non-blank lines ``l`` (without blanks around) and its sentences ``s``.
 STATISTICS = {
     "chars": "length(t)",
     "words": "size(w)",
     "lines": "size(l)",
-    "word_length": "length(array_join(w, '')) / size(w)",
+    "word_chars": "length(t) / size(w)",
     "line_words": "size(w) / size(l)",
     "words_per_end": r"size(w) / (regexp_count(t, '[\\p{L}\\p{N}]{2}[)”\"’»]*[.!?。](?=[\\s”\"’»)]|$|[^\\x00-\\x7F])') + 0.5)",
     "terminal_lines": f"size(filter(l, x -> contains('{_TERMINAL}', right(x, 1)))) / size(l)",
     "bullet_lines": r"size(filter(l, x -> rlike(x, '^(?:[-*•–·›]|\\[[ xX]?\\]|\\d{1,3}[.)]|[a-z]\\))\\s'))) / size(l)",
     "distinct_lines": "size(array_distinct(l)) / size(l)",
-    "distinct_words": "size(array_distinct(w)) / size(w)",
+    "distinct_words": "size(d) / size(w)",
     "distinct_sentences": "size(array_distinct(s)) / size(s)",
-    "common_words": f"size(array_intersect(w, {_COMMON})) / size(array_distinct(w))",
+    "common_words": f"size(array_intersect(d, {_COMMON})) / size(d)",
     "symbols": r"length(regexp_replace(t, '[\\p{L}\\p{N}\\s.,;:!?\'’“”\"()–-]+', '')) / length(t)",
-    "digits": "(length(t) - length(translate(t, '0123456789', ''))) / length(t)",
-    "vowels": "(length(t) - length(translate(lower(t), 'aeiouyàâäáãåéèêëíîïóôöõúùûüąęаеёиоуыэюя', ''))) / length(t)",
-    "separators": r"(length(t) - length(translate(t, '\t|;{}=', ''))) / size(l)",
-    "columns": r"regexp_count(t, '\\S {2,}(?=\\S)') / size(l)",
-    "commas": "(length(t) - length(translate(t, ',', ''))) / size(w)",
-    "turned_ends": r"regexp_count(t, '(?:^|\\s)[.,!?][\\p{L}”]') / size(w)",
-    "short_words": "size(filter(w, x -> length(x) <= 2)) / size(w)",
-    "odd_neighbours": r"regexp_count(lower(t), '\\b(?:the|a|an|of|to)\\s+(?:a|an|of|to|in|and|or|is|was|were|than|by|for|with|had|has|have|not|but|they|he|she|we|it|at|on|as|will)\\b') / size(w)",
+    "digits": r"(length(t) - length(regexp_replace(t, '[0-9]+', ''))) / length(t)",
+    "separators": r"(4 * length(t) - length(replace(t, '\t', '')) - length(replace(t, '|', '')) - length(replace(t, ';', '')) - length(replace(t, '=', ''))) / size(l)",
+    "columns": r"regexp_count(t, ' {2,}(?=\\S)') / size(l)",
+    "commas": "(length(t) - length(replace(t, ',', ''))) / size(w)",
+    "turned_ends": r"regexp_count(t, '\\s[.,!?][\\p{L}”]') / size(w)",
+    "odd_neighbours": r"regexp_count(t, '\\b(?:the|a|an|of|to)\\s+(?:a|an|of|to|in|and|or|is|was|were|than|by|for|with|had|has|have|not|but|they|he|she|we|it|at|on|as|will)\\b') / size(w)",
 }
 
 
 def _parsed(df: DataFrame, text: str) -> DataFrame:
-    lines = r"filter(transform(split(t, '\n'), x -> trim(BOTH ' \t\r' FROM x)), x -> x <> '')"
-    words = r"filter(split(lower(t), '[^\\p{L}\\p{N}]+'), x -> x <> '')"
-    sentences = r"filter(split(t, '(?<=[.!?。])\\s*'), x -> length(x) > 1)"
-    return df.withColumn("t", F.coalesce(F.col(text), F.lit(""))).withColumns({"w": F.expr(words), "l": F.expr(lines), "s": F.expr(sentences)})
+    lines = r"array_remove(split(trim(BOTH ' \t\r\n' FROM t), '[ \t\r]*\n[ \t\r\n]*'), '')"
+    words = r"array_remove(split(lower(t), '[^\\p{L}\\p{N}]+'), '')"
+    sentences = r"array_remove(split(t, '[.!?。]\\s*'), '')"
+    rows = df.withColumn("t", F.coalesce(F.col(text), F.lit(""))).withColumns({"w": F.expr(words), "l": F.expr(lines), "s": F.expr(sentences)})
+    return rows.withColumn("d", F.array_distinct("w"))
 
 
 def measures(df: DataFrame, record: str, text: str) -> DataFrame:
@@ -89,7 +88,7 @@ def _main_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in texts:
             if text and not text.isascii() and is_garbled(text):
                 text = restore(text)
-            parts.append(article(text))
+            parts.append(article(text, mended=True))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.string())], names=["record", "part"])
 
 
@@ -101,7 +100,7 @@ def statistics(df: DataFrame, record: str, body: str) -> DataFrame:
     source = df.select(F.col(record).alias("record"), F.col(body).alias("body")).where("body is not null")
     parts = source.mapInArrow(_main_parts, f"record {source.schema['record'].dataType.simpleString()}, part string")
     rows = _parsed(parts.where(r"part rlike '\\S'"), "part").where("size(l) > 0")
-    return rows.select("record", *[F.coalesce(F.expr(sql).cast("double"), F.lit(0.0)).alias(name) for name, sql in ((n, s.replace("/ size(w)", "/ nullif(size(w), 0)").replace("/ size(array_distinct(w))", "/ nullif(size(array_distinct(w)), 0)").replace("/ size(s)", "/ nullif(size(s), 0)")) for n, s in STATISTICS.items())])
+    return rows.select("record", *[F.coalesce(F.expr(sql).cast("double"), F.lit(0.0)).alias(name) for name, sql in ((n, s.replace("/ size(w)", "/ nullif(size(w), 0)").replace("/ size(d)", "/ nullif(size(d), 0)").replace("/ size(s)", "/ nullif(size(s), 0)")) for n, s in STATISTICS.items())])
 
 
 @dataclass(frozen=True)
@@ -168,8 +167,9 @@ def _pruned(rule: Rule, values: np.ndarray, positive: np.ndarray, names: list[st
     return best, worth
 
 
-def induced(values: np.ndarray, labels: np.ndarray, names: list[str], default: str, part: np.ndarray, most: int = 40) -> list[Rule]:
-    """An ordered rule list for all labels but ``default``, the rarest label first; ``part`` (0..2) says which third a row is in: 2 prunes.
+def induced(values: np.ndarray, labels: np.ndarray, names: list[str], default: str, part: np.ndarray, most: int = 60) -> list[Rule]:
+    """An ordered rule list for all labels but ``default``, the rarest label first; ``part`` (0..2) says which third a row is in: 2 prunes, and the others in
+    turn where no rule holds up.
 
     Labels with too few rows to prune on are grown on all of them and kept as grown.
     """
@@ -177,13 +177,14 @@ def induced(values: np.ndarray, labels: np.ndarray, names: list[str], default: s
     kinds, counts = np.unique(labels, return_counts=True)
     left = np.ones(len(labels), bool)
     for _, label in sorted((c, k) for k, c in zip(kinds, counts) if k != default):
-        for _ in range(most):
+        failed = 0
+        while failed < 3 and len(rules) < most:
             positive = left & (labels == label)
             if not positive.any():
                 break
-            grow, prune = left & (part < 2), left & (part == 2)
-            few = int(positive.sum()) < 9 or not (positive & prune).any()
-            if few:
+            pruning = (part + failed) % 3 == 2
+            grow, prune = left & ~pruning, left & pruning
+            if int(positive.sum()) < 9 or not (positive & prune).any():
                 grow = prune = left
             if not (positive & grow).any():
                 break
@@ -193,7 +194,8 @@ def induced(values: np.ndarray, labels: np.ndarray, names: list[str], default: s
             rule, worth = _pruned(rule, values[prune], positive[prune], names)
             covered = rule.holds(values, names) & left
             if worth <= 0 or not (covered & positive).any():
-                break
+                failed += 1  # another third prunes
+                continue
             rules.append(rule)
             left &= ~covered
     return rules
