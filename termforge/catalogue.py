@@ -1,11 +1,300 @@
-"""The core's named queries and their SQL counterparts."""
+"""The core's named queries over the driver's tables, and the same queries in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termforge.functions import text as T
+from termforge.operators import dataset, legacy, model, retrieval, sampling
+from termforge.operators.document_features import document_features, text_features
+from termforge.operators.index import Index, build_index, collection_stats, indexable, term_stats, with_ordinals
+from termforge.operators.pair_features import PAIR_FEATURES, pair_features
+from termforge.operators.query_features import query_features, query_frequencies
+from termforge.plans.tables import cut, newest_per_key, one_row_per_key, read_table
 
 FLAGSHIP = "monomial_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+#: The query of the single-query searches.
+SEARCH = "bowls kilns glazes"
+
+MODEL = model.parse_model(
+    {
+        "format": model.FORMAT,
+        "intercept": -0.5,
+        "feature_names": ["doc_word_count", "doc_special_character_count", "doc_size_kbyte", "doc_has_url", "BM25Score", "ExactMatchCount", "TitleExactMatchRatio", "UnorderedWindow8", "QueryWordCount"],
+        "monomials": [
+            {"trained_coef": 1.25, "splits": [{"feature_idx": 4, "feature_name": "BM25Score", "comparison": "GT", "border": 1.5}, {"feature_idx": 0, "feature_name": "doc_word_count", "comparison": "GT", "border": 40.0}]},
+            {"trained_coef": 0.75, "splits": [{"feature_idx": 5, "feature_name": "ExactMatchCount", "comparison": "GT", "border": 1.0}]},
+            {"trained_coef": 0.5, "splits": [{"feature_idx": 6, "feature_name": "TitleExactMatchRatio", "comparison": "GT", "border": 0.3}, {"feature_idx": 8, "feature_name": "QueryWordCount", "comparison": "GT", "border": 2.0}]},
+            {"trained_coef": 0.375, "splits": [{"feature_idx": 7, "feature_name": "UnorderedWindow8", "comparison": "GT", "border": 0.0}]},
+            {"trained_coef": -0.625, "splits": [{"feature_idx": 1, "feature_name": "doc_special_character_count", "comparison": "GT", "border": 60.0}]},
+            {"trained_coef": -0.25, "splits": [{"feature_idx": 2, "feature_name": "doc_size_kbyte", "comparison": "GT", "border": 1.1}, {"feature_idx": 3, "feature_name": "doc_has_url", "comparison": "GT", "border": -1.0}]},
+        ],
+    }
+)
+
+
+# Sources
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, title, body``: the indexable documents, rows sent again counted once."""
+    rows = one_row_per_key(read_table(spark, folder, "docs", "docid", "title", "body", "loaded_at"), ["docid"], ["loaded_at"])
+    return indexable(rows.select(F.col("docid").alias("doc_id"), "title", "body"))
+
+
+def query_set(spark: SparkSession, folder: str) -> DataFrame:
+    """``query_id, query, relevant``, one row per id."""
+    rows = newest_per_key(read_table(spark, folder, "queries", "docno", "text_raw", "relevant_id_doc"), ["docno"], ["text_raw"])
+    return rows.select(F.col("docno").alias("query_id"), T.text("text_raw").alias("query"), F.col("relevant_id_doc").alias("relevant"))
+
+
+def candidate_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "candidates", "query_id", "doc_no").select("query_id", F.col("doc_no").alias("doc_id")).where("query_id is not null and doc_id is not null").distinct()
+
+
+def relevant_pairs(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode("relevant").alias("doc_id")).distinct()
+
+
+def dictionary(queries: DataFrame) -> DataFrame:
+    """The lower-cased words of the queries stand in for a dictionary."""
+    return queries.select(F.explode(T.words(F.lower("query"))).alias("word")).distinct()
+
+
+def index(spark: SparkSession, folder: str) -> Index:
+    built = build_index(cut(corpus(spark, folder), "corpus"))
+    return Index(built.docs, cut(built.postings, "postings"), built.terms, built.stats)
+
+
+# Queries
+
+
+def corpus_documents(spark, folder):
+    docs = corpus(spark, folder).select("doc_id", F.size(T.whitespace_tokens("body")).alias("body_tokens"), T.shard_of("doc_id").alias("shard"))
+    return with_ordinals(docs)
+
+
+def term_statistics(spark, folder):
+    return term_stats(corpus(spark, folder))
+
+
+def collection_statistics(spark, folder):
+    return collection_stats(corpus(spark, folder).select(F.size(T.whitespace_tokens("body")).alias("body_length"))).select("num_docs", "doc_count", "sum_ttf", F.round(F.col("average_length").cast("double"), 3).alias("average_length"))
+
+
+def document_text_features(spark, folder):
+    return corpus(spark, folder).select("doc_id", *[c.cast("double").alias(n) for n, c in text_features().items()])
+
+
+def document_feature_table(spark, folder):
+    found = document_features(corpus(spark, folder), dictionary(query_set(spark, folder)))
+    return found.select("doc_id", *[F.col(c).cast("double").alias(c) for c in found.columns[1:]])
+
+
+def query_frequency_table(spark, folder):
+    return query_frequencies(query_set(spark, folder))
+
+
+def _query_features(spark, folder, nouns):
+    queries = query_set(spark, folder)
+    found = query_features(queries, corpus(spark, folder).select(F.explode(T.words(F.lower("title"))).alias("word")).distinct(), query_frequencies(queries), nouns=nouns)
+    return found.select("query_id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in found.columns[1:]])
+
+
+def query_feature_table(spark, folder):
+    return _query_features(spark, folder, False)
+
+
+def query_feature_table_with_nouns(spark, folder):
+    return _query_features(spark, folder, True)
+
+
+def pair_feature_table(spark, folder):
+    docs = corpus(spark, folder)
+    lengths = docs.select(F.size(T.whitespace_tokens("body")).alias("body_length"))
+    found = pair_features(candidate_pairs(spark, folder), query_set(spark, folder), docs, term_stats(docs), collection_stats(lengths))
+    return found.select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in PAIR_FEATURES])
+
+
+def bm25_top10(spark, folder):
+    hits = retrieval.top_k(query_set(spark, folder), index(spark, folder), 10)
+    return hits.select("query_id", "doc_id", F.round(F.col("bm25").cast("double"), 4).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def bm25_top_scores(spark, folder):
+    found = retrieval.top_scores(query_set(spark, folder), index(spark, folder))
+    return found.select("query_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in found.columns[1:]])
+
+
+def bm25_candidates(spark, folder):
+    """The best 5000 of each query with both scores and the rank."""
+    hits = retrieval.top_k(query_set(spark, folder), index(spark, folder), 5000, tfidf=True)
+    return hits.select("query_id", "doc_id", F.round(F.col("bm25").cast("double"), 4).alias("bm25"), F.round(F.col("tfidf").cast("double"), 4).alias("tfidf"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def relevant_ranks(spark, folder):
+    queries = query_set(spark, folder)
+    found = retrieval.rank_of(relevant_pairs(queries), retrieval.top_k(queries, index(spark, folder), 1200), retrieval.NO_RANK_1200)
+    return found.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def compared_ranks(spark, folder):
+    """Ranks of the relevant documents by one score and by the other among each query's hits, to a depth of 3000."""
+    queries = query_set(spark, folder)
+    hits = cut(retrieval.scored_hits(queries, index(spark, folder), tfidf=True), "hits")
+    first, second = (retrieval._ranked(hits, by).where("rank < 3000") for by in ("bm25", "tfidf"))
+    found = retrieval.compared_ranks(relevant_pairs(queries), first, second)
+    return found.select("query_id", "doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("first_rank", "second_rank", "difference")])
+
+
+def hard_negatives(spark, folder):
+    queries = query_set(spark, folder)
+    ranked = cut(retrieval.top_k(queries, index(spark, folder), 5000), "ranked")
+    return retrieval.hard_negatives(ranked, relevant_pairs(queries)).select("query_id", "doc_id", F.col("rank0").cast("bigint").alias("rank0"))
+
+
+def _search_rows(spark, folder):
+    """Every document with its features for the one query; what depends on the query alone is known while planning."""
+    docs = cut(corpus(spark, folder), "corpus")
+    query = spark.createDataFrame([("q", SEARCH)], "query_id string, query string")
+    lengths = docs.select(F.size(T.whitespace_tokens("body")).alias("body_length"))
+    pairs = docs.select("doc_id").crossJoin(F.broadcast(query.select("query_id")))
+    found = pair_features(pairs, query, docs, term_stats(docs), collection_stats(lengths), ("BM25Score", "ExactMatchCount", "TitleExactMatchRatio", "UnorderedWindow8"))
+    plain = docs.select("doc_id", *[c.cast("float").alias(n) for n, c in text_features().items() if n in MODEL.features])
+    rows = plain.join(found.drop("query_id"), "doc_id")
+    return rows, model.Conditions({c: F.col(c) for c in rows.columns}, {"QueryWordCount": float(len(SEARCH.split()))})
+
+
+def monomial_topk(spark, folder):
+    rows, conditions = _search_rows(spark, folder)
+    hits = model.ranked(rows, MODEL, -0.25, 50, conditions=conditions)
+    return hits.select("doc_id", "score", F.round("probability", 9).alias("probability"))
+
+
+def monomial_first(spark, folder):
+    rows, conditions = _search_rows(spark, folder)
+    return model.first_matches(rows, MODEL, 0.0, 20, conditions=conditions).select("doc_id", "score")
+
+
+def monomial_explained(spark, folder):
+    rows, conditions = _search_rows(spark, folder)
+    found = model.explained(rows, MODEL, conditions)
+    return found.select("doc_id", "score", F.array_join(F.transform("active", lambda x: x["monomial"].cast("string")), ",").alias("active"))
+
+
+def monomial_pairs(spark, folder):
+    """The model over all candidate pairs of all queries."""
+    docs, queries = cut(corpus(spark, folder), "corpus"), query_set(spark, folder)
+    lengths = docs.select(F.size(T.whitespace_tokens("body")).alias("body_length"))
+    found = pair_features(candidate_pairs(spark, folder), queries, docs, term_stats(docs), collection_stats(lengths), ("BM25Score", "ExactMatchCount", "TitleExactMatchRatio", "UnorderedWindow8"))
+    plain = docs.select("doc_id", *[c.cast("float").alias(n) for n, c in text_features().items() if n in MODEL.features])
+    rows = found.join(plain, "doc_id").join(queries.select("query_id", T.word_count("query").cast("float").alias("QueryWordCount")), "query_id")
+    return model.scored(rows, MODEL, 0.0).select("query_id", "doc_id", "score")
+
+
+def model_table_scores(spark, folder):
+    """All exported models over the text features of all documents."""
+    rows = newest_per_key(read_table(spark, folder, "linear_monomials", "model_id", "monomial_no", "split_no", "trained_coef", "feature_name", "comparison", "border", "trained_at").where("upper(comparison) = 'GT'"), ["model_id", "monomial_no", "split_no"], ["trained_at"])
+    splits = rows.select("model_id", "monomial_no", "trained_coef", T.control_trim("feature_name").alias("feature_name"), "border")
+    values = F.array(*[F.struct(F.lit(n).alias("feature_name"), c.cast("double").alias("value")) for n, c in text_features().items()])
+    features = corpus(spark, folder).select("doc_id", F.explode(values).alias("x")).select("doc_id", "x.*")
+    return model.model_table_scores(splits, features, "doc_id").select("doc_id", "model_id", F.round("score", 4).alias("score"))
+
+
+def condition_check(spark, folder):
+    """For each split of the model: how many documents meet it as a condition, and how often condition and numeric comparison differ."""
+    rows, conditions = _search_rows(spark, folder)
+    splits = [s for m in MODEL.monomials for s in m.splits if s.feature != "QueryWordCount"]
+    each = F.array(*[F.struct(F.lit(s.feature).alias("feature"), F.lit(s.border).alias("border"), conditions.greater(s.feature, s.border).alias("met"), (F.col(s.feature).cast("double") > F.lit(s.border)).alias("numeric")) for s in splits])
+    x = rows.select(F.explode(each).alias("x")).select("x.*")
+    return x.groupBy("feature", "border").agg(F.count_if("met").alias("met"), F.count_if(F.col("met") != F.col("numeric")).alias("differing"))
+
+
+def _training_rows(spark, folder):
+    """Relevant pairs and candidates as two sources of labelled rows."""
+    queries = query_set(spark, folder)
+    texts = queries.select("query_id", "query")
+    line = F.xxhash64("query_id", "doc_id")
+    base = lambda pairs, label: pairs.join(texts, "query_id").select(F.lit(0).alias("part"), line.alias("line_no"), F.lit(label).alias("label"), "query", "doc_id", F.lit("").alias("title"), F.lit("").alias("body"))
+    negatives = candidate_pairs(spark, folder).join(relevant_pairs(queries), ["query_id", "doc_id"], "left_anti")
+    return dataset.union_sources(base(relevant_pairs(queries), "1"), base(negatives, "0")).where("query <> ''")
+
+
+def dataset_split(spark, folder):
+    return dataset.group_split(_training_rows(spark, folder)).select("source", "label", "query", "doc_id", "split")
+
+
+def dataset_manifest(spark, folder):
+    return dataset.manifest(dataset.group_split(_training_rows(spark, folder)))
+
+
+def candidates_not_relevant(spark, folder):
+    queries = query_set(spark, folder)
+    return candidate_pairs(spark, folder).join(relevant_pairs(queries), ["query_id", "doc_id"], "left_anti").groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+
+
+def query_cleaning(spark, folder):
+    clean = T.without_operators(T.without_punctuation("query"))
+    return query_set(spark, folder).select("query_id", clean.alias("cleaned"), F.array_join(T.query_tokens("query"), "|").alias("tokens"), F.array_join(T.stemmed_words("query"), "|").alias("stems"), F.array_join(T.ascii_word_set("query"), "|").alias("word_set"))
+
+
+def shard_counts(spark, folder):
+    return read_table(spark, folder, "docs", "docid").select(T.shard_of("docid").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _runs(spark, folder):
+    return newest_per_key(read_table(spark, folder, "candidates", "run_id", "query_id", "rank_no", "doc_no", "bm25", "tfidf", "scored_at"), ["run_id", "query_id", "rank_no"], ["scored_at"])
+
+
+def sampled_evenly(spark, folder):
+    """Five evenly spaced candidates of each run and query."""
+    return sampling.evenly_spaced(_runs(spark, folder), ["run_id", "query_id"], ["rank_no"], 5).select("run_id", "query_id", "rank_no", "doc_no")
+
+
+def sampled_head(spark, folder):
+    """The first tenth of the candidates of each run and query."""
+    return sampling.head_fraction(_runs(spark, folder), ["run_id", "query_id"], ["rank_no"], 0.1).select("run_id", "query_id", "rank_no", "doc_no")
+
+
+def best_query_per_document(spark, folder):
+    rows = read_table(spark, folder, "candidates", "query_id", "doc_no", "bm25").where("bm25 is not null and not isnan(bm25)").withColumnRenamed("doc_no", "doc_id")
+    return sampling.best_query(rows).select("doc_id", "query_id", F.round(F.col("bm25").cast("double"), 4).alias("bm25"))
+
+
+def run_summary(spark, folder):
+    """Rows, queries, least and mean score by run."""
+    rows = _runs(spark, folder)
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("query_id").alias("queries"), F.count_if(F.col("tfidf").isNull() | F.isnan("tfidf")).alias("without_tfidf"), F.round(F.avg(F.col("bm25").cast("double")), 6).alias("mean_bm25"))
+
+
+def legacy_document_table(spark, folder):
+    return corpus(spark, folder).select("doc_id", *[c.cast("double").alias(n) for n, c in legacy.legacy_document_factors().items()])
+
+
+def legacy_pair_table(spark, folder):
+    found = legacy.legacy_pair_factors(candidate_pairs(spark, folder), query_set(spark, folder), corpus(spark, folder))
+    return found.select("query_id", "doc_id", *[F.when(F.isnan(c), F.lit(-1.0)).otherwise(F.round(F.col(c).cast("double"), 5)).alias(c) for c in found.columns[2:]])
+
+
+def legacy_window_table(spark, folder):
+    docs = cut(corpus(spark, folder), "corpus")
+    lengths = docs.select(F.size(T.whitespace_tokens("body")).alias("body_length"))
+    found = legacy.legacy_window_factors(candidate_pairs(spark, folder), query_set(spark, folder), docs, term_stats(docs), collection_stats(lengths))
+    return found.select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in found.columns[2:]])
+
+
+def previews(spark, folder):
+    """The relevant documents of each query with title and the beginning of the text."""
+    hits = retrieval.hydrated(relevant_pairs(query_set(spark, folder)), corpus(spark, folder))
+    return hits.select("query_id", "doc_id", "title", T.preview("body").alias("preview"))
+
+
+_NAMES = """corpus_documents term_statistics collection_statistics document_text_features document_feature_table query_frequency_table query_feature_table query_feature_table_with_nouns pair_feature_table
+bm25_top10 bm25_top_scores bm25_candidates relevant_ranks compared_ranks hard_negatives monomial_topk monomial_first monomial_explained monomial_pairs model_table_scores condition_check
+dataset_split dataset_manifest candidates_not_relevant query_cleaning shard_counts sampled_evenly sampled_head best_query_per_document run_summary legacy_document_table legacy_pair_table legacy_window_table previews""".split()
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
+
+from termforge.oracle import ORACLE  # noqa: E402, F401
