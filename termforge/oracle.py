@@ -7,7 +7,7 @@ _JS = r"[\s\x0b]"  # what the engine's \s matches
 
 
 def _tokens(c: str) -> str:
-    return f"list_filter(regexp_split_to_array({c}, '{_WS}'), lambda x: x <> '')"
+    return f"flatten(list_transform(list_filter(regexp_split_to_array({c}, '{_WS}'), lambda x: x <> ''), lambda x: case when length(x) <= 255 then [x] else regexp_extract_all(x, '(?s).{{1,255}}') end))"
 
 
 def _trim(c: str) -> str:
