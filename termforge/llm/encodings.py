@@ -86,7 +86,8 @@ def garbled_sequences() -> dict[str, tuple[set[str], bool]]:
 
 
 def _proves(seen: str) -> bool:
-    return len(seen) > 1 and any(not c.isalpha() and c not in _USUAL or 0x80 <= ord(c) < 0xA0 for c in seen[1:]) or len(seen) > 2
+    sign = lambda c: not c.isalpha() and c not in _USUAL or 0x80 <= ord(c) < 0xA0
+    return len(seen) > 2 or len(seen) > 1 and any(map(sign, seen))
 
 
 @lru_cache(maxsize=1)
@@ -110,7 +111,7 @@ _WORDS = [
     (re.compile(rf"[a-zA-Z][{_CYRILLIC}][a-zA-Z]|(?<!\w)[{_CYRILLIC}][a-z]{{2}}|[a-z]{{2}}[{_CYRILLIC}](?!\w)"), ("cp1252", "cp1251")),
     (re.compile(r"[a-zA-Z][Ͱ-Ͽ][a-z]"), ("cp1252", "cp437")),
     (re.compile(r"[а-яё][А-ЯЁ]{2,}|(?<!\w)[А-ЯЁ]{2,}[а-яё]+[А-ЯЁ]"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r")),
-    (re.compile(r"[а-яёЀ-Џѐ-џ][¤¬¦\xad]|[¤¬¦\xad][а-яё]|[а-яё]®[а-яё]|[а-яё][Ґ«»©][а-яё]"), ("cp866", "cp1251")),
+    (re.compile(r"[а-яёЀ-Џѐ-џ][¤¬¦\xad]|[¤¬¦\xad][а-яё]|[а-яё]®[а-яё]|[а-яё][Ґ«»©§][а-яёЄ]|[а-яё][ҐЁЄЎЇ][а-яёЁЄ\xad]|[а-яё]{2}[ҐЄЎЇ]|[а-яё][ўҐ]{2}"), ("cp866", "cp1251")),
     (re.compile(r"[A-Za-zА-я][─-╿]|[─-╿][A-Za-zА-я]"), ("cp1251", "cp866"), ("utf-8", "cp866"), ("utf-8", "cp437")),
     # control characters, or low quotes where a space must stand: Shift-JIS bytes
     (re.compile(r"[\x80-\x84\x86-\x9f]"), ("cp932", "latin-1"), ("mac_roman", "latin-1")),
@@ -148,8 +149,11 @@ def evidence(text: str) -> tuple[Counter, bool]:
         if size == 1 and not proves:
             # one ideograph for an accented letter or a Cyrillic one: only amid Latin letters, or beside another such
             near = text[end + 1] if end + 1 < len(text) else " "
-            if not (before.isascii() and before.isalpha() or near.isascii() and near.isalpha()):
+            sides = (before.isascii() and before.isalpha()) + (near.isascii() and near.isalpha())
+            if not sides:
                 continue
+            if sides == 2 and near.islower():
+                proofs += 1
             weak += 1
         elif proves or not (before.isupper() or first in _MARKS) and not ("Ѐ" <= first <= "ӿ" and text[end] in _USUAL):
             proofs += 1
