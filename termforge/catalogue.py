@@ -13,6 +13,7 @@ from termforge.operators.document_features import document_features, text_featur
 from termforge.operators.index import Index, build_index, collection_stats, indexable, term_stats, with_ordinals
 from termforge.operators.pair_features import PAIR_FEATURES, pair_features
 from termforge.operators.query_features import query_features, query_frequencies
+from termforge.operators.registry import all_features
 from termforge.plans.tables import cut, newest_per_key, one_row_per_key, read_table
 
 FLAGSHIP = "monomial_topk"
@@ -119,6 +120,16 @@ def pair_feature_table(spark, folder):
     return found.select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in PAIR_FEATURES])
 
 
+def all_feature_table(spark, folder):
+    """Every feature but the noun count for all candidate pairs, in the fixed order."""
+    queries, docs = query_set(spark, folder), cut(corpus(spark, folder), "corpus")
+    built = build_index(docs)
+    built = Index(built.docs, cut(built.postings, "postings"), built.terms, built.stats)
+    titles = docs.select(F.explode(T.words(F.lower("title"))).alias("word")).distinct()
+    found = all_features(candidate_pairs(spark, folder), queries, docs, built, dictionary(queries), query_frequencies(queries), titles, nouns=False)
+    return found.select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 5 if "Log" in c else 4).alias(c) for c in found.columns[2:]])
+
+
 def bm25_top10(spark, folder):
     hits = retrieval.top_k(query_set(spark, folder), index(spark, folder), 10)
     return hits.select("query_id", "doc_id", F.round(F.col("bm25").cast("double"), 4).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
@@ -292,7 +303,7 @@ def previews(spark, folder):
     return hits.select("query_id", "doc_id", "title", T.preview("body").alias("preview"))
 
 
-_NAMES = """corpus_documents term_statistics collection_statistics document_text_features document_feature_table query_frequency_table query_feature_table query_feature_table_with_nouns pair_feature_table
+_NAMES = """corpus_documents term_statistics collection_statistics document_text_features document_feature_table query_frequency_table query_feature_table query_feature_table_with_nouns pair_feature_table all_feature_table
 bm25_top10 bm25_top_scores bm25_candidates relevant_ranks compared_ranks hard_negatives monomial_topk monomial_first monomial_explained monomial_pairs model_table_scores condition_check
 dataset_split dataset_manifest candidates_not_relevant query_cleaning shard_counts sampled_evenly sampled_head best_query_per_document run_summary legacy_document_table legacy_pair_table legacy_window_table previews""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}

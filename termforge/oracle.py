@@ -172,3 +172,7 @@ select doc_id, held.model_id, round(sum(c), 4) as score from held join sizes usi
 {_share(_among('qs_', 'ds', 2), 'len(ds)')} as legacy_stemmed_bigram_share, {_share(_among('qs_', 'ds', 3), 'len(ds)')} as legacy_stemmed_trigram_share from legacy""",
     "previews": rf"with {_CORPUS}, {_QUERIES}, {_RELEVANT}, p as (select query_id, doc_id, title, trim(regexp_replace(body, '{_JS}+', ' ', 'g')) as p from relevant join corpus using (doc_id)) select query_id, doc_id, title, case when length(p) > 80 then substring(p, 1, 80) || '…' else p end as preview from p",
 }
+_QUERY_NAMES = "QueryWordCount QueryNonDictionaryCount QueryVowelCount QueryConsonantCount QuerySpecialCharacterCount QueryNumberCount QueryMinLogFrequency QueryMaxLogFrequency QueryMeanLogFrequency".split()
+_ALL_NAMES = [*_QUERY_NAMES, *_DOC_NAMES, "doc_title_non_dictionary_count", "doc_body_non_dictionary_count", "doc_non_dictionary_ratio", "doc_non_dictionary_ratio_count", "BM25Score", "TFIDFScore", "ExactMatchRatio", "ExactMatchCount", "TitleExactMatchRatio", "TitleExactMatchCount", "BigramCount", "TrigramCount", "UnorderedWindow4", "UnorderedWindow8", "BM25Top1Score", "BM25Top2Score", "BM25Top3Score"]
+ORACLE["all_feature_table"] = f"""select query_id, doc_id, {', '.join(f'round({n}, {5 if "Log" in n else 4}) as {n}' for n in _ALL_NAMES)} from ({ORACLE['pair_feature_table']}) join ({ORACLE['query_feature_table']}) using (query_id)
+join ({ORACLE['bm25_top_scores']}) using (query_id) join ({ORACLE['document_feature_table']}) using (doc_id)"""
