@@ -12,8 +12,10 @@ from termforge.operators import dataset, legacy, model, retrieval, sampling
 from termforge.operators.document_features import document_features, text_features
 from termforge.operators.index import Index, build_index, collection_stats, indexable, term_stats, with_ordinals
 from termforge.operators.pair_features import PAIR_FEATURES, pair_features
+from termforge.operators.positional import positional_counts
 from termforge.operators.query_features import query_features, query_frequencies
 from termforge.operators.registry import all_features
+from termforge.plans.predicates import matches_terms
 from termforge.plans.tables import cut, newest_per_key, one_row_per_key, read_table
 
 FLAGSHIP = "monomial_topk"
@@ -120,6 +122,18 @@ def pair_feature_table(spark, folder):
     return found.select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in PAIR_FEATURES])
 
 
+def positional_table(spark, folder):
+    """N-gram and window counts of all queries and all documents with one of their terms."""
+    return positional_counts(query_set(spark, folder), index(spark, folder))
+
+
+def term_condition_counts(spark, folder):
+    """For each query, how many candidates hold more than half of its terms, and more than one of them, as index conditions."""
+    queries = query_set(spark, folder).select("query_id", T.whitespace_tokens("query").alias("q_tokens"))
+    rows = candidate_pairs(spark, folder).join(queries, "query_id").join(corpus(spark, folder).select("doc_id", T.whitespace_tokens("body").alias("tokens")), "doc_id")
+    return rows.groupBy("query_id").agg(F.count_if(matches_terms("q_tokens", "tokens", ratio=0.5)).alias("over_half"), F.count_if(matches_terms("q_tokens", "tokens", count=1)).alias("over_one"))
+
+
 def all_feature_table(spark, folder):
     """Every feature but the noun count for all candidate pairs, in the fixed order."""
     queries, docs = query_set(spark, folder), cut(corpus(spark, folder), "corpus")
@@ -303,7 +317,7 @@ def previews(spark, folder):
     return hits.select("query_id", "doc_id", "title", T.preview("body").alias("preview"))
 
 
-_NAMES = """corpus_documents term_statistics collection_statistics document_text_features document_feature_table query_frequency_table query_feature_table query_feature_table_with_nouns pair_feature_table all_feature_table
+_NAMES = """corpus_documents term_statistics collection_statistics document_text_features document_feature_table query_frequency_table query_feature_table query_feature_table_with_nouns pair_feature_table all_feature_table positional_table term_condition_counts
 bm25_top10 bm25_top_scores bm25_candidates relevant_ranks compared_ranks hard_negatives monomial_topk monomial_first monomial_explained monomial_pairs model_table_scores condition_check
 dataset_split dataset_manifest candidates_not_relevant query_cleaning shard_counts sampled_evenly sampled_head best_query_per_document run_summary legacy_document_table legacy_pair_table legacy_window_table previews""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}

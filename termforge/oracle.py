@@ -176,3 +176,7 @@ _QUERY_NAMES = "QueryWordCount QueryNonDictionaryCount QueryVowelCount QueryCons
 _ALL_NAMES = [*_QUERY_NAMES, *_DOC_NAMES, "doc_title_non_dictionary_count", "doc_body_non_dictionary_count", "doc_non_dictionary_ratio", "doc_non_dictionary_ratio_count", "BM25Score", "TFIDFScore", "ExactMatchRatio", "ExactMatchCount", "TitleExactMatchRatio", "TitleExactMatchCount", "BigramCount", "TrigramCount", "UnorderedWindow4", "UnorderedWindow8", "BM25Top1Score", "BM25Top2Score", "BM25Top3Score"]
 ORACLE["all_feature_table"] = f"""select query_id, doc_id, {', '.join(f'round({n}, {5 if "Log" in n else 4}) as {n}' for n in _ALL_NAMES)} from ({ORACLE['pair_feature_table']}) join ({ORACLE['query_feature_table']}) using (query_id)
 join ({ORACLE['bm25_top_scores']}) using (query_id) join ({ORACLE['document_feature_table']}) using (doc_id)"""
+_WITH_TERM = f"pairs as (select distinct query_id, doc_id from (select query_id, unnest({_tokens('query')}) as term from qs) join tfs using (term))"
+ORACLE["positional_table"] = f"with {_PAIR_ROWS.replace(_PAIRS, _WITH_TERM)}, v as ({_PAIR_VALUES}) select query_id, doc_id, b2::bigint as BigramCount, b3::bigint as TrigramCount, w4::bigint as UnorderedWindow4, w8::bigint as UnorderedWindow8 from v"
+ORACLE["term_condition_counts"] = f"""with {_CORPUS}, {_TOKENS}, {_QUERIES}, {_PAIRS}, q as (select query_id, {_tokens('query')} as q from qs), r as (select query_id, len(list_distinct(q)) as n, len(list_intersect(q, t)) as m from pairs join q using (query_id) join toks using (doc_id))
+select query_id, count(*) filter (n > 0 and m >= greatest(1, least(n, floor(n * 0.5) + 1))) as over_half, count(*) filter (n > 0 and m >= greatest(1, least(n, 2))) as over_one from r group by query_id"""
