@@ -19,7 +19,7 @@ def text(c: Column | str) -> Column:
 
 
 def _no_empty(tokens: Column) -> Column:
-    return F.filter(tokens, lambda x: x != "")
+    return F.array_remove(tokens, "")
 
 
 def control_trim(c: Column | str) -> Column:
