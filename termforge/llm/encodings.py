@@ -1,9 +1,10 @@
 """Problem 4: text that was decoded with a wrong character encoding.
 
-The garbled forms of the usual non-ASCII characters are computed for every pair of a true and a wrong encoding and put
+The garbled forms of the usual non-ASCII characters are computed for the pairs of a true and a wrong encoding below and put
 into one multi-pattern automaton. Multi-byte encodings read as another one give sequences that no correct text has; they
-are evidence by themselves. One-byte encodings read as another give single letters that other languages use; for them the
-evidence is a word that mixes what no word mixes (see ``_WORDS``). Only the matched spans are decoded again, so that
+are evidence by themselves. One-byte encodings read as another give single letters that other languages use; of them the
+automaton has what proves a wrong reading between two letters (see ``pair_sequences``), and runs of such letters and
+signs that need the line around them are patterns (see ``_WORDS``). Only the matched spans are decoded again, so that
 correct text beside them stays; spans whose bytes were lost keep their replacement characters.
 """
 
@@ -85,6 +86,49 @@ def garbled_sequences() -> dict[str, tuple[set[str], bool]]:
     return out
 
 
+#: Signs that correct text puts between letters, or that need more than the letters beside them as proof.
+_AMID = frozenset("‘’“”–—…•·´`¨¸ªº°¹²³®™©§&¡¿«»¶\xa0\xad")
+#: Letters that stand in either case.
+_ANY_CASE = frozenset("ßıĸŉªº")
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _odd_between(true: str, seen: str) -> tuple[bool, bool]:
+    """Whether ``seen``, which stands for the letter ``true``, proves a wrong reading between two small and two capital Latin letters."""
+    if not true.isalpha() or seen == true or seen.isascii() or seen in _AMID or seen in _ANY_CASE or 0x80 <= ord(seen) < 0xA0:
+        return False, False  # control characters are proof anywhere, see ``_WORDS``
+    if not seen.isalpha() or seen == "ˆ" or "Ͱ" <= seen <= "ӿ":
+        return True, True
+    return seen.isupper(), seen.islower()
+
+
+@lru_cache(maxsize=1)
+def pair_sequences() -> dict[str, tuple[bool, set[tuple[str, str]]]]:
+    """Garbled sequence -> whether it is one whatever follows, and the pairs of ``OTHER_PAIRS`` that give it: a letter and a character that no word
+    has after it (see ``_ends_odd`` for what must follow). A low quote right after a letter is one anyway.
+
+    Letters that stay letters of the same case and script prove nothing by one; runs of them are in ``_WORDS``.
+    """
+    out: dict[str, tuple[bool, set[tuple[str, str]]]] = {}
+    for true, wrong in OTHER_PAIRS:
+        if true in ("cp932", "euc_jp", "gbk"):
+            continue
+        for b in range(0x80, 0x100):
+            letter, seen = _one(b, true), _one(b, wrong)
+            low = letter.isalpha() and seen in "‚„"
+            for odd, letters in zip(_odd_between(letter, seen), (_SMALL, _SMALL.upper())):
+                for before in letters if odd or low else "":
+                    out.setdefault(before + seen, (low, set()))[1].add((true, wrong))
+    return out
+
+
+def _ends_odd(seen: str, after: str) -> bool:
+    """Whether what follows a sequence of ``pair_sequences`` leaves no other reading: a letter of the same case (any, where the character is a sign), or no letter after a capital amid small ones."""
+    if seen[0].islower():
+        return after.islower() or seen[1].isupper() and seen[1] < "Ͱ" and not after.isalnum()
+    return after.isupper() or after.islower() and (not seen[1].isalpha() or seen[1] == "ˆ")
+
+
 def _proves(seen: str) -> bool:
     sign = lambda c: not c.isalpha() and c not in _USUAL or 0x80 <= ord(c) < 0xA0
     return len(seen) > 2 or len(seen) > 1 and any(map(sign, seen))
@@ -94,7 +138,9 @@ def _proves(seen: str) -> bool:
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for seen, (wrong, proves) in garbled_sequences().items():
-        found.add_word(seen, (len(seen), tuple(sorted(wrong)), proves))
+        found.add_word(seen, (len(seen), tuple(sorted(wrong)), proves, ()))
+    for seen, (anyway, pairs) in pair_sequences().items():
+        found.add_word(seen, (len(seen), (), anyway, tuple(sorted(pairs))))  # UTF-8 gives none that begins with an ASCII letter
     found.make_automaton()
     return found
 
@@ -103,19 +149,21 @@ def _automaton() -> ahocorasick.Automaton:
 _LATIN, _CYRILLIC = "A-Za-zÀ-ÖØ-öø-ɏ", "Ѐ-ӿ"
 _WORDS = [
     # several accented letters or signs in a row: Cyrillic or East Asian bytes read as Latin
-    (re.compile(r"[¡-ÿ]{4,}|(?<![A-Za-zÀ-ÿ])[À-ÿ]{3,}(?![A-Za-zÀ-ÿ])"), ("cp1251", "latin-1"), ("koi8-r", "latin-1"), ("euc_jp", "latin-1"), ("gbk", "latin-1")),
+    (re.compile(r"[¡-ÿ]{4,}|(?<![A-Za-zÀ-ÿ])[À-ÿ]{3,}(?![A-Za-zÀ-ÿ])"), ("cp1251", "latin-1"), ("koi8-r", "latin-1"), ("cp866", "latin-1"), ("euc_jp", "latin-1"), ("gbk", "latin-1")),
     # signs inside Latin words: Central European bytes read as Western
     (re.compile(rf"[{_LATIN}][¹³¿¶±¼¾¦]+(?=[{_LATIN}])|(?<![\w¿])[¹³¿¶±¼¾](?=[a-zà-ÿ]{{2}})(?![^\n]{{0,160}}\?)|[a-z]{{2}}[¹³¶±](?![\w])|[a-z]œ(?![a-z])|[aeiuyklwz]œ[a-z]|(?<!\w)[ŒŸ][bcdfghjklmpqrtvwxz]"), ("cp1250", "cp1252"), ("iso8859-2", "latin-1")),
     # a letter of the other case amid a word, or Latin mixed with Cyrillic or Greek in a word
     (re.compile(r"[a-zß-ÿ][À-ÖØ-ÞŠŽ][a-zß-ÿ]"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp850"), ("cp850", "cp1252")),
     (re.compile(rf"[a-zA-Z][{_CYRILLIC}][a-zA-Z]|(?<!\w)[{_CYRILLIC}][a-z]{{2}}|[a-z]{{2}}[{_CYRILLIC}](?!\w)"), ("cp1252", "cp1251")),
-    (re.compile(r"[a-zA-Z][Ͱ-Ͽ][a-z]"), ("cp1252", "cp437")),
+    (re.compile(r"[a-zA-Z][Ͱ-Ͽ][a-z]|(?<=[a-z]{3})(?<!sin)(?<!cos)(?<!tan)Θ(?!\w)"), ("cp1252", "cp437")),
     (re.compile(r"[а-яё][А-ЯЁ]{2,}|(?<!\w)[А-ЯЁ]{2,}[а-яё]+[А-ЯЁ]"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r")),
     (re.compile(r"[а-яёЀ-Џѐ-џ][¤¬¦\xad]|[¤¬¦\xad][а-яё]|[а-яё]®[а-яё]|[а-яё][Ґ«»©§][а-яёЄ]|[а-яё][ҐЁЄЎЇ][а-яёЁЄ\xad]|[а-яё]{2}[ҐЄЎЇ]|[а-яё][ўҐ]{2}"), ("cp866", "cp1251")),
     (re.compile(r"[A-Za-zА-я][─-╿]|[─-╿][A-Za-zА-я]"), ("cp1251", "cp866"), ("utf-8", "cp866"), ("utf-8", "cp437")),
     # control characters, or low quotes where a space must stand: Shift-JIS bytes
     (re.compile(r"[\x80-\x84\x86-\x9f]"), ("cp932", "latin-1"), ("mac_roman", "latin-1")),
     (re.compile(r"(?:‚[^\s‚]){3}"), ("cp932", "cp1252")),
+    # closing quotes amid words of a text that quotes nothing (or three of them: one may be a typing error), an opening mark of Spanish without its closing one: letters of DOS
+    (re.compile(r"\A(?![\s\S]*(?<!\w)[“”„]\w)[\s\S]*?[a-z]”[a-z]|(?:[a-z]”[a-z][\s\S]*?){3}|[a-z]¡[a-z](?![^\n]{0,160}!)"), ("cp437", "cp1252"), ("cp850", "cp1252")),
 ]
 _LOST = "\ufffd"
 
@@ -125,7 +173,7 @@ def _range(*pairs: tuple[int, int]) -> frozenset[str]:
 
 
 #: A pattern of ``_WORDS`` is tried only if the text holds one of these characters.
-_NEEDS = [_range((0xA1, 0xFF)), frozenset("¹³¿¶±¼¾¦œŒŸ"), _range((0xC0, 0xDE)) | set("ŠŽ"), _range((0x400, 0x4FF)), _range((0x370, 0x3FF)), _range((0x400, 0x4FF)), frozenset("¤¬®Ґґ§¦©«»") | {"\xa0", "\xad"} | _range((0x400, 0x40F), (0x450, 0x45F), (0x462, 0x4FF)), _range((0x2500, 0x257F)), _range((0x80, 0x84), (0x86, 0x9F)), frozenset("‚")]
+_NEEDS = [_range((0xA1, 0xFF)), frozenset("¹³¿¶±¼¾¦œŒŸ"), _range((0xC0, 0xDE)) | set("ŠŽ"), _range((0x400, 0x4FF)), _range((0x370, 0x3FF)), _range((0x400, 0x4FF)), frozenset("¤¬®Ґґ§¦©«»") | {"\xa0", "\xad"} | _range((0x400, 0x40F), (0x450, 0x45F), (0x462, 0x4FF)), _range((0x2500, 0x257F)), _range((0x80, 0x84), (0x86, 0x9F)), frozenset("‚"), frozenset("”¡")]
 #: A text whose characters beyond ASCII are all among these holds nothing to look for.
 _SAFE = frozenset("–—‘’“”…•›»☰↑✓§°·")
 
@@ -134,7 +182,7 @@ def _word_signs(text: str, characters: set[str]) -> bool:
     return any(not characters.isdisjoint(need) and pattern.search(text) for need, (pattern, *_) in zip(_NEEDS, _WORDS))
 
 
-_BEYOND = re.compile(r"[^\n]?[^\x00-\x7f]+[^\n]?")
+_BEYOND = re.compile(r"[^\n]?[^\x00-\x7f]+(?:[^\n][^\x00-\x7f]+)*[^\n]?")
 
 
 def evidence(text: str) -> tuple[Counter, bool]:
@@ -142,8 +190,11 @@ def evidence(text: str) -> tuple[Counter, bool]:
     votes: Counter = Counter()
     proofs, weak, last = 0, 0, -9
     text = "\n".join(_BEYOND.findall(text))  # all sequences lie beyond ASCII; the automaton is slow on what cannot match
-    for end, (size, wrong, proves) in _automaton().iter(text):
+    for end, (size, wrong, proves, pairs) in _automaton().iter(text):
         start = end - size + 1
+        if pairs:
+            proofs += proves or _ends_odd(text[start : end + 1], text[end + 1 : end + 2])
+            continue
         before = text[start - 1] if start else " "
         first = text[start]
         if size == 1 and not proves:
@@ -166,13 +217,25 @@ def evidence(text: str) -> tuple[Counter, bool]:
     return votes, proofs > 0 or weak > 2
 
 
+def pair_votes(text: str) -> Counter:
+    """The pairs of ``OTHER_PAIRS`` by how many of their sequences occur."""
+    votes: Counter = Counter()
+    text = "\n".join(_BEYOND.findall(text))
+    for end, (_, _, proves, pairs) in _automaton().iter(text):
+        if pairs and (proves or _ends_odd(text[end - 1 : end + 1], text[end + 1 : end + 2])):
+            votes.update(pairs)
+    if _WORDS[-1][0].search(text):
+        votes.update(_WORDS[-1][1:])
+    return votes
+
+
 def is_garbled(text: str | None) -> bool:
     """Whether the text holds characters from reading it in a wrong encoding. Null, empty and ASCII texts do not."""
     if not text or text.isascii():
         return False
     characters = {c for c in set(text) if not c.isascii()}
     if characters <= _SAFE:
-        return False
+        return "”" in characters and bool(_WORDS[-1][0].search(text))
     return _LOST in characters or evidence(text)[1] or _word_signs(text, characters)
 
 
@@ -207,6 +270,8 @@ def _reread(run: str, wrong: str) -> str:
     return "".join(out)
 
 
+#: The letters beyond ASCII that are the most frequent ones; of two readings the one with more of them is taken.
+_OFTEN_CYRILLIC, _OFTEN_LATIN = "оеаинтсрвл", "éèàáíóúüöäñçêãß"
 _WORD_RUN = re.compile(r"[^ \t\r\n]+")
 
 
@@ -227,7 +292,10 @@ def restore(text: str, passes: int = 3) -> str:
         text = re.sub(r"[\x20-\xff]+", _japanese, text)
     first, *pairs = _WORDS[0]
     if len(first.findall(text)) > sum(evidence(text)[0].values()):
-        for pair in pairs:
+        cyrillic = {pair: _whole(text, *pair, first) for pair in pairs if pair[0] in ("cp1251", "koi8-r", "cp866")}
+        best = max(cyrillic.values(), key=lambda x: sum(map(x.count, _OFTEN_CYRILLIC)))
+        text = best
+        for pair in pairs[len(cyrillic) :]:
             text = _whole(text, *pair, first)
     for _ in range(passes):
         votes, found = evidence(text)
@@ -240,6 +308,10 @@ def restore(text: str, passes: int = 3) -> str:
         else:
             break
         text = new
+    votes = pair_votes(text)
+    if votes:
+        read = [new for pair, _ in votes.most_common() if (new := _whole(text, *pair, _WORDS[2][0])) != text]
+        text = max(read, key=lambda x: (not is_garbled(x), sum(map(x.count, _OFTEN_LATIN))), default=text)
     for pattern, *pairs in _WORDS:
         if pattern.search(text):
             for true, wrong in pairs:

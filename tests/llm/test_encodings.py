@@ -43,6 +43,29 @@ def test_other_pairs(text, true, wrong):
     assert restore(seen) == text
 
 
+@pytest.mark.parametrize("true", ["cp437", "cp850"])
+@pytest.mark.parametrize("word", ["café", "schön", "Mädchen", "fête", "français", "música", "canción", "TÜR"])
+def test_dos_words_read_as_western(word, true):
+    seen = from_bytes(f"the {word} here".encode(true), "cp1252")
+    assert is_garbled(seen)
+
+
+@pytest.mark.parametrize(("true", "wrong"), [("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman")])
+def test_western_pairs_come_back(true, wrong):
+    text = "café schön français très Noël España canción"
+    assert restore(from_bytes(text.encode(true), wrong)) == text
+
+
+def test_dos_cyrillic_read_as_latin():
+    seen = from_bytes(RUSSIAN.encode("cp866"), "latin-1")
+    assert is_garbled(seen) and restore(seen) == RUSSIAN
+
+
+@pytest.mark.parametrize("text", ["“Foo” he said, “bar”and went", "“So” it was; not quote”d right", "he said „gut” and ‚gut’", "hola¡vamos ya!", "sinΘ 5 † note‡ a—b l’été word…word A•b", "GROßE STRAßE", "naïve “quote”, café—bar"])
+def test_signs_that_correct_text_has(text):
+    assert not is_garbled(text)
+
+
 def test_rows(spark):
     seen = from_bytes(LATIN.encode(), "cp1252")
     rows = [("a", seen, LATIN, "x"), ("a", seen, LATIN, "x"), ("b", None, "", "x"), ("c", " ", seen * 2000, "x"), (None, seen, None, "x")]
