@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termforge.llm.encodings import is_garbled, restore
-from termforge.llm.words import slices
+from termforge.llm.words import slices, words
 
 #: Entries of menus and footers in the corpus's languages, lower-cased.
 MENU = frozenset(
@@ -63,8 +63,8 @@ _SENTENCE_END = re.compile(r"[.!?…。！？:;]['\"”’»)\]]*\s*$")
 _MARKER = re.compile(r"^\s*(?:[-–•*›»·▪]|\d{1,3}[.)]|[a-z]\))\s+")
 _SITE_COUNT = re.compile(r"^[\w.&’'-]+(?: [\w.&’'-]+)? \d{4}$")
 _INNER_END = re.compile(r"[^\W\d_][.?!]”? [“\"]?[^\W\d_]")
-#: A list of teasers has at most this many lines; what follows is the article.
-MOST_TEASERS = 5
+_SHORT_SENTENCE = re.compile(r"[.!?。]['\"”’»)\]]*\s*$")
+_ENDS = frozenset(".!?。'\"”’»)]")
 ARTICLE, SURE, MAYBE, TEASER_HEAD = 0, 1, 2, 3
 
 
@@ -180,6 +180,20 @@ def _is_prose(line: str) -> bool:
     return bool(_INNER_END.search(bare)) or len(bare) > 40 and bool(_SENTENCE_END.search(bare)) or len(bare.split()) > 11 or "。" in bare
 
 
+def _same_title(line: str, own: set[str]) -> bool:
+    """Whether a line is the page's own title but for words put in."""
+    low = line.lower()
+    return len(own) > 1 and all(w in low for w in own) and not _MARKER.match(line) and own < set(words(line))
+
+
+def _recurs(line: str, others: list[str], below: list[str]) -> bool:
+    """Whether a long word of a line that the other lines of its list lack comes twice in the text below: a title without a known one."""
+    there = {w for x in others for w in words(x)}
+    rare = [w for w in words(line) if len(w) > 5 and w not in there]
+    there = [w for x in below for w in words(x)] if rare else []
+    return any(there.count(w) > 1 for w in rare)
+
+
 def furniture(body: str | None, title: str | None = None, mended: bool = False) -> list[int]:
     """Numbers, from 1, of the lines that are page furniture; lines are split at newlines, blank ones are never listed.
 
@@ -203,15 +217,22 @@ def furniture(body: str | None, title: str | None = None, mended: bool = False)
         return []
     # lists of teasers: title-like lines after their head, up to prose, the page's own title or a sign of something else
     own = " ".join(title.split()) if title else None
+    own_words = set(words(title)) if title and TEASER_HEAD in kinds else set()
     i = 0
     while i < n:
         if kinds[i] != TEASER_HEAD:
             i += 1
             continue
         j = i + 1
-        while j < n and j - i <= MOST_TEASERS and kinds[j] in (ARTICLE, MAYBE) and not _is_prose(lines[j]) and " ".join(lines[j].split()) != own:
-            if j - i > 2 and len(lines[j].split()) <= 2 and j + 1 < n and _is_prose(lines[j + 1]):
-                break  # a subhead of the article
+        while j < n and kinds[j] in (ARTICLE, MAYBE) and not _is_prose(lines[j]) and " ".join(lines[j].split()) != own:
+            if j > i + 1 and (lines[j][-9:].strip()[-1:] in _ENDS and len(lines[j].split()) > 2 and _SHORT_SENTENCE.search(lines[j][-9:]) or lines[j].count("|") > 1 or "\t" in lines[j].strip()):
+                break  # prose of short lines, or a table
+            if _same_title(lines[j], own_words):
+                break
+            if j - i > 2 and j + 1 < n and _is_prose(lines[j + 1]) and not _MARKER.match(lines[j]):
+                apart = numbers[j] > numbers[j - 1] + 1 and numbers[j - 1] - numbers[i] == j - 1 - i
+                if len(lines[j].split()) <= 2 or apart or not own_words and _recurs(lines[j], lines[i + 1 : j], [x for x in lines[j + 1 :] if _is_prose(x)]):
+                    break  # a subhead or the title of the article
             out[j] = True
             j += 1
         if j < n and kinds[j] == ARTICLE and _is_prose(lines[j]):

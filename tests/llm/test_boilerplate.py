@@ -62,6 +62,21 @@ def test_edges():
     assert furniture(("A sentence about bees and hives. " * 30 + "\n") * 200) == []
 
 
+PROSE = "The old hives of the valley held more honey than anyone had expected this year. Nobody knew why."
+TEASERS = ["› Cold queens in Dunhalt", "Quiet mechanics", "3. How keepers carry veils", "- Damp combs explained", "Northern bees and hives", "Rare swarms in Asterby", "› Late honey", "Steady keepers of Wexmoor"]
+
+
+def test_long_lists_of_teasers():
+    assert furniture("\n".join([PROSE, "Related articles", *TEASERS])) == list(range(2, 11))
+    # the page's own title ends a list, with words put in too
+    for title in ("Queens and meadows", "Queens and Foobar meadows"):
+        assert furniture("\n".join(["Most read", *TEASERS, title, PROSE]), "Queens and meadows") == list(range(1, 10))
+    # so does what only an untitled page's own text has, a heading set apart, a table and prose of short lines
+    assert furniture("\n".join(["Most read", *TEASERS, "All about pendrakol", PROSE, PROSE + " Pendrakol is pendrakol."])) == list(range(1, 10))
+    assert furniture("\n".join(["Most read", *TEASERS, "", "What the keepers did next", PROSE]), "Bees") == list(range(1, 10))
+    assert furniture("\n".join(["Most read", *TEASERS, "name | weight | price", "queen | 3 | 4"])) == list(range(1, 10))
+
+
 def test_rows(spark):
     rows = [("a", PAGE, "x"), ("a", PAGE, "x"), ("b", None, "x"), ("c", "", "x")]
     df = spark.createDataFrame(rows, "line_no string, article string, title string")
