@@ -4,7 +4,8 @@ A page goes through the standard library's streaming HTML parser, whose events g
 its tags (pages that came as plain text have none; there the marks of link lists count as tags). The text-to-tag
 ratio of the lines is smoothed with a Gaussian, and two clusters of the smoothed values, split at the threshold between their means, give
 the content regions. Lines that say what they are (cookie notices, menus, paths, sharing, paging, footers) are
-settled by their words; what is ambiguous by itself, as a single menu word that may be a subhead, by its region.
+settled by their words; what is ambiguous by itself, as a single menu word that may be a subhead, a line of links in any
+language or a tag without text, by its region.
 """
 
 from __future__ import annotations
@@ -69,11 +70,12 @@ ARTICLE, SURE, MAYBE, TEASER_HEAD = 0, 1, 2, 3
 
 
 class _Lines(HTMLParser):
-    """Characters of text and tags of each line."""
+    """Characters of text, of links and tags of each line, and the lines of elements that hold no article."""
 
     def __init__(self, lines: int) -> None:
         super().__init__(convert_charrefs=True)
-        self.text, self.tags, self.skip = [0] * lines, [0] * lines, 0
+        self.text, self.tags, self.links, self.boxed, self.skip = [0] * lines, [0] * lines, [0] * lines, [False] * lines, 0
+        self.link, self.open = False, []
 
     def _at(self) -> int:
         return min(self.getpos()[0], len(self.tags)) - 1
@@ -81,16 +83,54 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: object) -> None:
         self.tags[self._at()] += 1
         self.skip += tag in ("script", "style")
+        self.link = tag == "a" or self.link and tag not in ("p", "li", "div", "tr", "td", "h1", "h2", "h3")
+        if tag in ("nav", "footer"):
+            self.open.append((tag, self._at()))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags[self._at()] += 1
         self.skip -= tag in ("script", "style") and self.skip > 0
+        self.link = self.link and tag != "a"
+        if self.open and self.open[-1][0] == tag:  # one that is never closed tells nothing
+            first = self.open.pop()[1]
+            if not self.open:
+                self.boxed[first : self._at() + 1] = [True] * (self._at() + 1 - first)
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
             for i, part in enumerate(data.split("\n"), self._at()):
                 if i < len(self.text):
                     self.text[i] += len(part.strip())
+                    self.links[i] += len(part.strip()) * self.link
+
+
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
+_LINK_SIGN = re.compile(r"\s*[|•·›»→]\s*")
+
+
+def _tagged(lines: list[str]) -> _Lines | None:
+    """The tags of the lines, if they have any."""
+    if not any("<" in x and _TAG.search(x) for x in lines):
+        return None
+    parser = _Lines(len(lines))
+    parser.feed("\n".join(lines))
+    parser.close()
+    return parser
+
+
+_ENTRY = re.compile(r"[^\W\d_][\w&'’.-]*(?: [\w&'’.-]+){0,2}")
+
+
+def _link_rows(lines: list[str], kinds: list[int]) -> list[int]:
+    """How many entries each line has that is a row of links in plain text, short entries of words; 0 for others, and for rows of tables:
+    those beside a line of as many parts."""
+    cells = [_LINK_SIGN.split(x.strip()) if _LINK_SIGN.search(x) else [] for x in lines]
+    out = [0] * len(lines)
+    for i, (parts, kind) in enumerate(zip(cells, kinds)):
+        if kind == ARTICLE and sum(map(bool, parts)) > 3 and all(len(p) <= 40 and _ENTRY.fullmatch(p) and not _SENTENCE_END.search(p) for p in parts if p):
+            beside = {len(cells[j]) for j in (i - 1, i + 1) if 0 <= j < len(lines)}
+            out[i] = 0 if len(parts) in beside else len(parts)
+    return out
 
 
 def _menu_entries(line: str) -> tuple[int, int]:
@@ -111,20 +151,25 @@ _FIRST_WORDS = frozenset(
 #: Words that a cue holds anywhere.
 _ANYWHERE = ("cookie", "クッキー", "small files", "rights reserved", "vorbehalten", "droits réservés", "derechos reservados", "direitos reservados", "prawa zastrz", "права защищ", "not responsible for", "©", "関連記事", "おすすめ記事", "人気記事")
 _FIRST = re.compile(r"[^\W\d_]+|\d")
+_SENTENCES = re.compile(r"(?<=[.!?。])\s+")
 _SEPARATED = re.compile(r"[|/•·›»>→\t]|\s\s")
 
 
+def _long_notice(line: str) -> bool:
+    """Whether a long line begins as a notice about cookies and half of its sentences are about them."""
+    parts = _SENTENCES.split(line)
+    return bool(_CUES.match(parts[0])) and 2 * sum("cookie" in p.lower() for p in parts) >= len(parts)
+
+
 def kind_of(line: str) -> int:
     """What a line says by itself: certainly furniture, perhaps (a single entry of a menu), the head of a list of teasers, or nothing."""
     bare = line.strip()
-    if len(bare) > 300:
-        return ARTICLE
     low = bare.lower()
     first = _FIRST.search(low)
     if not first or first.group() in _FIRST_WORDS or first.group().isdigit() or not low[0].isalnum() or any(x in low for x in _ANYWHERE):
         if len(bare) <= 90 and _TEASERS.fullmatch(_MARKER.sub("", bare)):
             return TEASER_HEAD
-        if _CUES.match(bare):
+        if _CUES.match(bare) or len(bare) > 300 and "cookie" in low and _long_notice(bare):
             return SURE
     if _SEPARATED.search(bare):
         parts, known = _menu_entries(bare)
@@ -137,14 +182,9 @@ def kind_of(line: str) -> int:
     return ARTICLE
 
 
-def line_ratios(lines: list[str], kinds: list[int]) -> np.ndarray:
+def line_ratios(lines: list[str], kinds: list[int], parser: _Lines | None = None, links: list[int] | None = None) -> np.ndarray:
     """Text-to-tag ratio of each line; each sign of a link list and each entry of a menu counts as a tag."""
-    texts, tags = [len(x.strip()) for x in lines], [0] * len(lines)
-    if any("<" in x and ">" in x for x in lines):
-        parser = _Lines(len(lines))
-        parser.feed("\n".join(lines))
-        parser.close()
-        texts, tags = parser.text, parser.tags
+    texts, tags = ([len(x.strip()) for x in lines], links or [0] * len(lines)) if parser is None else (parser.text, parser.tags)
     ratio = np.array([t / (1 + g + 4 * (k != ARTICLE)) for t, g, k in zip(texts, tags, kinds)], float)
     return np.minimum(ratio, 200.0)
 
@@ -210,11 +250,15 @@ def furniture(body: str | None, title: str | None = None, mended: bool = False)
         if line.strip():
             numbers.append(i)
             lines.append(line)
-    kinds = [kind_of(x) for x in lines]
+    parser = _tagged(lines)
+    if parser:
+        lines = [_TAG.sub(" ", x).strip() for x in lines]
+    kinds = [kind_of(x) if x else ARTICLE for x in lines]
     n = len(lines)
     out = [k in (SURE, TEASER_HEAD) for k in kinds]
-    if not any(kinds):
-        return []
+    links = _link_rows(lines, kinds) if not parser else [0] * n
+    if not any(kinds) and not parser and not any(links):
+        return []  # nothing that the words or the regions could tell apart
     # lists of teasers: title-like lines after their head, up to prose, the page's own title or a sign of something else
     own = " ".join(title.split()) if title else None
     own_words = set(words(title)) if title and TEASER_HEAD in kinds else set()
@@ -243,8 +287,16 @@ def furniture(body: str | None, title: str | None = None, mended: bool = False)
                 out[k] = False
         i = j
     # the region decides on single entries of menus
-    ratio = smoothed(line_ratios(lines, [k if o else (MAYBE if k == MAYBE else ARTICLE) for k, o in zip(kinds, out)]))
+    ratio = smoothed(line_ratios(lines, [k if o else (MAYBE if k == MAYBE else ARTICLE) for k, o in zip(kinds, out)], parser, links))
     cut = threshold(ratio)
+    for i in range(n):
+        if kinds[i] == ARTICLE and (parser.boxed[i] or ratio[i] <= cut and 2 * parser.links[i] >= parser.text[i] > 0 if parser else links[i] and ratio[i] <= cut):
+            out[i] = True
+    if parser:  # tags without text go with the lines beside them
+        for order, step in ((range(n), -1), (range(n - 1, -1, -1), 1)):
+            for i in order:
+                if not parser.text[i] and parser.tags[i] and ratio[i] <= cut and 0 <= i + step < n and out[i + step]:
+                    out[i] = True
     content = [not out[i] and kinds[i] == ARTICLE for i in range(n)]
     first = next((i for i in range(n) if content[i]), n)
     last = next((i for i in reversed(range(n)) if content[i]), -1)

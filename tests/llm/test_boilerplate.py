@@ -77,6 +77,24 @@ def test_long_lists_of_teasers():
     assert furniture("\n".join(["Most read", *TEASERS, "name | weight | price", "queen | 3 | 4"])) == list(range(1, 10))
 
 
+def test_regions_of_unknown_words():
+    # rows of links, navigation and footers in other languages, told by their tags; headings and links in prose stay
+    items = ["<li><a href='/a'>Etusivu</a></li>", "<li><a href='/b'>Uutiset ja sää</a></li>", "<li><a href='/c'>Kauppa</a></li>", "<li><a href='/d'>Yhteys</a></li>"]
+    text = ["<ul>", *items, "</ul>", "<h1>Mehiläiset</h1>", f"<p>{PROSE}</p>", f"<p>{PROSE} <a href='/e'>Lisää</a></p>", f"<p>{PROSE}</p>", "<footer>", "<p>Mehiläisseura, Oulu</p>", "</footer>"]
+    assert furniture("\n".join(text)) == [1, 2, 3, 4, 5, 6, 11, 12, 13]
+    assert furniture("\n".join([PROSE * 3, PROSE * 3, "<nav>", PROSE * 3])) == []
+    # plain text: a row of short entries, but no table
+    assert furniture("\n".join(["Etusivu | Uutiset | Kauppa | Yhteys | Ohje", PROSE, PROSE, PROSE])) == [1]
+    assert furniture("\n".join([PROSE, PROSE, "bee | hive | comb | queen", "one |  | n/a | "])) == []
+
+
+def test_long_lines_of_furniture():
+    menu = " | ".join(["Home", "News", "Shop", "Products", "About us", "Contact", "FAQ", "Log in", "Register", "Search", "Sitemap", "Careers"] * 4)
+    notice = "We use cookies to give you the best experience. " + "Some cookies are needed for the pages that you visit. " * 8
+    assert len(menu) > 300 < len(notice)
+    assert furniture("\n".join([menu, notice, PROSE, "I baked cookies all day. " + PROSE * 4])) == [1, 2]
+
+
 def test_rows(spark):
     rows = [("a", PAGE, "x"), ("a", PAGE, "x"), ("b", None, "x"), ("c", "", "x")]
     df = spark.createDataFrame(rows, "line_no string, article string, title string")
