@@ -22,7 +22,7 @@ from termforge.plans.tables import cut
 ACCEPT = 1.0
 #: A name part found in contexts counts as known from this many places on.
 LEAST_PLACES = 2
-#: At most this many parts of each kind, the most frequent ones, are sent to the tasks; the rest still counts in its contexts.
+#: Up to this many parts of each kind are sent to the tasks; more are joined to the words of the texts by shuffle.
 MOST_PARTS = 200_000
 #: Context words are looked for in this many characters before and after a span.
 NEAR = 40
@@ -138,11 +138,12 @@ _NO_PART = frozenset("the a an this that these those it he she they we i you my
 
 @dataclass
 class Names:
-    """Known parts, lower-cased."""
+    """Known parts, lower-cased; where they are too many for the tasks, they stand in ``table`` (part, kind) and the sets are empty."""
 
     given: frozenset[str] = frozenset()
     family: frozenset[str] = frozenset()
     pattern: re.Pattern | None = field(default=None, compare=False)
+    table: DataFrame | None = field(default=None, compare=False)
 
 
 def _shape(part: str) -> str:
@@ -313,24 +314,55 @@ def _harvest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def known_names(df: DataFrame, text: str, parts: DataFrame, part: str, kind: str) -> Names:
     """The listed name parts and those that stand in contexts of at least ``LEAST_PLACES`` places of the collection.
 
-    Counts are combined before the shuffle; the driver gets at most ``MOST_PARTS`` parts of a kind.
+    Counts are combined before the shuffle; the driver gets the parts only if there are at most ``MOST_PARTS`` of each kind.
     """
     counts = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(_harvest_batches, "part string, kind string, n bigint")
-    counts = cut(counts.groupBy("part", "kind").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PLACES), "name-parts")
-    out = {}
-    for k in ("given", "family"):
-        listed = parts.where((F.lower(kind) == k) & F.col(part).isNotNull()).select(F.lower(F.trim(part)).alias("part")).distinct()
-        found = counts.where(F.col("kind") == k).orderBy(F.desc("n"), "part").limit(MOST_PARTS).select("part")
-        out[k] = frozenset(r["part"] for r in listed.union(found).distinct().toLocalIterator() if r["part"])
-    return Names(out["given"], out["family"])
+    counts = counts.groupBy("part", "kind").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PLACES).select("part", "kind")
+    listed = parts.where(F.col(part).isNotNull()).select(F.lower(F.trim(part)).alias("part"), F.lower(kind).alias("kind")).where("kind in ('given', 'family')")
+    known = cut(counts.union(listed).where("part <> ''").distinct(), "name-parts")
+    if any(r["count"] > MOST_PARTS for r in known.groupBy("kind").count().collect()):
+        return Names(table=known)
+    out: dict[str, set[str]] = {"given": set(), "family": set()}
+    for r in known.toLocalIterator():
+        out[r["kind"]].add(r["part"])
+    return Names(frozenset(out["given"]), frozenset(out["family"]))
+
+
+def _words_of(text: str) -> set[str]:
+    """Every word of a text that ``names_in`` looks up."""
+    found = {t.lower() for t in _INITIAL_OR_PART.findall(text)} | set(_LOWER_PARTS.findall(text.lower()))
+    return found.union(*({t.lower() for t in _TOKENS.findall(text[start:end])} for start, end, _ in context_names(text)))
+
+
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in slices(batches, 1):
+        found = [sorted(_words_of(t)) for t in texts]
+        rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([w for x in found for w in x], pa.string())], names=["id", "part"])
+
+
+def _with_parts(source: DataFrame, table: DataFrame) -> DataFrame:
+    """``record, text, given, family``: every row with the known parts among its words, joined by shuffle; no part is left out."""
+    rows = cut(source.withColumn("id", F.monotonically_increasing_id()), "texts")
+    words = rows.select("id", "text").where("text is not null").mapInArrow(_word_batches, "id bigint, part string")
+    sets = [F.collect_set(F.when(F.col("kind") == k, F.col("part"))).alias(k) for k in ("given", "family")]
+    found = words.join(table, "part").groupBy("id").agg(*sets)
+    return rows.join(found, "id", "left").select("record", "text", "given", "family")
+
+
+def _each(batch: pa.RecordBatch, texts: list[str | None], names: Names) -> Iterator[tuple[str | None, Names]]:
+    """Each text with the names that count for it."""
+    if batch.num_columns < 4:
+        return ((t, names) for t in texts)
+    return ((t, Names(frozenset(g or ()), frozenset(f or ()))) for t, g, f in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()))
 
 
 def _span_batches(names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, 1):
             rows, kinds, starts = [], [], []
-            for i, text in enumerate(texts):
-                for kind, start, _ in spans(text, names):
+            for i, (text, known) in enumerate(_each(batch, texts, names)):
+                for kind, start, _ in spans(text, known):
                     rows.append(i)
                     kinds.append(kind)
                     starts.append(start + 1)
@@ -342,7 +374,7 @@ def _span_batches(names: Names):
 def _mask_batches(names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([masked(t, names) for t in texts], pa.string())], names=["record", "masked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([masked(*x) for x in _each(batch, texts, names)], pa.string())], names=["record", "masked"])
 
     return run
 
@@ -350,10 +382,14 @@ def _mask_batches(names: Names):
 def personal_spans(df: DataFrame, record: str, text: str, names: Names) -> DataFrame:
     """``record, kind, start_pos``: a row per place, characters counted from 1, once per record. Null, empty and blank texts give none."""
     source = df.select(F.col(record).alias("record"), F.col(text).alias("text")).where("text is not null")
+    if names.table is not None:
+        source, names = _with_parts(source, names.table), Names()
     return source.mapInArrow(_span_batches(names), f"record {source.schema['record'].dataType.simpleString()}, kind string, start_pos bigint").distinct()
 
 
 def masked_texts(df: DataFrame, record: str, text: str, names: Names) -> DataFrame:
     """``record, masked``: one row per row of ``df`` with typed placeholders; null stays null, text without cases stays as it is."""
     source = df.select(F.col(record).alias("record"), F.col(text).alias("text"))
+    if names.table is not None:
+        source, names = _with_parts(source, names.table), Names()
     return source.mapInArrow(_mask_batches(names), f"record {source.schema['record'].dataType.simpleString()}, masked string")

@@ -57,3 +57,18 @@ def test_names_are_learnt_and_rows(spark):
     assert masked_texts(df, "record", "text", names).where("masked is null").count() == 1
     assert personal_spans(df.limit(0), "record", "text", names).count() == 0
     assert known_names(df.limit(0), "text", parts.limit(0), "name_part", "part_kind") == Names()
+
+
+def test_more_parts_than_go_to_the_tasks(spark, monkeypatch):
+    rows = [(1, "My name is Zyla Korvath and so on."), (2, "According to Zyla Korvath, yes. Ask for Mira Tolvane."), (3, "then Mira Tolvane left, zyla korvath"), (4, None), (3, "then Mira Tolvane left, zyla korvath"), (None, "Contact: Mira Tolvane, ok"), (5, "")]
+    df = spark.createDataFrame(rows, "record long, text string")
+    parts = spark.createDataFrame([("Baker", "family"), ("Autumn", "given")], "name_part string, part_kind string")
+
+    def results():
+        names = known_names(df, "text", parts, "name_part", "part_kind")
+        return sorted(map(str, personal_spans(df, "record", "text", names).collect())), sorted(map(str, masked_texts(df, "record", "text", names).collect()))
+
+    whole = results()
+    assert sum("(3" in x or "=3" in x for x in whole[0]) == 2
+    monkeypatch.setattr("termforge.llm.personal.MOST_PARTS", 1)
+    assert results() == whole
