@@ -91,26 +91,34 @@ _LABELLED = [re.compile(rf"(?<![\w-])(?:{label}){_LABEL_GAP}(?P<n>{number})(?![\
 _BARE = [re.compile(rf"(?<![\w.,/-])(?P<n>{number})(?![\w-]|[.,]\d)") for _, number, _, _ in _NUMBERS]
 _DIGITS3 = re.compile(r"\d")
 _LONG_NUMBER = re.compile(r"\d[\d ().+/-]{4,}\d")
-#: What a label of a number holds, lower-cased.
-_LABEL_STEMS = ("ssn", "social", "sociale", "sozial", "versicherten", "number", "numéro", "nummer", "personal", "national", "identi", "identité", "pass", "paszport", "tax", "tin", "ein", "steuer", "nif", "nip", "vat", "card", "dni", "nie", "nir", "pesel", "cpf", "insurance", "cédula", "ausweis", "dowód", "civil", "person", "ni ", "nino", "seguridad")
+#: Any of the labels themselves.
+_LABEL_SIGN = re.compile(rf"(?<![\w-])(?:{'|'.join(dict.fromkeys(label for label, *_ in _NUMBERS))})", re.I)
+_AT_SIGN = re.compile(r"@|[Aa][Tt][\])}]|\sAT\s|\sdot\s")
 
 _UP = r"[A-ZÀ-ÖØ-ÞĄĆĘŁŃŚŹŻŠŽČ]"
 _WORD = rf"{_UP}[\w'’-]+"
 _UNIT = r"(?:(?:Apt|Apartment|Suite|Ste|Unit|Flat|App|Appt|Room)\b\.?\s*[#]?\s*\w{1,5},?\s+)?"
 #: Words that end or begin street names.
 _STREETS = r"(?:Street|St|Avenue|Ave|Av|Road|Rd|Lane|Ln|Boulevard|Blvd|Close|Drive|Dr|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Crescent|Cres|Row|Hill|Gardens|Parkway|Pkwy|Highway|Hwy|Walk|Mews|Circle|Grove|Park)"
+#: The same in other languages.
+_RUES = r"[Rr]ue|[Aa]venue|[Aa]v\.|[Bb]oulevard|[Bb]d\.?|[Pp]lace|[Cc]hemin|[Ii]mpasse|[Aa]llée|[Qq]uai|[Rr]oute|[Cc]ours|[Ss]quare"
+_STRASSEN = r"straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|markt|steig|hof|Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee|Ring|Damm|Ufer|Markt|Tor"
+_AN_DER = r"Am|An\s+der|Im|In\s+der|Zum|Zur|Auf\s+dem|Unter\s+den"
+_CALLES = r"C/|Calle|C\.|Avda\.?|Avenida|Av\.|Plaza|Pza\.?|Paseo|Pº|Camino|Ronda|Rua|Praça|Travessa|Via|Viale|Corso|Piazza"
+_ULICE, _ULITSY = r"ul\.|al\.|pl\.|os\.|aleja|ulica", r"ул\.|улица|пр\.|проспект|пер\."
 ADDRESS = re.compile(
     rf"""(?<![\w/-])(?:
     {_UNIT}\d{{1,5}}\ ?[A-Za-z]?(?:\s*-\s*\d+)?,?\s+(?:[NSEW]{{1,2}}\.?\s+|(?:North|South|East|West)\s+)?(?:{_WORD}\.?\s+){{1,3}}{_STREETS}\b\.? |
-    {_UNIT}\d{{1,4}}(?:\s?(?:bis|ter|[A-Da-d])\b)?,?\s+(?:[Rr]ue|[Aa]venue|[Aa]v\.|[Bb]oulevard|[Bb]d\.?|[Pp]lace|[Cc]hemin|[Ii]mpasse|[Aa]llée|[Qq]uai|[Rr]oute|[Cc]ours|[Ss]quare)\s+(?:de\s+la\s+|de\s+l['’]\s*|des\s+|du\s+|de\s+|d['’]\s*)?{_UP}[\w'’-]+ |
-    (?:(?:{_UP}[a-zäöüß-]*|[A-ZÄÖÜ][a-zäöüß-]+\s)(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|markt|steig|hof|Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee|Ring|Damm|Ufer|Markt|Tor)|(?:Am|An\s+der|Im|In\s+der|Zum|Zur|Auf\s+dem|Unter\s+den)\s+(?:[A-Za-zäöü]+(?:en|er|em)\s+)?(?!Jahr|Januar|Februar|März|April|Mai|Juni|Juli|August|Septem|Oktober|Novem|Dezem|Alter|Schnitt|Kapitel|Band|Absatz){_UP}[a-zäöüß]+)\s+\d{{1,4}}\ ?[a-z]?\b(?:\s*[-/]\s*\d+)? |
-    (?:C/|Calle|C\.|Avda\.?|Avenida|Av\.|Plaza|Pza\.?|Paseo|Pº|Camino|Ronda|Rua|Praça|Travessa|Via|Viale|Corso|Piazza)\s*(?:(?:de\s+los|de\s+las|de\s+la|del|de|da|do|das|dos)\s+)?(?:{_UP}[\w'’-]+\s?){{1,4}},?\s*(?:n[.º°]+\s*)?\d{{1,4}}\ ?[a-zA-Z]?\b |
-    (?:ul\.|al\.|pl\.|os\.|aleja|ulica)\s+(?:{_UP}[\w-]+\s+){{1,3}}\d{{1,4}}\ ?[a-zA-Z]?\b(?:\s*/\s*\d+)? |
-    (?:ул\.|улица|пр\.|проспект|пер\.)\s+(?:[А-ЯЁ][\w-]+\s*){{1,3}},?\s*(?:д\.\s*)?\d{{1,4}}
+    {_UNIT}\d{{1,4}}(?:\s?(?:bis|ter|[A-Da-d])\b)?,?\s+(?:{_RUES})\s+(?:de\s+la\s+|de\s+l['’]\s*|des\s+|du\s+|de\s+|d['’]\s*)?{_UP}[\w'’-]+ |
+    (?:(?:{_UP}[a-zäöüß-]*|[A-ZÄÖÜ][a-zäöüß-]+\s)(?:{_STRASSEN})|(?:{_AN_DER})\s+(?:[A-Za-zäöü]+(?:en|er|em)\s+)?(?!Jahr|Januar|Februar|März|April|Mai|Juni|Juli|August|Septem|Oktober|Novem|Dezem|Alter|Schnitt|Kapitel|Band|Absatz){_UP}[a-zäöüß]+)\s+\d{{1,4}}\ ?[a-z]?\b(?:\s*[-/]\s*\d+)? |
+    (?:{_CALLES})\s*(?:(?:de\s+los|de\s+las|de\s+la|del|de|da|do|das|dos)\s+)?(?:{_UP}[\w'’-]+\s?){{1,4}},?\s*(?:n[.º°]+\s*)?\d{{1,4}}\ ?[a-zA-Z]?\b |
+    (?:{_ULICE})\s+(?:{_UP}[\w-]+\s+){{1,3}}\d{{1,4}}\ ?[a-zA-Z]?\b(?:\s*/\s*\d+)? |
+    (?:{_ULITSY})\s+(?:[А-ЯЁ][\w-]+\s*){{1,3}},?\s*(?:д\.\s*)?\d{{1,4}}
     )""",
     re.X,
 )
-_ADDRESS_SIGN = re.compile(rf"{_STREETS}\b|[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Ii]mpasse|[Aa]llée|[Qq]uai|[Rr]oute|[Cc]ours|[Ss]quare|straße|strasse|[Ss]tr\.|gasse|weg|platz|allee|ring|damm|ufer|[Mm]arkt|steig|hof|Straße|Weg|Platz|C/|Calle|Avda|Avenida|Plaza|Paseo|Rua|Praça|Via|ul\.|al\.|pl\.|os\.|ул\.|улица|Am |An der|Im |Zum |Zur |Auf dem")
+#: What every address of a kind holds, built of the same words as ``ADDRESS``.
+_ADDRESS_SIGN = re.compile(rf"{_STREETS}\b|(?:{_RUES})\s|(?:{_STRASSEN})\s+\d|(?<![\w/-])(?:(?:{_AN_DER})\s|(?:{_CALLES}|{_ULICE}|{_ULITSY}))")
 
 #: Titles before names.
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Sir|Madam|Madame|Monsieur|Mme|Mlle|M\.|Herr|Frau|Señora?|Sra?|Don|Doña|Dra|Pan|Pani|Rev|Hon)"
@@ -129,7 +137,8 @@ _TITLED = re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\b\.?\s+(?P<d>{_NAM
 #: What texts hold in which the patterns above can match, lower-cased but for titles.
 _BEFORE_STEMS = ("name is", "name:", "signed by", "witnessed by", "according to", "records show", "ask for", "form to", "can reach", "account of", "bill to", "contact:", "kontakt:", "applicant:", '"user"', '"name"', '"author"', '"contact"', "madame", "monsieur", "the judge", "patient:", "heiße", "me llamo", "appelle", "from:", "attn", "care of", "c/o")
 _AFTER_STEMS = ("wrote the", "checked the", "habite", "lives at", "wohnt", "vive en", "mieszka")
-_SIGN_STEMS = ("wishes", "best,", "best\n", "regards", "thank", "cheers", "sincerely", "yours", "grüße", "grüßen", "cordialement", "saludos", "atentamente")
+_SIGN_STEMS = ("wishes", "regards", "thank", "cheers", "sincerely", "yours", "grüße", "grüßen", "cordialement", "saludos", "atentamente")
+_BEST = re.compile(r"^Best,?\s", re.M)
 _TITLE_STEMS = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme")
 _TOKENS = re.compile(rf"{_INITIAL}(?!\w)|{_PART}")
 #: Capitalised words that are no parts of names.
@@ -171,7 +180,7 @@ def context_names(text: str) -> list[tuple[int, int, bool]]:
     out: list[tuple[int, int, bool]] = []
     lowered = text.lower()
     for pattern, group, stems in ((CONTEXT, "a", _BEFORE_STEMS), (CONTEXT_AFTER, "b", _AFTER_STEMS), (_SIGN_OFF, "c", _SIGN_STEMS)):
-        if any(x in lowered for x in stems):
+        if any(x in lowered for x in stems) or group == "c" and _BEST.search(text):
             out += [(*m.span(group), True) for m in pattern.finditer(text)]
     if any(x in text for x in _TITLE_STEMS):
         out += [(*m.span("d"), False) for m in _TITLED.finditer(text)]
@@ -258,14 +267,13 @@ def spans(text: str | None, names: Names) -> list[tuple[str, int, int]]:
             taken.append((start, end))
             out.append((kind, start, end))
 
-    lowered = text.lower()
-    if "@" in text or "at]" in lowered or "at)" in lowered or "at}" in lowered or " AT " in text or " dot " in lowered:
+    if _AT_SIGN.search(text):
         for pattern in (EMAIL, EMAIL_IN_WORDS):
             for m in pattern.finditer(text):
                 local = m.group("local")
                 add("email", m.start(), m.end()) if local.lower() != "mailto" else None
     if _DIGITS3.search(text):
-        if any(x in lowered for x in _LABEL_STEMS):
+        if _LABEL_SIGN.search(text):
             for pattern in _LABELLED:
                 for m in pattern.finditer(text):
                     add("id_number", *m.span("n"))

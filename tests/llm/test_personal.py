@@ -72,3 +72,27 @@ def test_more_parts_than_go_to_the_tasks(spark, monkeypatch):
     assert sum("(3" in x or "=3" in x for x in whole[0]) == 2
     monkeypatch.setattr("termforge.llm.personal.MOST_PARTS", 1)
     assert results() == whole
+
+
+ADDRESSES = ["Lange Allee 5", "Alter Ring 5", "Hoher Damm 5", "Neues Ufer 5", "Enge Gasse 5", "Lange Strasse 5", "Hohes Tor 5", "In der Aue 5", "Unter den Linden 5", "Camino Real 3", "Ronda Norte 3", "Piazza Dante 3", "Corso Garibaldi 3", "Pza. Mayor 3", "C. Mayor 3", "Viale Roma 3", "Travessa Nova 3"]
+ADDRESSES += ["ulica Lipowa 5", "aleja Lipowa 5", "пр. Мира 5", "проспект Мира 5", "пер. Садовый 5", "ул. Садовая 5", "5 bd. Voltaire", "5 av. Foch"]
+
+
+@pytest.mark.parametrize("text", ADDRESSES)
+def test_every_address_passes_its_gate(text):
+    assert found(f"so {text}") == [("address", text)]
+
+
+@pytest.mark.parametrize("text", ["pasaporte AB123456", "passaporte AB123456", "passeport AB123456", "Reisepass AB123456", "NI: QQ123456A", "NINO QQ123456A", "EIN 12-3456789", "VAT 1234567890", "cédula 123456789", "dowód osobisty ABC123456"])
+def test_every_label_passes_its_gate(text):
+    assert [k for k, _ in found(text)] == ["id_number"]
+
+
+@pytest.mark.parametrize("text", ["Best\r\nXyr Abc", "Best Xyr Abc", "Best,\nXyr Abc", "Bill to Xyr Abc, now", "Cheers Xyr Abc", "Saludos\nXyr Abc"])
+def test_every_name_context_passes_its_gate(text):
+    assert found(text) == [("name", "Xyr Abc")]
+
+
+def test_addresses_in_words_over_lines():
+    assert found("abc\nat corcene\ndot example") == [("email", "abc\nat corcene\ndot example")]
+    assert found("abc\nAT\ncorcene.example") == [("email", "abc\nAT\ncorcene.example")]
