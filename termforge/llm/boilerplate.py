@@ -1,26 +1,48 @@
 """Problem 3: the article of a page without the furniture around it.
 
-A page goes through the standard library's streaming HTML parser, whose events give every line its characters of text and
-its tags (pages that came as plain text have none; there the marks of link lists count as tags). The text-to-tag
-ratio of the lines is smoothed with a Gaussian, and two clusters of the smoothed values, split at the threshold between their means, give
-the content regions. Lines that say what they are (cookie notices, menus, paths, sharing, paging, footers) are
-settled by their words; what is ambiguous by itself, as a single menu word that may be a subhead, a line of links in any
-language or a tag without text, by its region.
+Every page goes the same way. The standard library's streaming HTML parser gives each line its characters of text, of links,
+and its tags; a page without tags is one data event. What plain text has instead of tags is evidence of links, counted in
+the same unit:
+
+* parts of lines (between separators, or sentences) that stand on many pages of the collection, copies of a page counted once;
+* rows and lists of short entries, as after a line that introduces lists of titles on many pages;
+* words that say what a line is (cookie notices, menus, paths, sharing, paging, footers), as far as a list has them.
+
+The text-to-tag ratio of each line, on a logarithmic scale, is smoothed with a Gaussian; two clusters of the smoothed values
+give a threshold, and the lines at or below it are furniture, whatever their words. So a short line that recurs ("Events") goes
+with the menu that it stands in, or stays as a subhead amid paragraphs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termforge.llm.encodings import is_garbled, restore
 from termforge.llm.words import slices, words
+from termforge.plans.tables import cut, join_sized
+
+#: A part of a line recurs if it stands on this share of all pages or on this share of one site's pages, and on so many pages at least
+#: (pages that share their longest line count once).
+PAGE_SHARE, SITE_SHARE, LEAST_PAGES = 0.003, 0.1, 8
+#: The share of a recurring part's pages on which a list of titles follows, from which on it introduces one.
+HEAD_SHARE = 0.6
+#: Up to this many recurring parts go to the tasks (about 100 bytes each in a worker); more are joined to the pages by shuffle.
+MOST_PARTS = 200_000
+#: The threshold between the clusters lies between these smoothed values, so that pages all of one kind are not cut in two.
+LEAST_CUT, MOST_CUT = 2.15, 2.4
+#: Width of the Gaussian, in lines.
+SIGMA = 0.6
+#: Characters that a line without any tag counts for at least: short lines of plain text are no links by being short.
+PLAIN_CHARS = 80
 
 #: Entries of menus and footers in the corpus's languages, lower-cased.
 MENU = frozenset(
@@ -36,7 +58,7 @@ strona główna|produkty|sklep|aktualności|pomoc|szukaj|zaloguj się|kontakt|o
 )
 #: Heads of lists of teasers.
 _TEASERS = re.compile(
-    r"(?:related (?:articles|posts|stories|topics|content|pages)|popular (?:this week|now|posts|articles|today)|you (?:may|might) (?:also )?(?:like|enjoy)|most (?:read|popular|viewed|shared)|trending (?:on|now|today)\b.*|trending|more (?:from|on|in|stories|articles|news)\b.{0,60}|"
+    r"(?:related (?:articles|posts|stories|topics|content|pages)|popular (?:this week|now|posts|articles|today)|you (?:may|might) (?:also )?(?:like|enjoy)|most (?:read|popular|viewed|shared)|trending (?:on|now|today)\b.*|trending|more (?:from|on|in|stories|articles|news)\b.*|"
     r"read (?:next|also|more)|see also|recommended(?: for you| reading)?|latest (?:news|posts|articles|stories)|editor.?s picks?|don.?t miss|up next|what to read next|"
     r"à lire aussi|articles (?:liés|similaires|connexes)|les plus lus|à découvrir|sur le même sujet|das könnte (?:sie|dich|ihnen)(?: auch)? (?:interessieren|gefallen)|mehr zum thema|meistgelesen|ähnliche (?:artikel|beiträge)|lesen sie auch|weitere artikel|"
     r"artículos relacionados|también te puede interesar|lo más (?:leído|visto)|más noticias|te recomendamos|artigos relacionados|leia também|mais lidas|veja também|você também pode gostar|zobacz (?:też|także)|czytaj (?:też|także|również)|najczęściej czytane|powiązane artykuły|может быть интересно|читайте также|похожие статьи|самое читаемое|関連記事|おすすめ記事|人気記事)\s*:?",
@@ -47,26 +69,29 @@ _CUES = re.compile(
     r"""(?:
     skip\s+to\s+(?:main\s+)?(?:content|navigation) | (?:menu|menü|menú)\s*[☰≡▾▼+]? | [☰≡]\s*(?:menu|menü|menú)? | you\s+are\s+here\s*: .* | (?:sie\s+sind\s+hier|vous\s+êtes\s+ici|estás\s+aquí|está\s+aquí|você\s+está\s+aqui|jesteś\s+tutaj|вы\s+здесь)\s*: .* |
     (?:home|startseite|accueil|inicio|início)\s*[>»/›→]\s*.* |
-    (?:accept|reject|allow|decline|agree\s+to)\s+(?:all|cookies|all\s+cookies)\b.{0,60} | \[?\s*agree\s*\]?(?:\s*\[?\s*decline\s*\]?)? | ok,?\s+got\s+it\W* | got\s+it\W* | (?:manage|cookie)\s+(?:preferences|settings|consent) | i\s+(?:agree|accept)\W* |
+    (?:accept|reject|allow|decline|agree\s+to)\s+(?:all|cookies|all\s+cookies)\b.{0,60} | \[?\s*agree\s*\]?(?:\s*\[?\s*decline\s*\]?)? | (?:manage|cookie)\s+(?:preferences|settings|consent) | i\s+(?:agree|accept)\W* |
     (?:alle|alles)\s+akzeptieren\b.{0,50} | ablehnen\b.{0,40} | einstellungen | tout\s+(?:accepter|refuser)\b.{0,50} | refuser\b.{0,40} | paramétrer | aceptar\s+tod[oa]s?\b.{0,50} | rechazar\b.{0,40} | configurar | aceitar\s+tud[oa]s?\b.{0,50} | zaakceptuj\b.{0,40} | принять\s+все.{0,40} |
-    .{0,80}\b(?:we|this\s+(?:site|website|page)|our\s+(?:site|website|partners))\s+(?:use|uses|set|sets|store|stores)\b.{0,30}\b(?:cookies|small\s+files)\b.{0,200} | .{0,60}\band\s+(?:its|our|their)\s+partners\b.{0,80}\b(?:cookies?|data)\b.{0,160} | cookies\s+(?:help|are|allow|enable)\b.{0,200} | your\s+privacy\s+(?:matters|is)\b.{0,200} |
-    (?:ce\s+site|nous|notre\s+site)\b.{0,40}\bcookies\b.{0,200} | (?:diese\s+(?:seite|website)|wir|unsere\s+(?:seite|website))\b.{0,40}\bcookies\b.{0,200} | (?:este\s+sitio|usamos|utilizamos|nuestro\s+sitio|nosotros|este\s+site|nosso\s+site)\b.{0,40}\bcookies\b.{0,200} | .{0,60}\bпользу\w+\s+(?:файлы\s+)?cookie.{0,200} | .{0,60}\bplik(?:i|ów)\s+cookies?.{0,200} | .{0,40}(?:クッキー|Cookie)を使用.{0,100} |
-    advertisement\b.{0,60} | anzeige | publicité | publicidad | sponsored\b\s*[:–-]?.{0,120} | (?:ad|ads|promoted)\s*(?:[:–-].{0,100})? | click\s+here\s+(?:to|for)\b.{0,80} | download\s+our\s+(?:free\s+)?app\b.{0,60} | sign\s+up\s+(?:for|to)\b.{0,120} | (?:subscribe|join)\s+(?:to|for|our)\b.{0,40}\b(?:newsletter|letter|list)\b.{0,80} | enjoying\s+(?:this|our)\b.{0,120} | support\s+\S+\s+from\b.{0,60} |
-    share\s+(?:this|on|via|with)\b.{0,100} | (?:teilen|partager|compartir|compartilhar|udostępnij|поделиться)\b\s*:?.{0,80} | tweet\w*\s+\d+.{0,60} | (?:like|tweet|pin\s+it|share|e-?mail|print|whatsapp)(?:\s+\d+)?(?:\s*[|/•·]\s*(?:like|tweet|pin\s+it|share|e-?mail|print)(?:\s+\d+)?)* | follow\s+(?:us|\S+)\s+on\b.{0,80} | \d+\s+(?:shares|likes|comments) |
+    .{0,80}\b(?:we|this\s+(?:site|website|page)|our\s+(?:site|website|partners))\s+(?:use|uses|set|sets|store|stores)\b.{0,30}\bcookies\b.* | .{0,60}\band\s+(?:its|our|their)\s+partners\b.{0,80}\b(?:cookies?|data)\b.* | cookies\s+(?:help|are|allow|enable)\b.* | your\s+privacy\s+(?:matters|is)\b.* |
+    (?:ce\s+site|nous|notre\s+site)\b.{0,40}\bcookies\b.* | (?:diese\s+(?:seite|website)|wir|unsere\s+(?:seite|website))\b.{0,40}\bcookies\b.* | (?:este\s+sitio|usamos|utilizamos|nuestro\s+sitio|nosotros|este\s+site|nosso\s+site)\b.{0,40}\bcookies\b.* | .{0,60}\bпользу\w+\s+(?:файлы\s+)?cookie.* | .{0,60}\bplik(?:i|ów)\s+cookies?.* | .{0,40}(?:クッキー|Cookie)を使用.* |
+    advertisement\b.{0,60} | anzeige | publicité | publicidad | sponsored\b\s*[:–-]?.* | (?:ad|ads|promoted)\s*(?:[:–-].*)? | click\s+here\s+(?:to|for)\b.{0,80} | download\s+our\s+(?:free\s+)?app\b.{0,60} | sign\s+up\s+(?:for|to)\b.* | (?:subscribe|join)\s+(?:to|for|our)\b.{0,40}\b(?:newsletter|letter|list)\b.{0,80} |
+    share\s+(?:this|on|via|with)\b.* | (?:teilen|partager|compartir|compartilhar|udostępnij|поделиться)\b\s*:?.{0,80} | tweet\w*\s+\d+.{0,60} | (?:like|tweet|pin\s+it|share|e-?mail|print|whatsapp)(?:\s+\d+)?(?:\s*[|/•·]\s*(?:like|tweet|pin\s+it|share|e-?mail|print)(?:\s+\d+)?)* | follow\s+(?:us|\S+)\s+on\b.{0,80} | \d+\s+(?:shares|likes|comments) |
     (?:tags?|filed\s+under|categories|category|schlagwörter|mots-clés|étiquettes|etiquetas|tagi|теги)\s*:.* |
     (?:[«‹<←]\s*)?(?:prev(?:ious)?|next|older|newer|zurück|weiter|précédent|suivant|anterior|siguiente)(?:\s+(?:page|posts?|article|entries))?(?:\s*[»›>→])?(?:[\s|/•·]+(?:[«‹<←]\s*)?(?:prev(?:ious)?|next|older|newer|zurück|weiter|précédent|suivant|anterior|siguiente)(?:\s+(?:page|posts?|article|entries))?(?:\s*[»›>→])?)* | page\s+\d+\s+(?:of|/)\s+\d+ | [«‹<←]?\s*(?:\d{1,4}\s+){2,}(?:…|\.\.\.)\s*\d{1,4}\s*[>»›→]? | [«‹<←]?\s*1(?:\s+\d{1,3}){2,}\s*[>»›→] | (?:load|show|view)\s+(?:more|all)\b.{0,40} |
-    (?:©|\(c\)|copyright\b).{0,160} | .{0,80}\b(?:all\s+rights\s+reserved|alle\s+rechte\s+vorbehalten|tous\s+droits\s+réservés|todos\s+los\s+derechos\s+reservados|todos\s+os\s+direitos\s+reservados|wszelkie\s+prawa\s+zastrzeżone|все\s+права\s+защищены)\b.{0,60} | powered\s+by\b.{0,60} | all\s+content\s+on\s+this\s+(?:site|website|page)\b.{0,160} | .{0,80}\bnot\s+responsible\s+for\s+the\s+content\b.{0,100} | (?:back\s+to\s+top|to\s+the\s+top|nach\s+oben|haut\s+de\s+page|volver\s+arriba)\W* | (?:leave\s+a\s+(?:reply|comment)|post\s+a\s+comment|report\s+(?:this|abuse))\b.{0,40}
+    (?:©|\(c\)|copyright\b).* | .{0,80}\b(?:all\s+rights\s+reserved|alle\s+rechte\s+vorbehalten|tous\s+droits\s+réservés|todos\s+los\s+derechos\s+reservados|todos\s+os\s+direitos\s+reservados|wszelkie\s+prawa\s+zastrzeżone|все\s+права\s+защищены)\b.{0,60} | powered\s+by\b.{0,60} | all\s+content\s+on\s+this\s+(?:site|website|page)\b.* | .{0,80}\bnot\s+responsible\s+for\s+the\s+content\b.* | (?:back\s+to\s+top|to\s+the\s+top|nach\s+oben|haut\s+de\s+page|volver\s+arriba)\W* | (?:leave\s+a\s+(?:reply|comment)|post\s+a\s+comment|report\s+(?:this|abuse))\b.{0,40}
     )\s*$""",
     re.I | re.X,
 )
 _SPLIT = re.compile(r"\s*[|/•·›»>→]\s*|\s{2,}|\t")
 _SENTENCE_END = re.compile(r"[.!?…。！？:;]['\"”’»)\]]*\s*$")
 _MARKER = re.compile(r"^\s*(?:[-–•*›»·▪]|\d{1,3}[.)]|[a-z]\))\s+")
-_SITE_COUNT = re.compile(r"^[\w.&’'-]+(?: [\w.&’'-]+)? \d{4}$")
 _INNER_END = re.compile(r"[^\W\d_][.?!]”? [“\"]?[^\W\d_]")
 _SHORT_SENTENCE = re.compile(r"[.!?。]['\"”’»)\]]*\s*$")
 _ENDS = frozenset(".!?。'\"”’»)]")
-ARTICLE, SURE, MAYBE, TEASER_HEAD = 0, 1, 2, 3
+#: What a line is by itself.
+PLAIN, FURNITURE, UNDECIDED, HEAD = 0, 1, 2, 3
+#: Elements whose tags format the text of an article; all other tags count.
+_FORMATTING = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong small u s q cite mark br td th tr tbody thead table caption blockquote pre code kbd sup sub dl dt dd ol ul li figure figcaption article main section html body head title span".split())
+_BOXES = ("nav", "footer")
 
 
 class _Lines(HTMLParser):
@@ -74,21 +99,21 @@ class _Lines(HTMLParser):
 
     def __init__(self, lines: int) -> None:
         super().__init__(convert_charrefs=True)
-        self.text, self.tags, self.links, self.boxed, self.skip = [0] * lines, [0] * lines, [0] * lines, [False] * lines, 0
-        self.link, self.open = False, []
+        self.text, self.tags, self.links, self.boxed = [0] * lines, [0] * lines, [0] * lines, [False] * lines
+        self.skip, self.link, self.open = 0, False, []
 
     def _at(self) -> int:
         return min(self.getpos()[0], len(self.tags)) - 1
 
     def handle_starttag(self, tag: str, attrs: object) -> None:
-        self.tags[self._at()] += 1
+        self.tags[self._at()] += tag not in _FORMATTING
         self.skip += tag in ("script", "style")
         self.link = tag == "a" or self.link and tag not in ("p", "li", "div", "tr", "td", "h1", "h2", "h3")
-        if tag in ("nav", "footer"):
+        if tag in _BOXES:
             self.open.append((tag, self._at()))
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags[self._at()] += 1
+        self.tags[self._at()] += tag not in _FORMATTING
         self.skip -= tag in ("script", "style") and self.skip > 0
         self.link = self.link and tag != "a"
         if self.open and self.open[-1][0] == tag:  # one that is never closed tells nothing
@@ -105,88 +130,161 @@ class _Lines(HTMLParser):
 
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
-_LINK_SIGN = re.compile(r"\s*[|•·›»→]\s*")
 
 
-def _tagged(lines: list[str]) -> _Lines | None:
-    """The tags of the lines, if they have any."""
-    if not any("<" in x and _TAG.search(x) for x in lines):
-        return None
+def _events(lines: list[str]) -> tuple[_Lines, bool]:
+    """The page's lines as the parser sees them, and whether they hold tags at all; a text without tags is one data event."""
     parser = _Lines(len(lines))
-    parser.feed("\n".join(lines))
-    parser.close()
-    return parser
+    page = "\n".join(lines)
+    tagged = "<" in page and bool(_TAG.search(page))
+    if tagged:
+        parser.feed(page)
+        parser.close()
+    else:
+        parser.handle_data(page)
+    return parser, tagged
+
+
+# What recurs on other pages
+
+
+_DIGITS = re.compile(r"\d+")
+_PARTS = re.compile(r"\s*[|/•·›»>→←«‹]\s*|\s{2,}|\t|(?<=[.!?。])\s+")
+_EDGES = " []()«‹›»-–•*"
+
+
+def parts(line: str, site: str | None) -> list[str]:
+    """The parts of a line between separators, and its sentences, lower-cased, with numbers and the site's name made equal."""
+    low = line.strip().lower()
+    if any(c.isdigit() for c in low):
+        low = _DIGITS.sub("0", low)
+    if site and site in low:
+        low = low.replace(site, "§")
+    return [p for p in (x.strip(_EDGES) for x in _PARTS.split(low)) if p] if _PARTS.search(low) else [low.strip(_EDGES) or low]
+
+
+def _tells(part: str) -> bool:
+    """Whether a part may recur at all: single letters and numbers do everywhere."""
+    return len(part) > 4 or len(part) > 1 and any(c.isalpha() or c == "§" for c in part)
+
+
+def site_name(site: str | None) -> str | None:
+    """The first label of a host name that is long enough to be told from other words, lower-cased."""
+    name = site.lower().removeprefix("www.").split(".")[0] if site else ""
+    return name if len(name) > 3 else None
+
+
+def _part_hash(part: str) -> int:
+    return xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+@dataclass
+class Recurring:
+    """Hashes of the parts that recur, and of those among them that introduce lists of titles; ``table`` (part, head) where they are too many for the tasks."""
+
+    known: frozenset[int] = frozenset()
+    heads: frozenset[int] = frozenset()
+    table: DataFrame | None = field(default=None, compare=False)
+
+
+def _title_like(line: str) -> bool:
+    """Whether a line has the form of an entry in a list of titles: three to fifteen words without the end of a sentence."""
+    bare = _MARKER.sub("", line.strip())
+    return 3 <= len(bare.split()) <= 15 and not _SENTENCE_END.search(bare) and not bare.endswith(",")
 
 
+# What a line says by itself
+
+
+_LINK_SIGN = re.compile(r"\s*[|•·›»→]\s*")
 _ENTRY = re.compile(r"[^\W\d_][\w&'’.-]*(?: [\w&'’.-]+){0,2}")
+_LABELLED = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)?: ([^.!?]+)$")
 
 
-def _link_rows(lines: list[str], kinds: list[int]) -> list[int]:
+def _link_rows(lines: list[str]) -> list[int]:
     """How many entries each line has that is a row of links in plain text, short entries of words; 0 for others, and for rows of tables:
     those beside a line of as many parts."""
     cells = [_LINK_SIGN.split(x.strip()) if _LINK_SIGN.search(x) else [] for x in lines]
     out = [0] * len(lines)
-    for i, (parts, kind) in enumerate(zip(cells, kinds)):
-        if kind == ARTICLE and sum(map(bool, parts)) > 3 and all(len(p) <= 40 and _ENTRY.fullmatch(p) and not _SENTENCE_END.search(p) for p in parts if p):
+    for i, row in enumerate(cells):
+        if sum(map(bool, row)) > 3 and all(len(p) <= 40 and _ENTRY.fullmatch(p) and not _SENTENCE_END.search(p) for p in row if p):
             beside = {len(cells[j]) for j in (i - 1, i + 1) if 0 <= j < len(lines)}
-            out[i] = 0 if len(parts) in beside else len(parts)
+            out[i] = 0 if len(row) in beside else len(row)
     return out
 
 
 def _menu_entries(line: str) -> tuple[int, int]:
     """How many parts a line has between separators, and how many of them are entries of menus."""
-    parts = [p.strip("[]()«‹ \t").lower() for p in _SPLIT.split(line.strip()) if p and p.strip("-–•*›» \t")]
-    return len(parts), sum(p in MENU for p in parts)
+    found = [p.strip("[]()«‹ \t").lower() for p in _SPLIT.split(line.strip()) if p and p.strip("-–•*›» \t")]
+    return len(found), sum(p in MENU for p in found)
 
 
 #: First words of the cues and of the heads of teaser lists; other lines are not tried, as most lines are prose.
 _FIRST_WORDS = frozenset(
-    """skip menu menü menú you sie vous estás está você jesteś вы home startseite accueil inicio início accept reject allow decline agree ok got manage cookie cookies i alle alles ablehnen
+    """skip menu menü menú you sie vous estás está você jesteś вы home startseite accueil inicio início accept reject allow decline agree manage cookie cookies i alle alles ablehnen
     einstellungen tout refuser paramétrer aceptar rechazar configurar aceitar zaakceptuj принять your advertisement anzeige publicité publicidad sponsored ad ads promoted click download sign subscribe
-    join enjoying support share teilen partager compartir compartilhar udostępnij поделиться tweet tweetle like pin email e print whatsapp follow tag tags filed categories category schlagwörter mots
+    join share teilen partager compartir compartilhar udostępnij поделиться tweet tweetle like pin email e print whatsapp follow tag tags filed categories category schlagwörter mots
     étiquettes etiquetas tagi теги prev previous next older newer zurück weiter précédent suivant anterior siguiente page load show view c copyright powered all back to nach haut volver leave post report
     related popular most trending more read see recommended latest editor editors don up what à articles les sur das mehr meistgelesen ähnliche lesen weitere artículos también lo más te artigos leia mais veja
     zobacz czytaj najczęściej powiązane может читайте похожие самое""".split()
 )
 #: Words that a cue holds anywhere.
-_ANYWHERE = ("cookie", "クッキー", "small files", "rights reserved", "vorbehalten", "droits réservés", "derechos reservados", "direitos reservados", "prawa zastrz", "права защищ", "not responsible for", "©", "関連記事", "おすすめ記事", "人気記事")
+_ANYWHERE = ("cookie", "クッキー", "rights reserved", "vorbehalten", "droits réservés", "derechos reservados", "direitos reservados", "prawa zastrz", "права защищ", "not responsible for", "©", "関連記事", "おすすめ記事", "人気記事")
 _FIRST = re.compile(r"[^\W\d_]+|\d")
 _SENTENCES = re.compile(r"(?<=[.!?。])\s+")
 _SEPARATED = re.compile(r"[|/•·›»>→\t]|\s\s")
 
 
-def _long_notice(line: str) -> bool:
-    """Whether a long line begins as a notice about cookies and half of its sentences are about them."""
-    parts = _SENTENCES.split(line)
-    return bool(_CUES.match(parts[0])) and 2 * sum("cookie" in p.lower() for p in parts) >= len(parts)
+def _notice(line: str) -> bool:
+    """Whether a line of several sentences is a notice as a whole: half of its sentences are about cookies."""
+    found = _SENTENCES.split(line)
+    return len(found) < 4 or 2 * sum("cookie" in p.lower() for p in found) >= len(found)
 
 
 def kind_of(line: str) -> int:
-    """What a line says by itself: certainly furniture, perhaps (a single entry of a menu), the head of a list of teasers, or nothing."""
+    """What the words of a line say: furniture, undecided (a single entry of a menu), the head of a list of titles, or nothing."""
     bare = line.strip()
     low = bare.lower()
     first = _FIRST.search(low)
     if not first or first.group() in _FIRST_WORDS or first.group().isdigit() or not low[0].isalnum() or any(x in low for x in _ANYWHERE):
-        if len(bare) <= 90 and _TEASERS.fullmatch(_MARKER.sub("", bare)):
-            return TEASER_HEAD
-        if _CUES.match(bare) or len(bare) > 300 and "cookie" in low and _long_notice(bare):
-            return SURE
+        if _TEASERS.fullmatch(_MARKER.sub("", bare)):
+            return HEAD
+        if _CUES.match(bare) and _notice(bare):
+            return FURNITURE
     if _SEPARATED.search(bare):
-        parts, known = _menu_entries(bare)
-        if parts > 1 and known >= max(2, 0.6 * parts):
-            return SURE
-        if parts == 1 and known:
-            return MAYBE
+        entries, known = _menu_entries(bare)
+        if entries > 1 and known >= max(2, 0.6 * entries):
+            return FURNITURE
+        if entries == 1 and known:
+            return UNDECIDED
     elif len(low) <= 40 and low.strip("[]()«‹-–•* ") in MENU:
-        return MAYBE
-    return ARTICLE
+        return UNDECIDED
+    return PLAIN
+
+
+_WORDS_ONLY = re.compile(r"\w+(?:[.’'-]\w+)*(?: \w+(?:[.’'-]\w+)*){0,3}[.,]?")
 
 
-def line_ratios(lines: list[str], kinds: list[int], parser: _Lines | None = None, links: list[int] | None = None) -> np.ndarray:
-    """Text-to-tag ratio of each line; each sign of a link list and each entry of a menu counts as a tag."""
-    texts, tags = ([len(x.strip()) for x in lines], links or [0] * len(lines)) if parser is None else (parser.text, parser.tags)
-    ratio = np.array([t / (1 + g + 4 * (k != ARTICLE)) for t, g, k in zip(texts, tags, kinds)], float)
-    return np.minimum(ratio, 200.0)
+def recurring_kind(line: str, site: str | None, seen: Recurring) -> int:
+    """What a line is by what recurs: most of its characters in parts that stand on many pages make it furniture; one to four bare words
+    may be a subhead as well, so they stay undecided."""
+    found = parts(line, site)
+    known = [_part_hash(p) for p in found]
+    if len(found) == 1 and known[0] in seen.heads and len(found[0].split()) <= 8:
+        return HEAD
+    length = sum(len(p) for p, h in zip(found, known) if h in seen.known and _tells(p))
+    if not length or length < 0.6 * sum(map(len, found)):
+        return PLAIN
+    return UNDECIDED if _WORDS_ONLY.fullmatch(_MARKER.sub("", line.strip())) and "§" not in found[0] else FURNITURE
+
+
+# Ratio, smoothing, clusters
+
+
+def line_ratios(texts: list[int], tags: list[float]) -> np.ndarray:
+    """Logarithm of the text-to-tag ratio of each line, 1 added; a line without tags counts as at least ``PLAIN_CHARS`` characters."""
+    t, g = np.array(texts, float), np.array(tags, float)
+    return np.log1p(np.minimum(np.where(g > 0, t, np.maximum(t, PLAIN_CHARS)) / (1 + g), 200.0))
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -204,17 +302,19 @@ def threshold(values: np.ndarray, rounds: int = 12) -> float:
         return 0.0
     low, high = float(values.min()), float(values.max())
     for _ in range(rounds):
-        middle = (low + high) / 2
-        under, over = values[values <= middle], values[values > middle]
-        if not len(under) or not len(over):
+        under = values <= (low + high) / 2
+        if under.all() or not under.any():
             break
-        new = float(under.mean()), float(over.mean())
+        new = float(values[under].mean()), float(values[~under].mean())
         if new == (low, high):
             break
         low, high = new
     return (low + high) / 2
 
 
+# Lists of titles
+
+
 def _is_prose(line: str) -> bool:
     bare = line.strip()
     return bool(_INNER_END.search(bare)) or len(bare) > 40 and bool(_SENTENCE_END.search(bare)) or len(bare.split()) > 11 or "。" in bare
@@ -234,41 +334,18 @@ def _recurs(line: str, others: list[str], below: list[str]) -> bool:
     return any(there.count(w) > 1 for w in rare)
 
 
-def furniture(body: str | None, title: str | None = None, mended: bool = False) -> list[int]:
-    """Numbers, from 1, of the lines that are page furniture; lines are split at newlines, blank ones are never listed.
-
-    A line equal to ``title``, if known, ends a list of teasers before the article. Lines are read with wrong encodings
-    mended, unless the body is ``mended`` already.
-    """
-    if not body or not body.strip():
-        return []
-    if not mended and not body.isascii() and is_garbled(body):
-        again = restore(body)
-        body = again if again.count("\n") == body.count("\n") else body
-    numbers, lines = [], []
-    for i, line in enumerate(body.split("\n"), 1):
-        if line.strip():
-            numbers.append(i)
-            lines.append(line)
-    parser = _tagged(lines)
-    if parser:
-        lines = [_TAG.sub(" ", x).strip() for x in lines]
-    kinds = [kind_of(x) if x else ARTICLE for x in lines]
-    n = len(lines)
-    out = [k in (SURE, TEASER_HEAD) for k in kinds]
-    links = _link_rows(lines, kinds) if not parser else [0] * n
-    if not any(kinds) and not parser and not any(links):
-        return []  # nothing that the words or the regions could tell apart
-    # lists of teasers: title-like lines after their head, up to prose, the page's own title or a sign of something else
+def _listed(lines: list[str], numbers: list[int], kinds: list[int], title: str | None) -> list[bool]:
+    """The lines of lists of titles: those after a head that have the form of titles, up to prose, the page's own title or a sign of something else."""
+    n, out = len(lines), [False] * len(lines)
     own = " ".join(title.split()) if title else None
-    own_words = set(words(title)) if title and TEASER_HEAD in kinds else set()
+    own_words = set(words(title)) if title else set()
     i = 0
     while i < n:
-        if kinds[i] != TEASER_HEAD:
+        if kinds[i] != HEAD:
             i += 1
             continue
         j = i + 1
-        while j < n and kinds[j] in (ARTICLE, MAYBE) and not _is_prose(lines[j]) and " ".join(lines[j].split()) != own:
+        while j < n and kinds[j] in (PLAIN, UNDECIDED) and not _is_prose(lines[j]) and " ".join(lines[j].split()) != own:
             if j > i + 1 and (lines[j][-9:].strip()[-1:] in _ENDS and len(lines[j].split()) > 2 and _SHORT_SENTENCE.search(lines[j][-9:]) or lines[j].count("|") > 1 or "\t" in lines[j].strip()):
                 break  # prose of short lines, or a table
             if _same_title(lines[j], own_words):
@@ -279,76 +356,185 @@ def furniture(body: str | None, title: str | None = None, mended: bool = False)
                     break  # a subhead or the title of the article
             out[j] = True
             j += 1
-        if j < n and kinds[j] == ARTICLE and _is_prose(lines[j]):
+        if j < n and kinds[j] == PLAIN and _is_prose(lines[j]):
             # a sentence that began on the lines before
             k = j
             while k - 1 > i and lines[k].lstrip()[:1].islower() and not _MARKER.match(lines[k - 1]):
                 k -= 1
                 out[k] = False
         i = j
-    # the region decides on single entries of menus
-    ratio = smoothed(line_ratios(lines, [k if o else (MAYBE if k == MAYBE else ARTICLE) for k, o in zip(kinds, out)], parser, links))
-    cut = threshold(ratio)
-    for i in range(n):
-        if kinds[i] == ARTICLE and (parser.boxed[i] or ratio[i] <= cut and 2 * parser.links[i] >= parser.text[i] > 0 if parser else links[i] and ratio[i] <= cut):
-            out[i] = True
-    if parser:  # tags without text go with the lines beside them
-        for order, step in ((range(n), -1), (range(n - 1, -1, -1), 1)):
-            for i in order:
-                if not parser.text[i] and parser.tags[i] and ratio[i] <= cut and 0 <= i + step < n and out[i + step]:
-                    out[i] = True
-    content = [not out[i] and kinds[i] == ARTICLE for i in range(n)]
-    first = next((i for i in range(n) if content[i]), n)
-    last = next((i for i in reversed(range(n)) if content[i]), -1)
-    for i in range(n):
-        if kinds[i] == MAYBE and not out[i]:
-            beside = (i > 0 and (out[i - 1] or kinds[i - 1] == MAYBE)) or (i + 1 < n and (kinds[i + 1] == MAYBE or out[i + 1]))
-            out[i] = i < first or i > last or (beside and ratio[i] <= cut)
-    # a site's name and a year or count beside footers
-    for i in range(n):
-        if not out[i] and _SITE_COUNT.match(lines[i].strip()) and (i > 0 and out[i - 1]) and i > last - 2:
-            out[i] = True
-    return [number for number, o in zip(numbers, out) if o]
-
-
-def article(body: str | None, title: str | None = None, mended: bool = False) -> str | None:
+    return out
+
+
+def furniture(body: str | None, title: str | None = None, site: str | None = None, seen: Recurring = Recurring(), mended: bool = False) -> list[int]:
+    """Numbers, from 1, of the lines that are page furniture; lines are split at newlines, blank ones are never listed.
+
+    A line equal to ``title``, if known, ends a list of titles before the article. ``seen`` says what recurs on other pages of the
+    collection. Lines are read with wrong encodings mended, unless the body is ``mended`` already.
+    """
+    if not body or not body.strip():
+        return []
+    if not mended and not body.isascii() and is_garbled(body):
+        again = restore(body)
+        body = again if again.count("\n") == body.count("\n") else body
+    numbers, lines = [], []
+    for i, line in enumerate(body.split("\n"), 1):
+        if line.strip():
+            numbers.append(i)
+            lines.append(line)
+    parser, tagged = _events(lines)
+    if tagged:
+        lines = [_TAG.sub(" ", x).strip() for x in lines]
+    name = site_name(site)
+    own = " ".join(title.split()).lower() if title else None
+    kinds = [kind_of(x) if x else PLAIN for x in lines]
+    if seen.known:
+        for i, line in enumerate(lines):
+            if kinds[i] in (PLAIN, UNDECIDED) and line and " ".join(line.split()).lower() != own:
+                kinds[i] = recurring_kind(line, name, seen) or kinds[i]
+    listed = _listed(lines, numbers, kinds, title) if HEAD in kinds else [False] * len(lines)
+    tags: list[float] = [t + x for t, x in zip(parser.tags, parser.links)]
+    for i, row in enumerate(_link_rows(lines)):
+        text = parser.text[i]
+        if parser.boxed[i] or listed[i] or kinds[i] in (FURNITURE, HEAD):
+            tags[i] += 10 * max(text, 1)
+        elif kinds[i] == UNDECIDED:
+            tags[i] += max(text / 3.5 - 1, 1)
+        elif row:
+            tags[i] += max(row, text / 4)
+    ratio = line_ratios(parser.text, tags)
+    if tagged:  # tags without text, and scripts, go with the lower of the lines beside them
+        there = np.flatnonzero(parser.text)
+        empty = np.flatnonzero(np.array(parser.text) == 0)
+        if len(there) and len(empty):
+            after = np.searchsorted(there, empty)
+            ratio[empty] = np.minimum(ratio[there[np.maximum(after - 1, 0)]], ratio[there[np.minimum(after, len(there) - 1)]])
+    ratio = smoothed(ratio, SIGMA)
+    border = min(max(threshold(ratio), LEAST_CUT), MOST_CUT)
+    return [number for number, low in zip(numbers, ratio <= border) if low]
+
+
+def article(body: str | None, title: str | None = None, site: str | None = None, seen: Recurring = Recurring(), mended: bool = False) -> str | None:
     """The body without its furniture; null stays null."""
     if body is None:
         return None
-    gone = set(furniture(body, title, mended))
+    gone = set(furniture(body, title, site, seen, mended))
     return "\n".join(x for i, x in enumerate(body.split("\n"), 1) if i not in gone)
 
 
-def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches, 1):
-        rows, numbers = [], []
-        for i, (text, title) in enumerate(zip(texts, batch.column(2).to_pylist())):
-            found = furniture(text, title)
-            rows += [i] * len(found)
-            numbers += found
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64())], names=["record", "line_no"])
+# Collections
+
+
+def page_parts(body: str, title: str | None, site: str | None) -> dict[int, bool]:
+    """The hashes of the parts of a page's lines, and whether a line of the form of a title, not the page's own, follows a line of that part alone."""
+    lines = [x for x in body.split("\n") if x.strip()]
+    if any("<" in x for x in lines):
+        lines = [y for y in (_TAG.sub(" ", x).strip() for x in lines) if y]
+    name, own = site_name(site), " ".join(title.split()) if title else None
+    titles = [_title_like(x) and " ".join(x.split()) != own for x in lines]
+    out: dict[int, bool] = {}
+    for i, line in enumerate(lines):
+        found = parts(line, name)
+        leads = len(found) == 1 and i + 1 < len(lines) and titles[i + 1]
+        for p in filter(_tells, found):
+            h = _part_hash(p)
+            out[h] = out.get(h, False) or leads
+    return out
+
+
+def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, part, page, head) of the distinct parts of each page; ``page`` names its longest line."""
+    for batch, bodies in slices(batches, 1):
+        at, found, page, heads = [], [], [], []
+        for i, (body, title, site) in enumerate(zip(bodies, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            own = page_parts(body or "", title, site)
+            at += [i] * len(own)
+            found += own
+            heads += own.values()
+            page += [_part_hash(max(body.split("\n"), key=len))] * len(own) if own else []
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(3).take(rows), pa.array(found, pa.int64()), pa.array(page, pa.int64()), pa.array(heads, pa.bool_())], names=["record", "site", "part", "page", "head"])
+
+
+def _parts_of(source: DataFrame) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    return source.where("body is not null").select("record", "body", "title", "site").mapInArrow(_part_batches, f"record {kinds['record']}, site string, part bigint, page bigint, head boolean")
+
+
+def recurring_parts(source: DataFrame) -> Recurring:
+    """What recurs in a table of ``record, body, title, site``: on ``PAGE_SHARE`` of all pages, or on ``SITE_SHARE`` of the pages of a site.
+
+    Counts are combined before each shuffle. Copies of a page count once, so that a group of copies of any size makes nothing recur.
+    """
+    site = F.coalesce("site", F.lit(""))
+    sites = cut(source.where("body is not null").groupBy(site.alias("site")).agg(F.count(F.lit(1)).alias("all")), "sites")
+    pages = sites.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n")).first()["n"]
+    once = _parts_of(source).select("part", "page", F.xxhash64(site).alias("site"), "head").groupBy("part", "page").agg(F.min("site").alias("site"), F.max("head").alias("head"))
+    by_site = once.groupBy("part", "site").agg(F.count(F.lit(1)).alias("n"), F.count_if("head").alias("heads"))
+    sized = join_sized(by_site, sites.where("site <> ''").select(F.xxhash64("site").alias("site"), "all"), "site", "left", 16)
+    often = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SITE_SHARE * F.col("all"))
+    total = sized.groupBy("part").agg(F.sum("n").alias("n"), F.sum("heads").alias("heads"), F.coalesce(F.bool_or(often), F.lit(False)).alias("in_site"))
+    table = cut(total.where((F.col("n") >= max(LEAST_PAGES, PAGE_SHARE * pages)) | F.col("in_site")).select("part", (F.col("heads") >= HEAD_SHARE * F.col("n")).alias("head")), "recurring-parts")
+    if table.count() > MOST_PARTS:
+        return Recurring(table=table)
+    rows = [(r["part"], r["head"]) for r in table.toLocalIterator()]
+    return Recurring(frozenset(p for p, _ in rows), frozenset(p for p, h in rows if h))
+
+
+def _with_parts(source: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows with the recurring ones among their parts (``known``, ``heads``), joined by shuffle; none is left out."""
+    rows = cut(source.withColumn("id", F.monotonically_increasing_id()), "pages")
+    found = _parts_of(rows.select(F.col("id").alias("record"), "body", "title", "site")).select(F.col("record").alias("id"), "part").join(table, "part")
+    sets = found.groupBy("id").agg(F.collect_set("part").alias("known"), F.collect_set(F.when(F.col("head"), F.col("part"))).alias("heads"))
+    return rows.join(sets, "id", "left").select("record", "body", "title", "site", "known", "heads")
+
+
+def _each(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Batches with the arguments of ``furniture`` for each row."""
+    for batch, bodies in slices(batches, 1):
+        columns = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
+        seen = [shared.value] * len(bodies) if len(columns) < 4 else [Recurring(frozenset(k or ()), frozenset(h or ())) for k, h in zip(*columns[2:])]
+        yield batch, list(zip(bodies, *columns[:2], seen))
+
+
+def _line_batches(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, pages in _each(batches, shared):
+            found = [furniture(*page) for page in pages]
+            rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([n for x in found for n in x], pa.int64())], names=["record", "line_no"])
+
+    return run
+
 
+def _article_batches(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, pages in _each(batches, shared):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([article(*page) for page in pages], pa.string())], names=["record", "article"])
 
-def _article_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in slices(batches, 1):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([article(*x) for x in zip(texts, batch.column(2).to_pylist())], pa.string())], names=["record", "article"])
+    return run
 
 
-def _source(df: DataFrame, record: str, body: str, title: str | None) -> DataFrame:
-    return df.select(F.col(record).alias("record"), F.col(body).alias("body"), (F.col(title) if title else F.lit(None)).cast("string").alias("title"))
+def _prepared(df: DataFrame, record: str, body: str, title: str | None, site: str | None) -> tuple[DataFrame, object]:
+    optional = [(F.col(c) if c else F.lit(None)).cast("string").alias(n) for c, n in ((title, "title"), (site, "site"))]
+    source = df.select(F.col(record).alias("record"), F.col(body).alias("body"), *optional)
+    seen = recurring_parts(source)
+    if seen.table is not None:
+        source, seen = _with_parts(source, seen.table), Recurring()
+    return source, df.sparkSession.sparkContext.broadcast(seen)
 
 
-def furniture_lines(df: DataFrame, record: str, body: str, title: str | None = None) -> DataFrame:
+def furniture_lines(df: DataFrame, record: str, body: str, title: str | None = None, site: str | None = None) -> DataFrame:
     """``record, line_no`` of every line of page furniture, once per record.
 
-    Null, empty and blank bodies and bodies without furniture give no row; repeated rows give one; other columns are
-    not read and bodies are not shuffled.
+    Null, empty and blank bodies and bodies without furniture give no row; repeated rows give one; an empty table gives none. Other
+    columns are not read. Bodies are shuffled only if more than ``MOST_PARTS`` parts recur.
     """
-    source = _source(df, record, body, title).where("body is not null")
-    return source.mapInArrow(_line_batches, f"record {source.schema['record'].dataType.simpleString()}, line_no bigint").distinct()
+    source, shared = _prepared(df, record, body, title, site)
+    return source.where("body is not null").mapInArrow(_line_batches(shared), f"record {source.schema['record'].dataType.simpleString()}, line_no bigint").distinct()
 
 
-def articles(df: DataFrame, record: str, body: str, title: str | None = None) -> DataFrame:
+def articles(df: DataFrame, record: str, body: str, title: str | None = None, site: str | None = None) -> DataFrame:
     """``record, article``: one row per row of ``df`` with the body's main part; null bodies stay null, empty ones empty."""
-    source = _source(df, record, body, title)
-    return source.mapInArrow(_article_batches, f"record {source.schema['record'].dataType.simpleString()}, article string")
+    source, shared = _prepared(df, record, body, title, site)
+    return source.mapInArrow(_article_batches(shared), f"record {source.schema['record'].dataType.simpleString()}, article string")

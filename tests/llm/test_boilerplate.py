@@ -103,3 +103,47 @@ def test_rows(spark):
     got = {(r["record"], r["article"] is None) for r in articles(df, "line_no", "article", "title").collect()}
     assert got == {("a", False), ("b", True), ("c", False)}
     assert furniture_lines(df.limit(0), "line_no", "article").count() == 0
+
+
+def _site(n, foot="Kaikki oikeudet pidätetään"):
+    """Pages of one site without any word that a list has: a menu in single lines, an article, a list of titles and a footer."""
+    pages = []
+    for i in range(n):
+        own = "".join("abcdefghij"[int(c)] * 2 for c in f"{i:03}")
+        article_ = [f"Hunajasta ja {own}", f"Mehiläiset {own} kantoivat hunajaa koko päivän eikä kukaan tiennyt miksi niin kävi.", "Tausta", f"Toinen kappale {own} kertoo pesistä ja kehyksistä, joita oli enemmän kuin ennen."]
+        titles = [f"› Juttu pesästä {own} tänään", f"› Miten {own} hoidetaan kotona"]
+        pages.append((f"d{i}", article_[0], "\n".join(["Etusivu", "Uutiset", "Kauppa", *article_, "Lue myös nämä", *titles, f"{foot} 20{i % 10}0"]), "www.pesa.test"))
+    return pages
+
+
+def test_what_recurs_needs_no_words(spark, monkeypatch):
+    from termforge.llm import boilerplate
+
+    df = spark.createDataFrame(_site(30), "docid string, title string, body string, site string")
+    found = {(r["record"], r["line_no"]) for r in furniture_lines(df, "docid", "body", "title", "site").collect()}
+    assert found == {(f"d{i}", n) for i in range(30) for n in (1, 2, 3, 8, 9, 10, 11)}  # and the subhead that recurs amid paragraphs stays
+    # beyond the size for the tasks the parts are joined by shuffle: same rows
+    monkeypatch.setattr(boilerplate, "MOST_PARTS", 1)
+    assert {(r["record"], r["line_no"]) for r in furniture_lines(df, "docid", "body", "title", "site").collect()} == found
+
+
+def test_the_threshold_decides_every_line(monkeypatch):
+    from termforge.llm import boilerplate
+
+    assert furniture(PAGE)
+    monkeypatch.setattr(boilerplate, "MOST_CUT", -1.0)
+    assert furniture(PAGE) == []
+    monkeypatch.setattr(boilerplate, "MOST_CUT", 9.0)
+    monkeypatch.setattr(boilerplate, "LEAST_CUT", 9.0)
+    assert len(furniture(PAGE)) == sum(bool(x.strip()) for x in PAGE.split("\n"))
+
+
+def test_copies_make_nothing_recur(spark):
+    page = _site(1)[0]
+    df = spark.createDataFrame([(f"c{i}", *page[1:3], f"site{i % 40}.test") for i in range(400)], "docid string, title string, body string, site string")
+    assert furniture_lines(df, "docid", "body", "title", "site").count() == 0
+
+
+def test_markup_without_known_words():
+    text = ["<div><a href='/a'>Etusivu</a></div>", "<div><a href='/b'>Uutiset</a></div>", "<div><a href='/c'>Kauppa</a></div>", f"<p>{PROSE}</p>", f"<p>{PROSE}</p>", "<div>Copyright 2020</div>"]
+    assert furniture("\n".join(text)) == [1, 2, 3, 6]
