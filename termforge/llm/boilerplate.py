@@ -149,23 +149,22 @@ def _events(lines: list[str]) -> tuple[_Lines, bool]:
 
 
 _DIGITS = re.compile(r"\d+")
-_PARTS = re.compile(r"\s*[|/•·›»>→←«‹]\s*|\s{2,}|\t|(?<=[.!?。])\s+")
+_PARTS = re.compile(r"[|/•·›»>→←«‹\t]+|[.!?。]\s+|\s\s+")
 _EDGES = " []()«‹›»-–•*"
 
 
 def parts(line: str, site: str | None) -> list[str]:
     """The parts of a line between separators, and its sentences, lower-cased, with numbers and the site's name made equal."""
-    low = line.strip().lower()
-    if any(c.isdigit() for c in low):
-        low = _DIGITS.sub("0", low)
+    low = _DIGITS.sub("0", line.strip().lower())
     if site and site in low:
         low = low.replace(site, "§")
-    return [p for p in (x.strip(_EDGES) for x in _PARTS.split(low)) if p] if _PARTS.search(low) else [low.strip(_EDGES) or low]
+    found = [p for p in [x.strip(_EDGES) for x in _PARTS.split(low)] if p]
+    return found or [low]
 
 
 def _tells(part: str) -> bool:
     """Whether a part may recur at all: single letters and numbers do everywhere."""
-    return len(part) > 4 or len(part) > 1 and any(c.isalpha() or c == "§" for c in part)
+    return len(part) > 4 or len(part) > 1 and (not part.isascii() or any(map(str.isalpha, part)))
 
 
 def site_name(site: str | None) -> str | None:
@@ -196,6 +195,7 @@ def _title_like(line: str) -> bool:
 # What a line says by itself
 
 
+_SIGNS = re.compile(r"[|•·›»→]")
 _LINK_SIGN = re.compile(r"\s*[|•·›»→]\s*")
 _ENTRY = re.compile(r"[^\W\d_][\w&'’.-]*(?: [\w&'’.-]+){0,2}")
 _LABELLED = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)?: ([^.!?]+)$")
@@ -204,8 +204,10 @@ _LABELLED = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)?: ([^.!?]+)$")
 def _link_rows(lines: list[str]) -> list[int]:
     """How many entries each line has that is a row of links in plain text, short entries of words; 0 for others, and for rows of tables:
     those beside a line of as many parts."""
-    cells = [_LINK_SIGN.split(x.strip()) if _LINK_SIGN.search(x) else [] for x in lines]
     out = [0] * len(lines)
+    if not _SIGNS.search("\n".join(lines)):
+        return out
+    cells = [_LINK_SIGN.split(x.strip()) if _SIGNS.search(x) else [] for x in lines]
     for i, row in enumerate(cells):
         if sum(map(bool, row)) > 3 and all(len(p) <= 40 and _ENTRY.fullmatch(p) and not _SENTENCE_END.search(p) for p in row if p):
             beside = {len(cells[j]) for j in (i - 1, i + 1) if 0 <= j < len(lines)}
@@ -270,7 +272,9 @@ def recurring_kind(line: str, site: str | None, seen: Recurring) -> int:
     may be a subhead as well, so they stay undecided."""
     found = parts(line, site)
     known = [_part_hash(p) for p in found]
-    if len(found) == 1 and known[0] in seen.heads and len(found[0].split()) <= 8:
+    if seen.known.isdisjoint(known):
+        return PLAIN
+    if len(found) == 1 and known[0] in seen.heads:
         return HEAD
     length = sum(len(p) for p, h in zip(found, known) if h in seen.known and _tells(p))
     if not length or length < 0.6 * sum(map(len, found)):
