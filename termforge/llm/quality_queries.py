@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.llm.quality import COMMON, classified, learned_rules, measures, odd_names, statistics
+from termforge.llm.quality import COMMON, classified, learned_rules, measures, name_rules, odd_names, statistics
 from termforge.plans.tables import cut, one_row_per_key, read_table
 
 
@@ -17,7 +17,8 @@ def _kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     bodies = _kinds(spark, folder).where("kind <> 'prose'").select(F.lit("body").alias("field_name"), F.col("record").alias("record_id"))
-    names = odd_names(read_table(spark, folder, "feature_schema", "schema_id", "column_index", "feature_name"), ["schema_id", "column_index"], "feature_name")
+    schema = read_table(spark, folder, "feature_schema", "schema_id", "column_index", "feature_name")
+    names = odd_names(schema, ["schema_id", "column_index"], "feature_name", name_rules(schema, "schema_id", "feature_name"))
     return bodies.unionByName(names.select(F.lit("feature_name").alias("field_name"), F.concat_ws("/", "schema_id", "column_index").alias("record_id")).distinct())
 
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from termforge.llm.quality import Rule, classified, induced, learned_rules, measures, odd_names, rules_sql, statistics
+from termforge.llm.quality import Rule, classified, induced, learned_rules, measures, name_rules, odd_names, rules_sql, statistics
 
 PROSE = "The bees of the valley were calm, and the keepers fed them in the morning. Nobody knew why the hives were so full this year. It takes two days for the combs to settle."
 LIST = "- warm combs\n- cold queens\n- old hives\n- damp veils\n- rare drones\n- late honeys"
@@ -53,8 +53,39 @@ def test_measures(spark):
         assert [rows[k][c] for c in rows[k].asDict() if c != "record"] == [0, 0, 0, 0, 0]
 
 
+def test_few_labels_are_pruned_too():
+    # one labelled row that lies amid prose gives no rule; three that lie apart do, though no third of the rows holds all of them
+    rng = np.random.default_rng(1)
+    values = rng.random((60, 2))
+    labels = np.where(np.arange(60) == 7, "junk", "prose")
+    values[7] = 0.5
+    values[8:40] = values[7]
+    assert induced(values, labels, ["a", "b"], "prose", np.arange(60) % 3) == []
+    values, labels = rng.random((60, 2)), np.where(np.arange(60) < 3, "junk", "prose")
+    values[:3] = 5.0
+    rules = induced(values, labels, ["a", "b"], "prose", np.arange(60) % 3)
+    assert rules and all(r.holds(values, ["a", "b"])[:3].any() for r in rules)
+
+
+def test_many_rules_and_conditions():
+    # more kinds of junk than any limit of rules: every one gets its rule
+    values = np.repeat(np.arange(140.0), 9)[:, None]
+    labels = np.where(np.arange(140) % 2 == 0, "prose", "junk").repeat(9)
+    rules = induced(values, labels, ["a"], "prose", np.arange(1260) % 3)
+    covered = np.zeros(1260, bool)
+    for r in rules:
+        covered |= r.holds(values, ["a"])
+    assert len(rules) > 60 and (covered == (labels == "junk")).all()
+
+
 def test_odd_names(spark):
+    good = ["doc_word_count", "QueryMinLogFrequency", "BM25Top3Score", "TFIDFScore", "UnorderedWindow8", "doc_body_non_dictionary_count", "QueryVowelCount", "doc_size_kbyte"]
+    schemas = [(f"s{i}", v) for i in range(30) for v in good] + [("s1", "-----"), ("s2", "-----")]
+    rules = name_rules(spark.createDataFrame(schemas, "schema string, name string"), "schema", "name")
+    assert rules and {r.label for r in rules} == {"junk"}
     names = ["doc_word_count", " QueryMinLogFrequency", "BM25TOP3SCORE\t", "tfidfscore", "UnorderedWindow8", "snippet_entropy_max", "url_depth-log", None]
     odd = ["-----", "n/a | n/a", "0x1e68e2f8", "gphcsmdvbxrjxz", "{'a': 60}", "2745;7;2;51", "%col13%_??", "_==>==<>_@==!", "", "  "]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate([*names, *odd])], "value long, name string")
-    assert {r["id"] for r in odd_names(df.withColumnRenamed("value", "id"), ["id"], "name").collect()} == set(range(len(names), len(names) + len(odd)))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*names, *odd])], "id long, name string")
+    assert {r["id"] for r in odd_names(df, ["id"], "name", rules).collect()} == set(range(len(names), len(names) + len(odd)))
+    assert odd_names(df.limit(0), ["id"], "name", rules).count() == 0
+    assert name_rules(df.limit(0), "id", "name") == [] and {r["id"] for r in odd_names(df, ["id"], "name", []).collect()} == {16, 17}
