@@ -119,7 +119,8 @@ def distinctive_terms(df: DataFrame, record: str, text: str, weighting: Weightin
     counts, records, average, head_df = _split(text_term_counts(source, "text"))
     head = {r["term"]: weighting.idf_of(r["records"], records) for r in counts.where((F.col("records") >= head_df) & (F.col("records") >= least_records)).select("term", "records").toLocalIterator()}
     kind = source.schema["record"].dataType.simpleString()
-    found = source.mapInArrow(_candidates(head, weighting, average, top), f"record {kind}, term string, n bigint, length bigint")
+    # cut, as the head's terms and the others are joined apart and the texts must not be read for each
+    found = cut(source.mapInArrow(_candidates(head, weighting, average, top), f"record {kind}, term string, n bigint, length bigint"), "term-candidates")
     return _top(_scored(found, counts, head_df, least_records, weighting, records, average), top, kind)
 
 
