@@ -16,11 +16,15 @@ with the menu that it stands in, or stays as a subhead amid paragraphs.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import accumulate
+from math import ceil, exp, log1p
+from operator import mul
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -234,7 +238,7 @@ _FIRST_WORDS = frozenset(
 _ANYWHERE = ("cookie", "クッキー", "rights reserved", "vorbehalten", "droits réservés", "derechos reservados", "direitos reservados", "prawa zastrz", "права защищ", "not responsible for", "©", "関連記事", "おすすめ記事", "人気記事")
 _FIRST = re.compile(r"[^\W\d_]+|\d")
 _SENTENCES = re.compile(r"(?<=[.!?。])\s+")
-_SEPARATED = re.compile(r"[|/•·›»>→\t]|\s\s")
+_WIDE = re.compile(r"\s\s")
 
 
 def _notice(line: str) -> bool:
@@ -243,23 +247,28 @@ def _notice(line: str) -> bool:
     return len(found) < 4 or 2 * sum("cookie" in p.lower() for p in found) >= len(found)
 
 
-def kind_of(line: str) -> int:
-    """What the words of a line say: furniture, undecided (a single entry of a menu), the head of a list of titles, or nothing."""
+_BETWEEN = "|/•·›»>→\t"
+
+
+def kind_of(line: str, anywhere: bool = True) -> int:
+    """What the words of a line say: furniture, undecided (a single entry of a menu), the head of a list of titles, or nothing.
+
+    ``anywhere`` is False where the page is known to hold no word of ``_ANYWHERE``.
+    """
     bare = line.strip()
-    low = bare.lower()
-    first = _FIRST.search(low)
-    if not first or first.group() in _FIRST_WORDS or first.group().isdigit() or not low[0].isalnum() or any(x in low for x in _ANYWHERE):
+    first = _FIRST.search(bare)
+    if not first or first.start() > 0 or (word := first.group().lower()) in _FIRST_WORDS or word.isdigit() or anywhere and any(x in bare.lower() for x in _ANYWHERE):
         if _TEASERS.fullmatch(_MARKER.sub("", bare)):
             return HEAD
         if _CUES.match(bare) and _notice(bare):
             return FURNITURE
-    if _SEPARATED.search(bare):
+    if any(x in bare for x in _BETWEEN) or _WIDE.search(bare):
         entries, known = _menu_entries(bare)
         if entries > 1 and known >= max(2, 0.6 * entries):
             return FURNITURE
         if entries == 1 and known:
             return UNDECIDED
-    elif len(low) <= 40 and low.strip("[]()«‹-–•* ") in MENU:
+    elif len(bare) <= 40 and bare.lower().strip("[]()«‹-–•* ") in MENU:
         return UNDECIDED
     return PLAIN
 
@@ -285,31 +294,38 @@ def recurring_kind(line: str, site: str | None, seen: Recurring) -> int:
 # Ratio, smoothing, clusters
 
 
-def line_ratios(texts: list[int], tags: list[float]) -> np.ndarray:
+def line_ratios(texts: list[int], tags: list[float]) -> list[float]:
     """Logarithm of the text-to-tag ratio of each line, 1 added; a line without tags counts as at least ``PLAIN_CHARS`` characters."""
-    t, g = np.array(texts, float), np.array(tags, float)
-    return np.log1p(np.minimum(np.where(g > 0, t, np.maximum(t, PLAIN_CHARS)) / (1 + g), 200.0))
+    return [log1p(min((t if g > 0 else max(t, PLAIN_CHARS)) / (1 + g), 200.0)) for t, g in zip(texts, tags)]
+
+
+@lru_cache(maxsize=16)
+def _kernel(sigma: float) -> tuple[float, ...]:
+    radius = ceil(3 * sigma)
+    weights = [exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)]
+    return tuple(w / sum(weights) for w in weights)
 
 
-def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    if len(values) < 2:
-        return values
-    radius = int(np.ceil(3 * sigma))
-    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    padded = np.pad(values, radius, mode="edge")
-    return np.convolve(padded, kernel / kernel.sum(), mode="valid")
+def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
+    """The values convolved with a Gaussian; the first and last ones go on beyond the ends."""
+    kernel = _kernel(sigma)
+    radius = len(kernel) // 2
+    padded = [*values[:1] * radius, *values, *values[-1:] * radius]
+    return [sum(map(mul, kernel, padded[i : i + len(kernel)])) for i in range(len(values))]
 
 
-def threshold(values: np.ndarray, rounds: int = 12) -> float:
+def threshold(values: list[float], rounds: int = 12) -> float:
     """The middle between the means of two clusters."""
-    if len(values) == 0:
+    if not len(values):
         return 0.0
-    low, high = float(values.min()), float(values.max())
+    ordered = sorted(values)
+    sums = [0.0, *accumulate(ordered)]
+    n, low, high = len(ordered), ordered[0], ordered[-1]
     for _ in range(rounds):
-        under = values <= (low + high) / 2
-        if under.all() or not under.any():
+        k = bisect_right(ordered, (low + high) / 2)
+        if not 0 < k < n:
             break
-        new = float(values[under].mean()), float(values[~under].mean())
+        new = sums[k] / k, (sums[n] - sums[k]) / (n - k)
         if new == (low, high):
             break
         low, high = new
@@ -390,11 +406,13 @@ def furniture(body: str | None, title: str | None = None, site: str | None = Non
     if tagged:
         lines = [_TAG.sub(" ", x).strip() for x in lines]
     name = site_name(site)
-    own = " ".join(title.split()).lower() if title else None
-    kinds = [kind_of(x) if x else PLAIN for x in lines]
+    own = title.strip().lower() if title else None
+    low = body.lower()
+    anywhere = any(x in low for x in _ANYWHERE)
+    kinds = [kind_of(x, anywhere) if x else PLAIN for x in lines]
     if seen.known:
         for i, line in enumerate(lines):
-            if kinds[i] in (PLAIN, UNDECIDED) and line and " ".join(line.split()).lower() != own:
+            if kinds[i] in (PLAIN, UNDECIDED) and line and line.strip().lower() != own:
                 kinds[i] = recurring_kind(line, name, seen) or kinds[i]
     listed = _listed(lines, numbers, kinds, title) if HEAD in kinds else [False] * len(lines)
     tags: list[float] = [t + x for t, x in zip(parser.tags, parser.links)]
@@ -408,14 +426,14 @@ def furniture(body: str | None, title: str | None = None, site: str | None = Non
             tags[i] += max(row, text / 4)
     ratio = line_ratios(parser.text, tags)
     if tagged:  # tags without text, and scripts, go with the lower of the lines beside them
-        there = np.flatnonzero(parser.text)
-        empty = np.flatnonzero(np.array(parser.text) == 0)
-        if len(there) and len(empty):
-            after = np.searchsorted(there, empty)
-            ratio[empty] = np.minimum(ratio[there[np.maximum(after - 1, 0)]], ratio[there[np.minimum(after, len(there) - 1)]])
+        texts = [i for i, t in enumerate(parser.text) if t]
+        for i, t in enumerate(parser.text):
+            if not t and texts:
+                after = bisect_right(texts, i)
+                ratio[i] = min(ratio[texts[max(after - 1, 0)]], ratio[texts[min(after, len(texts) - 1)]])
     ratio = smoothed(ratio, SIGMA)
     border = min(max(threshold(ratio), LEAST_CUT), MOST_CUT)
-    return [number for number, low in zip(numbers, ratio <= border) if low]
+    return [number for number, value in zip(numbers, ratio) if value <= border]
 
 
 def article(body: str | None, title: str | None = None, site: str | None = None, seen: Recurring = Recurring(), mended: bool = False) -> str | None:
@@ -435,11 +453,10 @@ def page_parts(body: str, title: str | None, site: str | None) -> dict[int, bool
     if any("<" in x for x in lines):
         lines = [y for y in (_TAG.sub(" ", x).strip() for x in lines) if y]
     name, own = site_name(site), " ".join(title.split()) if title else None
-    titles = [_title_like(x) and " ".join(x.split()) != own for x in lines]
     out: dict[int, bool] = {}
-    for i, line in enumerate(lines):
+    for line, after in zip(lines, [*lines[1:], ""]):
         found = parts(line, name)
-        leads = len(found) == 1 and i + 1 < len(lines) and titles[i + 1]
+        leads = len(found) == 1 and _title_like(after) and " ".join(after.split()) != own
         for p in filter(_tells, found):
             h = _part_hash(p)
             out[h] = out.get(h, False) or leads

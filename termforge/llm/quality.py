@@ -50,7 +50,7 @@ MEASURES = {
 STATISTICS = ("chars", "words", "lines", "word_chars", "line_words", "words_per_end", "terminal_lines", "bullet_lines", "distinct_lines", "distinct_words", "distinct_sentences", "common_words", "symbols", "digits", "separators", "columns", "commas", "turned_ends", "odd_neighbours")
 _COMMON_WORDS = frozenset(COMMON)
 _SENTENCE_SPLIT = re.compile(r"[.!?。]\s*")
-_END = re.compile(r"[^\W_]{2}[)”\"’»]*[.!?。](?=[\s”\"’»)]|$|[^\x00-\x7F])")
+_END = re.compile(r"[.!?。](?:(?<=[^\W_]{2}.)|(?<=[^\W_]{2}[)”\"’»].))(?=[\s”\"’»)]|$|[^\x00-\x7F])")
 _BULLET = re.compile(r"(?:[-*•–·›]|\[[ xX]?\]|\d{1,3}[.)]|[a-z]\))\s")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'’“”\"()–-]|_")
 _DIGIT = re.compile("[0-9]")
