@@ -386,17 +386,27 @@ def _listed(lines: list[str], numbers: list[int], kinds: list[int], title: str |
     return out
 
 
+def _mended(lines: list[str]) -> list[str]:
+    """The lines with wrong encodings mended in those that are no prose; what prose says is not looked up."""
+    at = [i for i, x in enumerate(lines) if not x.isascii() and not _is_prose(x)]
+    text = "\n".join(lines[i] for i in at)
+    if not is_garbled(text):
+        return lines
+    again = restore(text).split("\n")
+    if len(again) != len(at):
+        return lines
+    new = dict(zip(at, again))
+    return [new.get(i, x) for i, x in enumerate(lines)]
+
+
 def furniture(body: str | None, title: str | None = None, site: str | None = None, seen: Recurring = Recurring(), mended: bool = False) -> list[int]:
     """Numbers, from 1, of the lines that are page furniture; lines are split at newlines, blank ones are never listed.
 
     A line equal to ``title``, if known, ends a list of titles before the article. ``seen`` says what recurs on other pages of the
-    collection. Lines are read with wrong encodings mended, unless the body is ``mended`` already.
+    collection. Short lines are read with wrong encodings mended, unless the body is ``mended`` already.
     """
     if not body or not body.strip():
         return []
-    if not mended and not body.isascii() and is_garbled(body):
-        again = restore(body)
-        body = again if again.count("\n") == body.count("\n") else body
     numbers, lines = [], []
     for i, line in enumerate(body.split("\n"), 1):
         if line.strip():
@@ -405,6 +415,8 @@ def furniture(body: str | None, title: str | None = None, site: str | None = Non
     parser, tagged = _events(lines)
     if tagged:
         lines = [_TAG.sub(" ", x).strip() for x in lines]
+    if not mended and not body.isascii():
+        lines = _mended(lines)
     name = site_name(site)
     own = title.strip().lower() if title else None
     low = body.lower()
