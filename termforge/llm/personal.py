@@ -1,15 +1,17 @@
 """Problem 9: personal information inside free text, found and replaced by typed placeholders.
 
-Regular expressions propose spans; checksums (Luhn, mod 97, mod 23) confirm numbers where the kind has one, nearby context
-words raise or lower the score, and a span counts from ``ACCEPT`` on. Names need parts that are known: the given list is
-completed with the parts that stand in unmistakable contexts ("My name is ...") anywhere in the collection.
+Regular expressions propose spans with a score for their shape; a checksum (Luhn, mod 97, mod 23, mod 11) that holds raises it, one
+that fails lowers it; a label, context words before the span and words that deny it (order, version, ...) move it on; a span counts
+from ``ACCEPT`` on. So a number without a label counts by its checksum, one with a label counts even with a typing error, and a
+payment card or account number never counts with a wrong checksum. Names need parts that are known: the given list is completed
+with the parts that stand in unmistakable contexts ("My name is ...") anywhere in the collection.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -65,34 +67,70 @@ def mod97(number: str) -> bool:
 
 
 def mod23(number: str) -> bool:
-    """The letter of an eight-digit identity card."""
+    """The letter of an eight-digit identity card, or of a resident's one, whose first letter stands for a digit."""
     s = re.sub(r"\W", "", number).upper()
+    s = str("XYZ".index(s[0])) + s[1:] if s[:1] in ("X", "Y", "Z") else s
     return len(s) == 9 and s[:8].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(s[:8]) % 23] == s[8]
 
 
+def mod11(number: str) -> bool:
+    """The two last digits of an eleven-digit taxpayer number."""
+    d = [int(c) for c in number if c.isdigit()]
+    return len(d) == 11 and len(set(d)) > 1 and all(sum(x * (n + 1 - i) for i, x in enumerate(d[:n])) * 10 % 11 % 10 == d[n] for n in (9, 10))
+
+
 def _dated(number: str) -> bool:
     """Six first digits that are a date: year, month, day (or day with 60 added)."""
     d = re.sub(r"\D", "", number)[-10:]
     return 1 <= int(d[2:4]) <= 12 and (1 <= int(d[4:6]) <= 31 or 61 <= int(d[4:6]) <= 91)
 
 
-#: (labels, number, checksum that confirms it, score of the shape alone). With its label a number counts even where a checksum fails: typing errors are as personal.
+@dataclass(frozen=True)
+class Kind:
+    """A form of number: its labels, its pattern, the score of the shape, its checksum, what a checksum that fails takes off."""
+
+    kind: str
+    labels: str
+    number: str
+    shape: float
+    check: Callable[[str], bool] | None = None
+    wrong: float = 0.3
+
+
+LABEL, VALID, CONTEXT_WORDS, DENIED = 0.95, 0.5, 0.4, 0.6
+_CREDIT = r"(?:(?:credit|debit|payment|bank)\s+card|Kreditkarte|carte\s+bancaire|tarjeta|cartão|Visa|Mastercard|Amex)"
+_ACCOUNT = r"(?:IBAN|account|Konto(?:nummer)?|compte|cuenta|conta)"
+#: The forms of numbers. Luhn is one of several checks of long plain numbers, so that its failing says nothing there.
 _NUMBERS = [
-    (_SOCIAL, r"\d{3}[- ]\d{2}[- ]\d{4}", None, 0.5),
-    (_SOCIAL + "|" + _NATIONAL, r"\d{9,13}", luhn, 0.0),
-    (_NATIONAL, r"(?:19|20)?\d{6}[-+ ]\d{4}", lambda x: luhn(re.sub(r"\D", "", x)[-10:]) and _dated(x), 0.3),
-    (_NATIONAL + "|CPF", r"\d{3}\.\d{3}\.\d{3}-\d{2}", None, 0.7),
-    (_PASSPORT, r"[A-Z]{1,2}[ ]?\d{6,9}|\d{9}|[CFGHJK][0-9CFGHJKLMNPRTVWXYZ]{8}", None, 0.0),
-    (_TAX, r"\d{2}-\d{7}|\d{2}[ ]?\d{3}[ ]?\d{3}[ ]?\d{3}|\d{3}[-/]\d{3,4}[-/]\d{4,5}|\d{10,11}|9\d{2}-\d{2}-\d{4}|[A-Z]\d{8}", None, 0.2),
-    (_CARD, r"\d{8}[- ]?[A-Za-z]|[XYZ][- ]?\d{7}[- ]?[A-Z]|[A-Z]{1,3}[ ]?\d{6,9}|\d{9,11}", mod23, 0.0),
-    (_INSURANCE, r"[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]|QQ[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]", None, 0.6),
+    Kind("payment_card", _CREDIT, r"[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5}", 0.5, luhn, 1.5),
+    Kind("bank_account", _ACCOUNT, r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?", 0.5, mod97, 1.5),
+    Kind("id_number", _SOCIAL, r"\d{3}[- ]\d{2}[- ]\d{4}", 0.5),
+    Kind("id_number", _SOCIAL + "|" + _NATIONAL, r"\d{9,13}", 0.1, luhn, 0.0),
+    Kind("id_number", _NATIONAL, r"(?:19|20)?\d{6}[-+ ]\d{4}", 0.5, lambda x: luhn(re.sub(r"\D", "", x)[-10:]) and _dated(x)),
+    Kind("id_number", _NATIONAL + "|CPF", r"\d{3}\.\d{3}\.\d{3}-\d{2}", 0.5, mod11),
+    Kind("id_number", _PASSPORT, r"[A-Z]{1,2}[ ]?\d{6,9}|\d{9}|[CFGHJK][0-9CFGHJKLMNPRTVWXYZ]{8}", 0.1),
+    Kind("id_number", _TAX, r"\d{2}-\d{7}|\d{2}[ ]?\d{3}[ ]?\d{3}[ ]?\d{3}|\d{3}[-/]\d{3,4}[-/]\d{4,5}|\d{10,11}|9\d{2}-\d{2}-\d{4}|[A-Z]\d{8}", 0.2),
+    Kind("id_number", _CARD, r"\d{8}[- ]?[A-Za-z]|[XYZ][- ]?\d{7}[- ]?[A-Z]", 0.5, mod23),
+    Kind("id_number", _CARD, r"[A-Z]{1,3}[ ]?\d{6,9}|\d{9,11}", 0.1),
+    Kind("id_number", _INSURANCE, r"[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]|QQ[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]", 0.5),
 ]
-_LABELLED = [re.compile(rf"(?<![\w-])(?:{label}){_LABEL_GAP}(?P<n>{number})(?![\w])", re.I) for label, number, _, _ in _NUMBERS]
-_BARE = [re.compile(rf"(?<![\w.,/-])(?P<n>{number})(?![\w-]|[.,]\d)") for _, number, _, _ in _NUMBERS]
+_LABELLED = [re.compile(rf"(?<![\w-])(?:{k.labels}){_LABEL_GAP}(?P<n>{k.number})(?![\w])", re.I) for k in _NUMBERS]
+_BARE = [re.compile(rf"(?<![\w.,/-])(?P<n>{k.number})(?![\w-]|[.,]\d)") for k in _NUMBERS]
+_CONTEXT = [re.compile(rf"(?<![\w-])(?:{k.labels})(?!\w)", re.I) for k in _NUMBERS]
+
+
+def number_score(form: Kind, number: str, labelled: bool, before: str, context: re.Pattern) -> float:
+    """The score of a proposed number after the text ``before``."""
+    score = form.shape + LABEL * labelled - DENIED * bool(_NO_PHONE_NEAR.search(before))
+    if form.check:
+        score += VALID if form.check(number) else -form.wrong
+    return score + (CONTEXT_WORDS if not labelled and context.search(before) else 0.0)
+
+
 _DIGITS3 = re.compile(r"\d")
 _LONG_NUMBER = re.compile(r"\d[\d ().+/-]{4,}\d")
 #: Any of the labels themselves.
-_LABEL_SIGN = re.compile(rf"(?<![\w-])(?:{'|'.join(dict.fromkeys(label for label, *_ in _NUMBERS))})", re.I)
+_LABEL_SIGN = re.compile(rf"(?<![\w-])(?:{'|'.join(dict.fromkeys(k.labels for k in _NUMBERS))})", re.I)
 _AT_SIGN = re.compile(r"@|[Aa][Tt][\])}]|\sAT\s|\sdot\s")
 
 _UP = r"[A-ZÀ-ÖØ-ÞĄĆĘŁŃŚŹŻŠŽČ]"
@@ -127,22 +165,22 @@ _PART = r"[^\W\d_](?:[\w]|['’-](?=\w))+"
 _INITIAL = r"[^\W\d_]\."
 _NAME = rf"(?:{_PART},\s(?:{_INITIAL}|{_PART})(?:\s{_INITIAL}|\s{_PART})?|(?:{_INITIAL}|{_PART})(?:\s(?:{_INITIAL}|{_PART}))?\s{_PART})"
 #: What stands right before or after a name and hardly ever before or after anything else.
-_BEFORE = r"(?:\b[Mm]y name is|\b[Ss]igned by|\bwitnessed by|\b[Aa]ccording to|\brecords show|\b[Aa]sk for|\bform to|\bcan reach|\b[Aa]ccount of|\b[Bb]ill to:?|\b[Cc]ontact:|\bKontakt:|\b[Aa]pplicant:|\"(?:user|name|author|contact)\"\s*:\s*\"|\bMadame|\bMonsieur|\b[Tt]he judge|\b[Pp]atient:|\b[Nn]ame:|\b[Ii]ch heiße|\b[Mm]e llamo|\b[Jj]e m['’]appelle|\b[Mm]ein Name ist|\b[Ff]rom:|\b[Aa]ttn:?|\bcare of|\bc/o)\s?"
-_AFTER = r"(?=\s(?:wrote the|checked the|habite\b|lives at|wohnt\b|vive en\b|mieszka\b))"
+_BEFORE = r"(?:\b[Mm]y name is|\b[Ss]igned by|\bwitnessed by|\b[Aa]ccording to|\b[Aa]sk for|\b[Aa]ccount of|\b[Bb]ill to:?|\b[Cc]ontact:|\bKontakt:|\b[Aa]pplicant:|\"(?:user|name|author|contact)\"\s*:\s*\"|\bMadame|\bMonsieur|\b[Pp]atient:|\b[Nn]ame:|\b[Ii]ch heiße|\b[Mm]e llamo|\b[Jj]e m['’]appelle|\b[Mm]ein Name ist|\b[Ff]rom:|\b[Aa]ttn:?|\bcare of|\bc/o)\s?"
+_AFTER = r"(?=\s(?:habite\b|lives at|wohnt\b|vive en\b|mieszka\b))"
 _STOP = r"(?=[,;.:(\"\n]|\s(?:and|with|at|for|from|wrote|checked|habite|lives|und|et|y|is|has|was|und|mit|con|by|in|on)\b|\s[<(\[]|\s?$)"
 CONTEXT = re.compile(rf"{_BEFORE}{_TITLE_RUN}(?P<a>{_NAME}?){_STOP}", re.M)
 CONTEXT_AFTER = re.compile(rf"(?<![\w@.])(?:\band\s)?{_TITLE_RUN}(?P<b>{_NAME}){_AFTER}", re.M)
 _SIGN_OFF = re.compile(rf"^(?:(?:Best wishes|Best|Kind regards|Regards|Thanks|Thank you|Cheers|Sincerely|Yours|Viele Grüße|Mit freundlichen Grüßen|Cordialement|Saludos|Atentamente),?|.*\b(?:Regards|wishes|Thanks),?)\s+{_TITLE_RUN}(?P<c>{_NAME})\s*$", re.M)
 _TITLED = re.compile(rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)\b\.?\s+(?P<d>{_NAME})")
 #: What texts hold in which the patterns above can match, lower-cased but for titles.
-_BEFORE_STEMS = ("name is", "name:", "signed by", "witnessed by", "according to", "records show", "ask for", "form to", "can reach", "account of", "bill to", "contact:", "kontakt:", "applicant:", '"user"', '"name"', '"author"', '"contact"', "madame", "monsieur", "the judge", "patient:", "heiße", "me llamo", "appelle", "from:", "attn", "care of", "c/o")
-_AFTER_STEMS = ("wrote the", "checked the", "habite", "lives at", "wohnt", "vive en", "mieszka")
+_BEFORE_STEMS = ("name is", "name:", "signed by", "witnessed by", "according to", "ask for", "account of", "bill to", "contact:", "kontakt:", "applicant:", '"user"', '"name"', '"author"', '"contact"', "madame", "monsieur", "patient:", "heiße", "me llamo", "appelle", "from:", "attn", "care of", "c/o")
+_AFTER_STEMS = ("habite", "lives at", "wohnt", "vive en", "mieszka")
 _SIGN_STEMS = ("wishes", "regards", "thank", "cheers", "sincerely", "yours", "grüße", "grüßen", "cordialement", "saludos", "atentamente")
 _BEST = re.compile(r"^Best,?\s", re.M)
 _TITLE_STEMS = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme")
 _TOKENS = re.compile(rf"{_INITIAL}(?!\w)|{_PART}")
 #: Capitalised words that are no parts of names.
-_NO_PART = frozenset("the a an this that these those it he she they we i you my your our his her their its museum survey foundry works institute press archive library guild council trust harbour board street road lane avenue inc ltd gmbh company university department regards thanks wishes best hello hi dear all contact kontakt tel phone fax question answer if when some many most do what who why how and or of in at on by for from to with no one only news ask call".split())
+_NO_PART = frozenset("the a an this that these those it he she they we i you my your our his her their its museum institute press archive library council trust street road lane avenue inc ltd gmbh company university department regards thanks wishes best hello hi dear all contact kontakt tel phone fax question answer if when some many most do what who why how and or of in at on by for from to with no one only news ask call".split())
 
 
 @dataclass
@@ -273,19 +311,18 @@ def spans(text: str | None, names: Names) -> list[tuple[str, int, int]]:
                 local = m.group("local")
                 add("email", m.start(), m.end()) if local.lower() != "mailto" else None
     if _DIGITS3.search(text):
-        if _LABEL_SIGN.search(text):
-            for pattern in _LABELLED:
-                for m in pattern.finditer(text):
-                    add("id_number", *m.span("n"))
-        if _LONG_NUMBER.search(text):
-            for pattern, (_, _, check, score) in zip(_BARE, _NUMBERS):
-                if score == 0:
-                    continue
+        labels = bool(_LABEL_SIGN.search(text))
+        long_number = bool(_LONG_NUMBER.search(text))
+        for patterns in ((_LABELLED,) if labels else ()) + ((_BARE,) if long_number else ()):
+            for pattern, form, context in zip(patterns, _NUMBERS, _CONTEXT):
+                if patterns is _BARE and not form.check and not labels:
+                    continue  # neither a checksum nor a context word can bring such a shape to the score
                 for m in pattern.finditer(text):
-                    total = score + (0.7 if check and check(m.group("n")) else 0)
-                    total -= 0.5 * bool(_NO_PHONE_NEAR.search(text[max(0, m.start() - NEAR) : m.start()]))
-                    if total >= ACCEPT:
-                        add("id_number", *m.span("n"))
+                    labelled = patterns is _LABELLED
+                    at = m.start() if labelled else m.start("n")
+                    if number_score(form, m.group("n"), labelled, text[max(0, at - NEAR) : at], context) >= ACCEPT:
+                        add(form.kind, *m.span("n"))
+        if long_number:
             for m in PHONE.finditer(text):
                 digits = sum(c.isdigit() for c in m.group())
                 if not 7 <= digits <= 15:

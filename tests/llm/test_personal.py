@@ -15,7 +15,7 @@ def found(text):
         ("Reply to lumpa37 [at] dasale [dot] example [dot] org please", [("email", "lumpa37 [at] dasale [dot] example [dot] org")]),
         ("write to mailto:zor@corcene.example.", [("email", "zor@corcene.example")]),
         ("mail (GO_CO85 AT XACURD DOT TEST)", [("email", "GO_CO85 AT XACURD DOT TEST")]),
-        ("can reach Xyr Abc at a.b(at)c-mail.example or call 822.555.0152 now", [("name", "Xyr Abc"), ("email", "a.b(at)c-mail.example"), ("phone", "822.555.0152")]),
+        ("Contact: Xyr Abc at a.b(at)c-mail.example or call 822.555.0152 now", [("name", "Xyr Abc"), ("email", "a.b(at)c-mail.example"), ("phone", "822.555.0152")]),
         ("Follow @telmine_bot for updates at noon", []),
         ("Tel. +49 (0)30 5550672, fax 07700 900711", [("phone", "+49 (0)30 5550672"), ("phone", "07700 900711")]),
         ("Call me on (952) 555-0105. Ring +33 1 99 00 83 47 or 030/5550292", [("phone", "(952) 555-0105"), ("phone", "+33 1 99 00 83 47"), ("phone", "030/5550292")]),
@@ -96,3 +96,35 @@ def test_every_name_context_passes_its_gate(text):
 def test_addresses_in_words_over_lines():
     assert found("abc\nat corcene\ndot example") == [("email", "abc\nat corcene\ndot example")]
     assert found("abc\nAT\ncorcene.example") == [("email", "abc\nAT\ncorcene.example")]
+
+
+def _kinds(text):
+    return [(k, text[s:e]) for k, s, e in spans(text, Names())]
+
+
+def test_checksums_confirm_and_reject():
+    # payment cards and accounts count by their checksum alone, labelled or not
+    for number in ("4111 1111 1111 1111", "5500000000000004", "3782 822463 10005"):
+        assert _kinds(f"Paid with {number} today") == [("payment_card", number)]
+    assert _kinds("Paid with credit card 4111 1111 1111 1112 today") == []
+    assert _kinds("Send it to GB82 WEST 1234 5698 7654 32 please") == [("bank_account", "GB82 WEST 1234 5698 7654 32")]
+    assert _kinds("Send it to IBAN GB82 WEST 1234 5698 7654 33 please") == []
+    # identity cards without a label need the right letter; with one a wrong letter is a typing error
+    assert _kinds("the number 12345678Z stands there") == [("id_number", "12345678Z")]
+    assert _kinds("the number X1234567L stands there") == [("id_number", "X1234567L")]
+    assert _kinds("the number 12345678A stands there") == []
+    assert _kinds("my DNI 12345678A") == [("id_number", "12345678A")]
+    # words that deny it outweigh a label with a wrong checksum, not one with a right checksum
+    assert _kinds("order: DNI 12345678A") == [] and _kinds("order: DNI 12345678Z") == [("id_number", "12345678Z")]
+    # taxpayers and persons
+    assert _kinds("see 529.982.247-25 there") == [("id_number", "529.982.247-25")] and _kinds("see 529.982.247-26 there") == []
+    assert _kinds("see 811218-9876 there") == [("id_number", "811218-9876")] and _kinds("see 811218-9875 there") == []
+
+
+def test_a_checksum_changes_the_score():
+    from termforge.llm.personal import _CONTEXT, _NUMBERS, number_score
+
+    for form, context in zip(_NUMBERS, _CONTEXT):
+        if form.check:
+            right, wrong = (number_score(type(form)(form.kind, form.labels, form.number, form.shape, lambda _, x=x: x, form.wrong), "1", False, "", context) for x in (True, False))
+            assert right > wrong
