@@ -1,10 +1,12 @@
 import random
+from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from termforge.llm.byte_bpe import PairIndexEncoder, default_vocabulary, token_ids
-from termforge.llm.leakage import TestItems as Block
-from termforge.llm.leakage import leaks
+from termforge.llm.leakage import WordHashes, _prints, leaks, longest_run
 from termforge.llm.words import words
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -53,8 +55,26 @@ def test_winnowing_finds_every_shared_run():
         items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 40)))) for i in range(6)]
         texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))) for _ in range(10)] + [None, ""]
         for run, gram in ((4, 3), (6, 4), (5, 5), (5, 1)):
-            block = Block(items, run, gram)
-            assert {(d, block.items[i]) for d, i, _ in block.hits(texts)} == _brute(texts, items, run)
+            sides = []
+            for rows in (list(enumerate(texts)), items):
+                batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())], names=["record", "text"])
+                side = defaultdict(set)
+                for out in _prints(run, gram, None)([batch]):
+                    for record, h in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                        side[h].add(record)
+                sides.append(side)
+            pairs = {(d, i) for h, own in sides[0].items() for d in own for i in sides[1].get(h, ())}
+            expected = _brute(texts, items, run)
+            assert expected <= pairs
+            hashing = WordHashes()
+            assert {(d, i) for d, i in pairs if longest_run(hashing.of(texts[d]), hashing.of(dict(items)[i]), gram) >= run} == expected
+
+
+def test_a_bitmap_keeps_what_it_has():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(200))])], names=["record", "text"])
+    (everything,) = _prints(12, 8, None)([batch])
+    full, empty = np.full(1 << 16, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(1 << 16, np.uint64)
+    assert next(_prints(12, 8, full)([batch])).equals(everything) and next(_prints(12, 8, empty)([batch])).num_rows == 0
 
 
 def test_leaks_edges(spark):
