@@ -1,14 +1,15 @@
 """Problem 2: near-duplicate records with small edits.
 
 Each record becomes the set of its word shingles and a SetSketch: register i holds the least of exponentially distributed
-hashes of the set, on an exponential scale of base ``BASE`` and truncated to 16 bits. Sketches of parts merge by maximum.
+hashes of the set, on an exponential scale of base ``BASE`` and truncated to 16 bits. Sketches of parts merge by maximum (``merged``).
 
 1. Records with equal shingle sets form a class; one row per class goes on.
 2. Registers are banded. Classes that agree on all registers of a band are candidates. The chance of agreeing on one
    register is close to the similarity, so ``BANDS`` bands of ``ROWS`` registers find a pair at the threshold with
    probability above 0.99 and at 1.1 times the threshold above 0.999.
 3. A band's bucket with more than ``BUCKET`` classes (pages of one mould) is not paired up: its classes go through an
-   exact prefix-filter join instead, in which two sets at the threshold must share one of their rarest shingles.
+   exact prefix-filter join instead, in which two sets at the threshold must share one of their rarest shingles. This is
+   another method than SetSketch, for these buckets only; it loses no pair.
 4. For each candidate pair the similarity is estimated jointly from both sketches by maximum likelihood over the registers
    that are smaller, equal and larger; pairs far below the threshold are left out, all others are verified on the sets.
 """
@@ -168,14 +169,19 @@ def _sketch_batches(shingling: Shingling):
             found = sketches(grams, starts)
             ends = np.append(starts[1:], len(grams))
             at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([_class_of(grams[s:e]) for s, e in zip(starts, ends)], pa.int64()), pa.array((ends - starts).astype(np.int32)), pa.array([r.astype(">u2").tobytes() for r in found], pa.binary())], names=["record", "version", "class", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([_class_of(grams[s:e]) for s, e in zip(starts, ends)], pa.binary()), pa.array((ends - starts).astype(np.int32)), pa.array([r.astype(">u2").tobytes() for r in found], pa.binary())], names=["record", "version", "class", "size", "sketch"])
 
     return run
 
 
-def _class_of(grams: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets have equal names."""
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _class_of(grams: np.ndarray) -> bytes:
+    """A 128-bit name of a set: equal sets have equal names, and different ones do not meet at any number of documents."""
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sketch of the union of two sets (or the sketches, row by row): a register stands for the least hash, which the greater level names."""
+    return np.maximum(a, b)
 
 
 def _set_batches(shingling: Shingling):
@@ -184,7 +190,7 @@ def _set_batches(shingling: Shingling):
         for _, texts in slices(batches, 1, 2_000_000):
             grams, starts, _ = shingler.sets([t or "" for t in texts])
             sets = np.split(grams, starts[1:]) if len(starts) else []
-            yield pa.RecordBatch.from_arrays([pa.array([_class_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "size", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class_of(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["class", "size", "grams"])
 
     return run
 
@@ -226,7 +232,7 @@ def _verify_batches(threshold: Fraction):
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """``members``: record, class, one row per record. ``links``: class_a < class_b, common, all_grams, one row per pair of different sets."""
+    """``members``: record, class, one row per record. ``links``: class_a < class_b, common, all_grams, one row per pair of different sets, verified as they are read."""
 
     members: DataFrame
     links: DataFrame
@@ -246,18 +252,18 @@ def near_duplicates(df: DataFrame, record: str, texts: list[str], version: str |
     source = df.select(F.col(record).alias("record"), joined.alias("text"), order.alias("version")).where("record is not null")
     types = {f.name: f.dataType.simpleString() for f in source.schema}
     # One pass over the texts; all but the verification works on what it writes.
-    table = cut(source.mapInArrow(_sketch_batches(shingling), f"record {types['record']}, version {types['version']}, class bigint, size int, sketch binary"), "sketches")
+    table = cut(source.mapInArrow(_sketch_batches(shingling), f"record {types['record']}, version {types['version']}, class binary, size int, sketch binary"), "sketches")
     members = cut(newest_per_key(table.select("record", "version", "class"), ["record"], ["version"]).select("record", "class"), "members")
 
     pairs = cut(_candidates(source, table, shingling), "candidates")
     sketch = table.select("class", "size", F.substring("sketch", 1, 2 * ESTIMATE).alias("sketch"))
     sketch = join_sized(sketch, _classes_of(pairs), "class", "left_semi", 16).dropDuplicates(["class"])
-    likely = cut(_with_both(pairs, sketch).mapInArrow(_estimate_batches(t), "class_a bigint, class_b bigint"), "likely")
+    likely = cut(_with_both(pairs, sketch).mapInArrow(_estimate_batches(t), "class_a binary, class_b binary"), "likely")
     links = _with_both(likely, _sets_of(source, table, _classes_of(likely), shingling)).mapInArrow(_verify_batches(shingling.threshold), _LINK)
-    return NearDuplicates(members, cut(links, "links"))
+    return NearDuplicates(members, links)
 
 
-_LINK = "class_a bigint, class_b bigint, common bigint, all_grams bigint"
+_LINK = "class_a binary, class_b binary, common bigint, all_grams bigint"
 
 
 def _classes_of(pairs: DataFrame) -> DataFrame:
@@ -275,7 +281,7 @@ def _sets_of(source: DataFrame, table: DataFrame, classes: DataFrame, shingling:
     """``class, size, grams`` of some classes, from the text of one record of each."""
     kept = join_sized(table.select("record", "class"), classes, "class", "left_semi", 16).groupBy("class").agg(F.min("record").alias("record"))
     records = cut(kept.select("record"), "class-records")
-    sets = join_sized(source, records, "record", "left_semi").mapInArrow(_set_batches(shingling), "class bigint, size int, grams binary")
+    sets = join_sized(source, records, "record", "left_semi").mapInArrow(_set_batches(shingling), "class binary, size int, grams binary")
     return sets.dropDuplicates(["class"])
 
 
@@ -284,7 +290,7 @@ def _candidates(source: DataFrame, table: DataFrame, shingling: Shingling) -> Da
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)])
     banded = table.select("class", F.explode(bands).alias("band"))
     # Which buckets hold two classes at all: a state of fixed size per bucket, combined before the shuffle.
-    mark = F.hash("class")
+    mark = F.xxhash64("class")  # 64 bits for each bucket of a few classes, and numbers are aggregated by hash, names by sorting
     shared = cut(banded.groupBy("band").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).where("least <> most").select("band"), "shared-buckets")
     filled = cut(join_sized(banded, shared, "band", "left_semi", 24).distinct(), "filled-buckets")
     large = cut(filled.groupBy("band").count().where(F.col("count") > BUCKET).select("band"), "large-buckets")
@@ -310,7 +316,7 @@ def _prefix_pairs(source: DataFrame, table: DataFrame, hot: DataFrame, shingling
     """
     t = float(shingling.threshold)
     sets = cut(_sets_of(source, table, hot, shingling), "hot-sets")
-    grams = sets.mapInArrow(_gram_rows, "class bigint, size int, gram bigint")
+    grams = sets.mapInArrow(_gram_rows, "class binary, size int, gram bigint")
     ranked = grams.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
     rows = ranked.groupBy("class", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
     need = (F.col("size") - F.ceil(F.lit(t) * F.col("size") - 1e-9) + 1).cast("int")

@@ -4,7 +4,7 @@ from fractions import Fraction
 import numpy as np
 
 from termforge.llm import neardup
-from termforge.llm.neardup import Shingler, Shingling, expanded, joint_estimate, near_duplicates, sketches
+from termforge.llm.neardup import Shingler, Shingling, expanded, joint_estimate, merged, near_duplicates, sketches
 from termforge.llm.words import words
 
 THREE = Shingling(words=3, least_words=5, threshold=Fraction(6, 10))
@@ -63,7 +63,8 @@ def test_registers_merge_and_the_estimate_is_near_the_similarity():
         pool = rng.permutation(pool)[: common + 2 * own]
         a, b = pool[: common + own], np.concatenate([pool[:common], pool[common + own :]])
         s = sketches(np.concatenate([np.sort(a), np.sort(b), np.sort(np.union1d(a, b))]), np.array([0, len(a), len(a) + len(b)]))
-        assert (np.maximum(s[0], s[1]) == s[2]).all()
+        assert (merged(s[0], s[1]) == s[2]).all()
+        assert (merged(s[:2], s[1:]) == np.stack([s[2], s[2]])).all()
         j = joint_estimate(s[:1], s[1:2], np.array([float(len(a))]), np.array([float(len(b))]))[0]
         assert abs(j - share) < 0.12
 
