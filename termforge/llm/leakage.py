@@ -157,7 +157,7 @@ def _verified(run: int, gram: int):
     return work
 
 
-def leaks(docs: DataFrame, doc: str, text: str, tests: DataFrame, item: str, item_text: str, run: int = 12, gram: int = 8) -> DataFrame:
+def leaks(docs: DataFrame, doc: str, text: str, tests: DataFrame, item: str, item_text: str, run: int = 12, gram: int = 10) -> DataFrame:
     """``doc, item, run_words``: every document that shares a run of at least ``run`` consecutive words with a test item, and the longest such run.
 
     The test side is broadcast only where its measured size allows it, else both sides' hashes are joined by shuffle, skewed hashes split
@@ -173,7 +173,8 @@ def leaks(docs: DataFrame, doc: str, text: str, tests: DataFrame, item: str, ite
     found = source.mapInArrow(_prints(run, gram, _bitmap(asked)), f"record {kinds['doc']}, h bigint").withColumnRenamed("record", "doc")
     pairs = cut(join_sized(found, asked, "h").select("doc", "item").distinct(), "leak-pairs")
     texts = join_sized(pairs, items, "item", row_bytes=16_384)  # far above the length of an item
-    both = join_sized(source, texts, "doc", row_bytes=16_384)
+    held = join_sized(source, cut(pairs.select("doc").distinct(), "leak-docs"), "doc", "left_semi", 32)
+    both = held.join(texts, "doc")
     checked = both.select("doc", "item", "text", "item_text").mapInArrow(_verified(run, gram), f"doc {kinds['doc']}, item {kinds['item']}, run_words bigint")
     return checked.groupBy("doc", "item").agg(F.max("run_words").alias("run_words"))
 
