@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.llm.encodings import garbled_fields
-from termforge.plans.tables import read_table
+from termforge.plans.tables import one_row_per_key, read_table
+
+
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest row of every docid."""
+    return one_row_per_key(read_table(spark, folder, "docs", "docid", "title", "body", "loaded_at"), ["docid"], ["loaded_at"])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = garbled_fields(read_table(spark, folder, "docs", "docid", "title", "body"), "docid", ["title", "body"])
+    found = garbled_fields(_docs(spark, folder), "docid", ["title", "body"])
     return found.select(F.col("record").alias("docid"), F.col("field").alias("field_name"))
 
 
 def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
     """The garbled fields with the text restored as far as its bytes are known."""
-    found = garbled_fields(read_table(spark, folder, "docs", "docid", "title", "body"), "docid", ["title", "body"], restoring=True)
+    found = garbled_fields(_docs(spark, folder), "docid", ["title", "body"], restoring=True)
     return found.select(F.col("record").alias("docid"), F.col("field").alias("field_name"), "restored", "complete")
 
 

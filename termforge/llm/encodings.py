@@ -286,9 +286,24 @@ def _plain(word: str, before: str) -> bool:
     return not (before.islower() and word.isupper()) and not re.search(r"[^\W\d_](?<=[a-zß-ÿа-яё])[A-ZÀ-ÞА-ЯЁ]", word)
 
 
-def restore(text: str, passes: int = 3) -> str:
-    """The original text where its bytes are still known; correct spans are left as they are."""
-    if not _NEEDS[8].isdisjoint(text):
+def _utf8_again(text: str) -> str:
+    """Text whose UTF-8 was read as another encoding, read again as long as that gives anything."""
+    while True:  # every pass makes one character of several, so it ends
+        votes, found = evidence(text)
+        if not found:
+            return text
+        for wrong, _ in sorted(votes.items(), key=lambda x: (-x[1], WRONG_FOR_UTF8.index(x[0]))):
+            new = _runs(wrong).sub(lambda m: _reread(m.group(), wrong), text)  # noqa: B023
+            if len(new) < len(text):
+                break
+        else:
+            return text
+        text = new
+
+
+def restore(text: str) -> str:
+    """The original text where its bytes are still known, however often it was garbled; correct spans are left as they are."""
+    if not _NEEDS[8].isdisjoint(text) and (len(again := _utf8_again(text)) == len(text) or is_garbled(again)):
         text = re.sub(r"[\x20-\xff]+", _japanese, text)
     first, *pairs = _WORDS[0]
     if len(first.findall(text)) > sum(evidence(text)[0].values()):
@@ -297,17 +312,7 @@ def restore(text: str, passes: int = 3) -> str:
         text = best
         for pair in pairs[len(cyrillic) :]:
             text = _whole(text, *pair, first)
-    for _ in range(passes):
-        votes, found = evidence(text)
-        if not found:
-            break
-        for wrong, _ in sorted(votes.items(), key=lambda x: (-x[1], WRONG_FOR_UTF8.index(x[0])))[:4]:
-            new = _runs(wrong).sub(lambda m: _reread(m.group(), wrong), text)  # noqa: B023
-            if new != text:
-                break
-        else:
-            break
-        text = new
+    text = _utf8_again(text)
     votes = pair_votes(text)
     if votes:
         read = [new for pair, _ in votes.most_common() if (new := _whole(text, *pair, _WORDS[2][0])) != text]

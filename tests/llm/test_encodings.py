@@ -73,3 +73,10 @@ def test_rows(spark):
     got = {(r["record"], r["field"], r["restored"][:9], r["complete"]) for r in garbled_fields(df, "record", ["field", "text"], restoring=True).collect()}
     assert got == {("a", "field", LATIN[:9], True), ("c", "text", LATIN[:9], True), (None, "field", LATIN[:9], True)}
     assert garbled_fields(df.limit(0), "record", ["field"]).count() == 0
+
+
+def test_text_garbled_many_times():
+    text = once = "Les élèves précèdent la dernière étape"
+    for _ in range(6):
+        once = once.encode().decode("latin-1")
+    assert is_garbled(once) and restore(once) == text
