@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from termforge.functions import text as T
 from termforge.operators import dataset, legacy, model, retrieval, sampling
 from termforge.operators.document_features import document_features, text_features
-from termforge.operators.index import Index, build_index, collection_stats, indexable, term_stats, with_ordinals
+from termforge.operators.index import Index, indexable, stored_index, term_stats, with_ordinals
+from termforge.operators.index import collection_stats as collection_stats_of
 from termforge.operators.pair_features import PAIR_FEATURES, pair_features
 from termforge.operators.positional import positional_counts
 from termforge.operators.query_features import query_features, query_frequencies
-from termforge.operators.registry import all_features
+from termforge.operators.registry import FEATURES, all_features
 from termforge.plans.predicates import matches_terms
+from termforge.plans.search import feature_search, needs_a_term, planned, search_rows
 from termforge.plans.tables import cut, newest_per_key, one_row_per_key, read_table
 
 FLAGSHIP = "monomial_topk"
@@ -68,8 +71,8 @@ def dictionary(queries: DataFrame) -> DataFrame:
 
 
 def index(spark: SparkSession, folder: str) -> Index:
-    built = build_index(cut(corpus(spark, folder), "corpus"))
-    return Index(built.docs, cut(built.postings, "postings"), built.terms, built.stats)
+    """The stored index of the corpus: built by the first query of an application that needs it, opened by the others."""
+    return stored_index(spark, folder, lambda: corpus(spark, folder))
 
 
 # Queries
@@ -85,7 +88,7 @@ def term_statistics(spark, folder):
 
 
 def collection_statistics(spark, folder):
-    return collection_stats(corpus(spark, folder).select(F.size(T.whitespace_tokens("body")).alias("body_length"))).select("num_docs", "doc_count", "sum_ttf", F.round(F.col("average_length").cast("double"), 3).alias("average_length"))
+    return collection_stats_of(corpus(spark, folder).select(F.size(T.whitespace_tokens("body")).alias("body_length"))).select("num_docs", "doc_count", "sum_ttf", F.round(F.col("average_length").cast("double"), 3).alias("average_length"))
 
 
 def document_text_features(spark, folder):
@@ -115,11 +118,13 @@ def query_feature_table_with_nouns(spark, folder):
     return _query_features(spark, folder, True)
 
 
+def _pair_features(spark, folder, names=PAIR_FEATURES):
+    built = index(spark, folder)
+    return pair_features(candidate_pairs(spark, folder), query_set(spark, folder), built.docs, built.terms, built.stats, names, built.postings)
+
+
 def pair_feature_table(spark, folder):
-    docs = corpus(spark, folder)
-    lengths = docs.select(F.size(T.whitespace_tokens("body")).alias("body_length"))
-    found = pair_features(candidate_pairs(spark, folder), query_set(spark, folder), docs, term_stats(docs), collection_stats(lengths))
-    return found.select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in PAIR_FEATURES])
+    return _pair_features(spark, folder).select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in PAIR_FEATURES])
 
 
 def positional_table(spark, folder):
@@ -134,13 +139,15 @@ def term_condition_counts(spark, folder):
     return rows.groupBy("query_id").agg(F.count_if(matches_terms("q_tokens", "tokens", ratio=0.5)).alias("over_half"), F.count_if(matches_terms("q_tokens", "tokens", count=1)).alias("over_one"))
 
 
+def _all_features(spark, folder, pairs):
+    queries, built = query_set(spark, folder), index(spark, folder)
+    titles = built.docs.select(F.explode(T.words(F.lower("title"))).alias("word")).distinct()
+    return all_features(pairs, queries, built.docs, built, dictionary(queries), query_frequencies(queries), titles)
+
+
 def all_feature_table(spark, folder):
-    """Every feature but the noun count for all candidate pairs, in the fixed order."""
-    queries, docs = query_set(spark, folder), cut(corpus(spark, folder), "corpus")
-    built = build_index(docs)
-    built = Index(built.docs, cut(built.postings, "postings"), built.terms, built.stats)
-    titles = docs.select(F.explode(T.words(F.lower("title"))).alias("word")).distinct()
-    found = all_features(candidate_pairs(spark, folder), queries, docs, built, dictionary(queries), query_frequencies(queries), titles, nouns=False)
+    """All features for all candidate pairs, in the fixed order."""
+    found = _all_features(spark, folder, candidate_pairs(spark, folder))
     return found.select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 5 if "Log" in c else 4).alias(c) for c in found.columns[2:]])
 
 
@@ -181,26 +188,27 @@ def hard_negatives(spark, folder):
     return retrieval.hard_negatives(ranked, relevant_pairs(queries)).select("query_id", "doc_id", F.col("rank0").cast("bigint").alias("rank0"))
 
 
-def _search_rows(spark, folder):
-    """Every document with its features for the one query; what depends on the query alone is known while planning."""
-    docs = cut(corpus(spark, folder), "corpus")
-    query = spark.createDataFrame([("q", SEARCH)], "query_id string, query string")
-    lengths = docs.select(F.size(T.whitespace_tokens("body")).alias("body_length"))
-    pairs = docs.select("doc_id").crossJoin(F.broadcast(query.select("query_id")))
-    found = pair_features(pairs, query, docs, term_stats(docs), collection_stats(lengths), ("BM25Score", "ExactMatchCount", "TitleExactMatchRatio", "UnorderedWindow8"))
-    plain = docs.select("doc_id", *[c.cast("float").alias(n) for n, c in text_features().items() if n in MODEL.features])
-    rows = plain.join(found.drop("query_id"), "doc_id")
-    return rows, model.Conditions({c: F.col(c) for c in rows.columns}, {"QueryWordCount": float(len(SEARCH.split()))})
+LEXICAL = ("BM25Score", "ExactMatchCount", "TitleExactMatchRatio", "UnorderedWindow8")
+
+
+def _search_rows(spark, folder, threshold=None):
+    """The documents that can score above the threshold for the one query (all without a threshold), and the model's conditions on them."""
+    built = index(spark, folder)
+    query = planned(built, SEARCH)
+    constants = {"QueryWordCount": float(len(SEARCH.split()))}
+    rows = search_rows(built, query, LEXICAL, every=threshold is None or not needs_a_term(MODEL, threshold, constants))
+    rows = rows.select("doc_id", *LEXICAL, *[c.cast("float").alias(n) for n, c in text_features().items() if n in MODEL.features])
+    return rows, model.Conditions({c: F.col(c) for c in rows.columns}, constants)
 
 
 def monomial_topk(spark, folder):
-    rows, conditions = _search_rows(spark, folder)
+    rows, conditions = _search_rows(spark, folder, -0.25)
     hits = model.ranked(rows, MODEL, -0.25, 50, conditions=conditions)
     return hits.select("doc_id", "score", F.round("probability", 9).alias("probability"))
 
 
 def monomial_first(spark, folder):
-    rows, conditions = _search_rows(spark, folder)
+    rows, conditions = _search_rows(spark, folder, 0.0)
     return model.first_matches(rows, MODEL, 0.0, 20, conditions=conditions).select("doc_id", "score")
 
 
@@ -210,23 +218,54 @@ def monomial_explained(spark, folder):
     return found.select("doc_id", "score", F.array_join(F.transform("active", lambda x: x["monomial"].cast("string")), ",").alias("active"))
 
 
+def feature_conditions(spark, folder):
+    """For the one query: how many documents of the index compare with a border by each of the four comparisons, found through the index."""
+    built = index(spark, folder)
+    query = planned(built, SEARCH)
+    each = [feature_search(built, query, f, c, b).select(F.lit(f).alias("feature"), F.lit(c).alias("comparison"), F.lit(b).alias("border")) for f, bs in CONDITION_BORDERS.items() for b in bs for c in ("GT", "LT", "GE", "LE")]
+    return reduce(DataFrame.unionByName, each).groupBy("feature", "comparison", "border").agg(F.count(F.lit(1)).alias("documents"))
+
+
+CONDITION_BORDERS = {"BM25Score": (0.0, 1.5), "TFIDFScore": (0.0, 4.0), "TitleExactMatchCount": (0.0,), "BigramCount": (0.0,), "UnorderedWindow4": (0.0,), "UnorderedWindow8": (0.0,)}
+
+
+def top_score_conditions(spark, folder):
+    """How many queries' best, second and third scores compare with a border: all documents of the query meet such a condition or none does."""
+    found = retrieval.top_scores(query_set(spark, folder), index(spark, folder))
+    value = F.explode(F.array(*[F.struct(F.lit(f"BM25Top{i}Score").alias("feature"), F.col(f"BM25Top{i}Score").alias("value")) for i in (1, 2, 3)])).alias("x")
+    compared = F.explode(F.array(*[F.struct(F.lit(c).alias("comparison"), model.compare(F.col("value"), c, 2.5).alias("met")) for c in ("GT", "LT", "GE", "LE")])).alias("y")
+    return found.select(value).select("x.*").select("feature", compared).groupBy("feature", F.col("y.comparison").alias("comparison")).agg(F.count_if("y.met").alias("queries"))
+
+
 def monomial_pairs(spark, folder):
     """The model over all candidate pairs of all queries."""
-    docs, queries = cut(corpus(spark, folder), "corpus"), query_set(spark, folder)
-    lengths = docs.select(F.size(T.whitespace_tokens("body")).alias("body_length"))
-    found = pair_features(candidate_pairs(spark, folder), queries, docs, term_stats(docs), collection_stats(lengths), ("BM25Score", "ExactMatchCount", "TitleExactMatchRatio", "UnorderedWindow8"))
-    plain = docs.select("doc_id", *[c.cast("float").alias(n) for n, c in text_features().items() if n in MODEL.features])
-    rows = found.join(plain, "doc_id").join(queries.select("query_id", T.word_count("query").cast("float").alias("QueryWordCount")), "query_id")
+    built = index(spark, folder)
+    plain = built.docs.select("doc_id", *[c.cast("float").alias(n) for n, c in text_features().items() if n in MODEL.features])
+    lengths = query_set(spark, folder).select("query_id", T.word_count("query").cast("float").alias("QueryWordCount"))
+    rows = _pair_features(spark, folder, LEXICAL).join(plain, "doc_id").join(lengths, "query_id")
     return model.scored(rows, MODEL, 0.0).select("query_id", "doc_id", "score")
 
 
-def model_table_scores(spark, folder):
-    """All exported models over the text features of all documents."""
+def _model_splits(spark, folder):
     rows = newest_per_key(read_table(spark, folder, "linear_monomials", "model_id", "monomial_no", "split_no", "trained_coef", "feature_name", "comparison", "border", "trained_at").where("upper(comparison) = 'GT'"), ["model_id", "monomial_no", "split_no"], ["trained_at"])
-    splits = rows.select("model_id", "monomial_no", "trained_coef", T.control_trim("feature_name").alias("feature_name"), "border")
-    values = F.array(*[F.struct(F.lit(n).alias("feature_name"), c.cast("double").alias("value")) for n, c in text_features().items()])
-    features = corpus(spark, folder).select("doc_id", F.explode(values).alias("x")).select("doc_id", "x.*")
-    return model.model_table_scores(splits, features, "doc_id").select("doc_id", "model_id", F.round("score", 4).alias("score"))
+    return rows.select("model_id", "monomial_no", "trained_coef", T.control_trim("feature_name").alias("feature_name"), "border")
+
+
+def model_table_scores(spark, folder):
+    """All exported models over all features of the relevant pairs; monomials that name an unknown feature are in ``model_table_rejected``."""
+    pairs = relevant_pairs(query_set(spark, folder))
+    found = _all_features(spark, folder, pairs)
+    names = found.columns[2:]
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("feature_name"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")
+    features = found.select(F.struct("query_id", "doc_id").alias("pair"), long).select("pair", "x.*")
+    known, _ = model.known_monomials(_model_splits(spark, folder), names)
+    return model.model_table_scores(known, features, "pair").select("pair.query_id", "pair.doc_id", "model_id", F.round("score", 4).alias("score"))
+
+
+def model_table_rejected(spark, folder):
+    """The monomials that are not scored, with how many of their splits name no feature."""
+    _, rejected = model.known_monomials(_model_splits(spark, folder), [n for n, _ in FEATURES])
+    return rejected
 
 
 def condition_check(spark, folder):
@@ -305,19 +344,49 @@ def legacy_pair_table(spark, folder):
 
 
 def legacy_window_table(spark, folder):
-    docs = cut(corpus(spark, folder), "corpus")
-    lengths = docs.select(F.size(T.whitespace_tokens("body")).alias("body_length"))
-    found = legacy.legacy_window_factors(candidate_pairs(spark, folder), query_set(spark, folder), docs, term_stats(docs), collection_stats(lengths))
+    built = index(spark, folder)
+    found = legacy.legacy_window_factors(candidate_pairs(spark, folder), query_set(spark, folder), built.docs, built.terms, built.stats, built.postings)
     return found.select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in found.columns[2:]])
 
 
+def legacy_score_table(spark, folder):
+    """The older scores of all candidate pairs, those of unknown documents included."""
+    built = index(spark, folder)
+    found = legacy.legacy_score_pairs(candidate_pairs(spark, folder).join(query_set(spark, folder).select("query_id"), "query_id"), query_set(spark, folder), built.docs, built.terms, built.stats, built.postings)
+    return found.select("query_id", "doc_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in found.columns[2:]])
+
+
+def legacy_query_table(spark, folder):
+    queries = query_set(spark, folder)
+    titles = corpus(spark, folder).select(F.explode(T.words(F.lower("title"))).alias("word")).distinct()
+    found = legacy.legacy_query_factors(queries, titles, query_frequencies(queries))
+    return found.select("query_id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in found.columns[1:]])
+
+
+def legacy_dictionary_table(spark, folder):
+    """Words outside the dictionary by title and body, and their share over both."""
+    docs, words = corpus(spark, folder), dictionary(query_set(spark, folder))
+    found = legacy.legacy_non_dictionary(docs, words).join(legacy.legacy_non_dictionary_ratio(docs, words), "doc_id")
+    return found.select("doc_id", *[F.col(c).cast("double").alias(c) for c in found.columns[1:]])
+
+
+def legacy_batch_table(spark, folder):
+    """All older joint factors of the relevant pairs at once, in one vector per pair."""
+    built, queries = index(spark, folder), query_set(spark, folder)
+    pairs = relevant_pairs(queries).join(built.docs.select("doc_id"), "doc_id", "left_semi")
+    found = legacy.legacy_pair_factors(pairs, queries, built.docs).join(legacy.legacy_score_pairs(pairs, queries, built.docs, built.terms, built.stats, built.postings), ["query_id", "doc_id"])
+    ranks = retrieval.rank_of(pairs, retrieval.top_k(queries, built, 1200), retrieval.NO_RANK_1200)
+    rows = found.join(ranks, ["query_id", "doc_id"])
+    return rows.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("legacy_rank"), *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("legacy_title_match_count", "legacy_exact_match_count", "legacy_query_tf_sum", "legacy_bigram_count", "legacy_bm25", "legacy_classic")])
+
+
 def previews(spark, folder):
     """The relevant documents of each query with title and the beginning of the text."""
     hits = retrieval.hydrated(relevant_pairs(query_set(spark, folder)), corpus(spark, folder))
     return hits.select("query_id", "doc_id", "title", T.preview("body").alias("preview"))
 
 
-_NAMES = """corpus_documents term_statistics collection_statistics document_text_features document_feature_table query_frequency_table query_feature_table query_feature_table_with_nouns pair_feature_table all_feature_table positional_table term_condition_counts
+_NAMES = """feature_conditions top_score_conditions model_table_rejected legacy_score_table legacy_query_table legacy_dictionary_table legacy_batch_table corpus_documents term_statistics collection_statistics document_text_features document_feature_table query_frequency_table query_feature_table query_feature_table_with_nouns pair_feature_table all_feature_table positional_table term_condition_counts
 bm25_top10 bm25_top_scores bm25_candidates relevant_ranks compared_ranks hard_negatives monomial_topk monomial_first monomial_explained monomial_pairs model_table_scores condition_check
 dataset_split dataset_manifest candidates_not_relevant query_cleaning shard_counts sampled_evenly sampled_head best_query_per_document run_summary legacy_document_table legacy_pair_table legacy_window_table previews""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termforge.functions import text as T
 from termforge.functions.scores import length_code
-from termforge.plans.tables import cut
+from termforge.plans.tables import cut, join_sized, new_path, shared_folder
 
 
 def indexable(docs: DataFrame) -> DataFrame:
@@ -67,16 +68,52 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return distinct.join(each, "term").select("term", "df", "ttf")
 
 
-def build_index(docs: DataFrame) -> Index:
-    """The index of ``doc_id, title, body`` rows (ids unique). Tokens are those of ``whitespace_tokens``."""
+def _sized(docs: DataFrame) -> DataFrame:
     tokens = docs.select("doc_id", T.text("title").alias("title"), T.text("body").alias("body"), T.whitespace_tokens("body").alias("tokens"))
-    sized = tokens.withColumn("body_length", F.size("tokens")).withColumn("coded_length", length_code(F.col("body_length")))
+    return tokens.withColumn("body_length", F.size("tokens")).withColumn("coded_length", length_code(F.col("body_length")))
+
+
+def _postings(sized: DataFrame) -> DataFrame:
     placed = sized.select("doc_id", "coded_length", F.posexplode("tokens").alias("position", "term"))
-    postings = placed.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("coded_length").alias("coded_length"))
+    return placed.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("coded_length").alias("coded_length"))
+
+
+def postings_of(docs: DataFrame) -> DataFrame:
+    return _postings(_sized(docs))
+
+
+def build_index(docs: DataFrame) -> Index:
+    """The index of ``doc_id, title, body`` rows (ids unique). Tokens are those of ``whitespace_tokens``."""
+    sized = _sized(docs)
+    postings = _postings(sized)
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf"))
     return Index(sized.drop("tokens"), postings, terms, collection_stats(sized))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, key: str, docs: Callable[[], DataFrame]) -> Index:
+    """The index of a collection named ``key``, built and written once per application to the shared folder and opened from there after that.
+
+    Postings are counted once: documents and postings are written, terms and statistics come from what was written.
+    """
+    name = spark.sparkContext.applicationId, key
+    path = _STORED.get(name)
+    if path is None or not path.startswith(shared_folder(spark)):
+        path = new_path(spark, "index")
+        sized = _sized(docs())
+        sized.write.parquet(f"{path}/tokens")
+        written = spark.read.schema(sized.schema).parquet(f"{path}/tokens")
+        written.drop("tokens").write.parquet(f"{path}/docs")
+        _postings(written).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        postings = spark.read.parquet(f"{path}/postings")
+        postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf")).write.parquet(f"{path}/terms")
+        collection_stats(spark.read.parquet(f"{path}/docs")).write.parquet(f"{path}/stats")
+        _STORED[name] = path
+    return open_index(spark, path)
+
+
 def by_id(docs: DataFrame, doc_id: str) -> DataFrame:
     return docs.where(F.col("doc_id") == doc_id).limit(1)
 
@@ -85,6 +122,11 @@ def by_ordinal(docs: DataFrame, ordinal: int) -> DataFrame:
     return docs.where(F.col("doc_ord") == ordinal).limit(1)
 
 
+def live(docs: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The documents (or postings) but for deleted ones; ``deleted`` has ``doc_id``."""
+    return join_sized(docs, deleted.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti")
+
+
 def require(rows: DataFrame, what: str) -> DataFrame:
     """The rows, or an error if there is none."""
     if not rows.take(1):

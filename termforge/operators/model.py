@@ -165,7 +165,7 @@ def first_matches(rows: DataFrame, model: Model, threshold: float, n: int, order
     if n <= 0:
         raise ValueError("n must be positive")
     hits = scored(rows, model, threshold, conditions)
-    return (hits.orderBy(order) if order else hits).limit(n)
+    return (hits.orderBy(order) if order else hits).limit(n)  # with an order a bounded top-n per task, no full sort
 
 
 def explained(rows: DataFrame, model: Model, conditions: Conditions | None = None) -> DataFrame:
@@ -185,11 +185,25 @@ def hit_count(rows: DataFrame, limit: int | None = None) -> tuple[int, str]:
     return n, "GREATER_THAN_OR_EQUAL_TO" if limit and n == limit else "EQUAL_TO"
 
 
+def known_monomials(splits: DataFrame, names: list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The splits of monomials whose features all are among ``names``, and the others as ``model_id, monomial_no, unknown`` (splits that name none).
+
+    ``strict`` makes a monomial with an unknown feature an error as soon as the rows are read.
+    """
+    known = F.coalesce(F.col("feature_name").isin(list(names)), F.lit(False))
+    if strict:
+        splits = splits.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("unknown feature "), F.coalesce("feature_name", F.lit("null")))).cast("boolean")))
+    unknown = splits.groupBy("model_id", "monomial_no").agg(F.count_if(~known).alias("unknown"))
+    key = ["model_id", "monomial_no"]
+    return splits.join(unknown.where("unknown = 0").select(*key), key, "left_semi"), unknown.where("unknown > 0")
+
+
 def model_table_scores(splits: DataFrame, features: DataFrame, key: str, intercept: float = 0.0) -> DataFrame:
     """Scores of many models at once, the models being rows (``model_id, monomial_no, trained_coef, feature_name, border``).
 
-    ``features`` is long: ``key``, ``feature_name``, ``value``. A conjunction holds if all its splits do; splits on features
-    that ``features`` lacks never do. The splits are the smaller side of the join and carry the model, so rows of one record spread over tasks by feature.
+    ``features`` is long: ``key``, ``feature_name``, ``value``, and holds every feature that the splits name (see ``known_monomials``). A
+    conjunction holds if all its splits do. The splits are the smaller side of the join and carry the model, so rows of one record spread over
+    tasks by feature. Null borders are never met.
     """
     sizes = splits.groupBy("model_id", "monomial_no").agg(F.count(F.lit(1)).alias("splits"), F.max("trained_coef").alias("coefficient"))
     met = features.join(splits.select("model_id", "monomial_no", "feature_name", "border"), "feature_name").where(F.col("value") > F.col("border"))
@@ -197,4 +211,22 @@ def model_table_scores(splits: DataFrame, features: DataFrame, key: str, interce
     return held.groupBy(key, "model_id").agg((F.lit(intercept) + F.sum("coefficient")).alias("score"))
 
 
-Provider = Callable[[DataFrame], DataFrame]
+@dataclass(frozen=True)
+class Candidates:
+    """What a candidate provider gives: entries of a query, best first, and how many were found in all."""
+
+    entries: list[tuple[str, float]]
+    found: int
+
+
+def provider(search: Callable[[str], DataFrame], most: int) -> Callable[[str], Candidates]:
+    """A search that gives ``doc_id, score`` rows as a candidate provider: at most ``most`` entries with single-precision scores, sorted by score and id."""
+    if most <= 0:
+        raise ValueError("most must be positive")
+
+    def candidates(query: str) -> Candidates:
+        rows = search(query).select("doc_id", F.col("score").cast("float").alias("score"))
+        best = rows.orderBy(F.desc("score"), "doc_id").limit(most).collect()
+        return Candidates([(r["doc_id"], r["score"]) for r in best], len(best) if len(best) < most else rows.count())
+
+    return candidates

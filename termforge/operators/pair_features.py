@@ -1,7 +1,7 @@
-"""The thirteen features of a query and a document, for given pairs.
+"""The features of a query and a document, for given pairs.
 
-Every pair is worked out in its row from the token arrays; only the statistics of the query's terms are joined. The
-positions of query terms in the document are found once and everything positional works on those few.
+The pairs are joined with the postings of their query's terms, on term and document; so no body is read, and what a pair works
+on is a few positions. The same expressions serve one query over an index (``plans.search``).
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termforge.functions import text as T
-from termforge.functions.scores import B, K1, bm25_idf, bm25_term, length_code, ratio_or_zero, tfidf_idf
+from termforge.functions.scores import B, K1, bm25_idf, bm25_term, ratio_or_zero, tfidf_idf
+from termforge.operators.index import postings_of
 
 PAIR_FEATURES = ("BM25Score", "TFIDFScore", "ExactMatchRatio", "ExactMatchCount", "TitleExactMatchRatio", "TitleExactMatchCount", "BigramCount", "TrigramCount", "UnorderedWindow4", "UnorderedWindow8")
 
@@ -25,55 +26,59 @@ def query_terms(queries: DataFrame, terms: DataFrame, tokens: Column | None = No
     return rows.join(listed, "query_id", "left").withColumn("q_terms", F.coalesce(F.col("q_terms"), none))
 
 
-def _hits() -> Column:
-    """(position, token) of the document's tokens that the query holds."""
-    places = F.transform(F.col("body_tokens"), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
-    return F.filter(places, lambda x: F.array_contains(F.col("q_tokens"), x["t"]))
-
-
-def _tf(term: Column) -> Column:
-    return F.size(F.filter(F.col("hits"), lambda h: h["t"] == term))
+def hits() -> Column:
+    """(position, token) of the document's tokens that the query holds, in order."""
+    return F.sort_array(F.flatten(F.transform("found", lambda q: F.transform(q["positions"], lambda i: F.struct(i.alias("i"), q["term"].alias("t"))))))
 
 
 def bm25(k1: float = K1, b: float = B) -> Column:
     """Sum over the distinct query terms, by first occurrence, in double precision, then float."""
-    found = F.filter(F.transform("q_terms", lambda q: F.struct(q["qtf"].alias("qtf"), q["df"].alias("df"), _tf(q["term"]).alias("tf"))), lambda x: (x["tf"] > 0) & (x["df"] > 0))
     one = lambda x: bm25_term(x["tf"], x["qtf"], bm25_idf(F.col("doc_count"), x["df"]), F.col("coded_length"), F.col("average_length"), k1, b).cast("double")
-    return F.aggregate(found, F.lit(0.0), lambda a, x: a + one(x)).cast("float")
+    return F.aggregate(F.filter("found", lambda x: x["df"] > 0), F.lit(0.0), lambda a, x: a + one(x)).cast("float")
 
 
 def tfidf() -> Column:
     """Sum over the query tokens with repeats of tf * idf, then float."""
-    found = F.filter(F.transform("q_terms", lambda q: F.struct(q["qtf"].alias("qtf"), q["df"].alias("df"), _tf(q["term"]).alias("tf"))), lambda x: x["tf"] > 0)
-    return F.aggregate(found, F.lit(0.0), lambda a, x: a + x["qtf"] * x["tf"] * tfidf_idf(F.col("num_docs"), x["df"])).cast("float")
+    return F.aggregate("found", F.lit(0.0), lambda a, x: a + x["qtf"] * x["tf"] * tfidf_idf(F.col("num_docs"), x["df"])).cast("float")
+
+
+def match_count(of: str) -> Column:
+    """Distinct query terms in the body (``found``) or among the tokens of another column."""
+    return F.size("found") if of == "found" else F.size(F.array_intersect(F.array_distinct("q_tokens"), F.col(of)))
 
 
-def match_count(tokens: str) -> Column:
-    return F.size(F.array_intersect(F.array_distinct("q_tokens"), F.col(tokens)))
+def match_ratio(of: str) -> Column:
+    return ratio_or_zero(match_count(of), F.size(F.array_distinct("q_tokens")))
 
 
-def match_ratio(tokens: str) -> Column:
-    return ratio_or_zero(match_count(tokens), F.size(F.array_distinct("q_tokens")))
+def grams_at(n: int) -> Column:
+    """The n-grams of query terms in the document, in order; null where the tokens after a position are no query terms."""
+
+    def gram(h: Column, k: Column) -> Column:
+        after = [F.get("hits", k + j) for j in range(1, n)]
+        whole = after[-1]["i"] == h["i"] + (n - 1)  # positions differ, so those between stand there too
+        return F.when(whole, F.concat_ws(" ", h["t"], *[x["t"] for x in after]))
+
+    return F.transform("hits", gram)
 
 
 def ngram_count(n: int) -> Column:
     """Positions of the document whose n-gram is one of the query's distinct n-grams."""
-    starts = F.filter(F.col("hits"), lambda h: h["i"] + n <= F.size("body_tokens"))
-    return F.size(F.filter(starts, lambda h: F.array_contains(F.col(f"q_grams{n}"), F.array_join(F.slice(F.col("body_tokens"), h["i"] + 1, n), " "))))
+    return F.size(F.filter(grams_at(n), lambda g: F.coalesce(F.array_contains(F.col(f"q_grams{n}"), g), F.lit(False))))
 
 
 def window_count(reach: int) -> Column:
     """Ordered pairs of positions at most ``reach`` apart with different query terms; 0 unless the query has two terms."""
-    pairs = F.transform("hits", lambda h: F.size(F.filter(F.col("hits"), lambda g: (g["i"] > h["i"]) & (g["i"] <= h["i"] + reach) & (g["t"] != h["t"]))))
-    return F.when(F.size(F.array_distinct("q_tokens")) < 2, F.lit(0)).otherwise(F.aggregate(pairs, F.lit(0), lambda a, x: a + x))
+    near = lambda h, k: F.size(F.filter(F.slice("hits", k + 2, reach), lambda g: (g["i"] <= h["i"] + reach) & (g["t"] != h["t"])))
+    return F.when(F.size(F.array_distinct("q_tokens")) < 2, F.lit(0)).otherwise(F.aggregate(F.transform("hits", near), F.lit(0), lambda a, x: a + x))
 
 
 def features() -> dict[str, Column]:
     return {
         "BM25Score": bm25(),
         "TFIDFScore": tfidf(),
-        "ExactMatchRatio": match_ratio("body_tokens"),
-        "ExactMatchCount": match_count("body_tokens"),
+        "ExactMatchRatio": match_ratio("found"),
+        "ExactMatchCount": match_count("found"),
         "TitleExactMatchRatio": match_ratio("title_tokens"),
         "TitleExactMatchCount": match_count("title_tokens"),
         "BigramCount": ngram_count(2),
@@ -83,19 +88,44 @@ def features() -> dict[str, Column]:
     }
 
 
-def prepared(pairs: DataFrame, queries: DataFrame, docs: DataFrame, terms: DataFrame, stats: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """Pairs (``query_id, doc_id`` and any other columns) with the token arrays and statistics that features work on.
+_FOUND = "array<struct<at:int,term:string,qtf:int,df:bigint,tf:int,positions:array<int>>>"
+
 
-    Pairs whose query or document is unknown are dropped. ``stats`` has one row. The wide document columns are joined last.
+def found_terms(rows: DataFrame, *key: str) -> DataFrame:
+    """``key``, ``found`` (terms by first occurrence in the query) and ``coded_length`` from rows of one term, pair and posting each."""
+    return rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "term", "qtf", "df", "tf", "positions"))).alias("found"), F.first("coded_length").alias("coded_length"))
+
+
+def with_hits(rows: DataFrame) -> DataFrame:
+    """Rows after an outer join with ``found_terms``: pairs without a term get empty arrays, and all get ``hits``."""
+    filled = rows.withColumns({"found": F.coalesce(F.col("found"), F.array().cast(_FOUND)), "coded_length": F.coalesce("coded_length", F.lit(0))})
+    return filled.withColumn("hits", hits())
+
+
+def prepared(pairs: DataFrame, queries: DataFrame, docs: DataFrame, terms: DataFrame, stats: DataFrame, tokens: Column | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """Pairs (``query_id, doc_id`` and any other columns) with the arrays and statistics that features work on.
+
+    Pairs whose query or document is unknown are dropped; see ``checked_pairs`` where they must not be. ``stats`` has one row. Without
+    ``postings`` those of ``docs`` are worked out.
     """
     known = query_terms(queries, terms, tokens).withColumns({"q_grams2": F.array_distinct(T.ngrams(F.col("q_tokens"), 2)), "q_grams3": F.array_distinct(T.ngrams(F.col("q_tokens"), 3))})
-    texts = docs.select("doc_id", T.whitespace_tokens("title").alias("title_tokens"), T.whitespace_tokens("body").alias("body_tokens"))
-    texts = texts.withColumn("coded_length", length_code(F.size("body_tokens")))
-    return pairs.join(known, "query_id").join(texts, "doc_id").crossJoin(F.broadcast(stats)).withColumn("hits", _hits())
+    postings = postings_of(docs) if postings is None else postings
+    asked = known.select("query_id", F.explode("q_terms").alias("q")).select("query_id", "q.*")
+    met = pairs.select("query_id", "doc_id").distinct().join(asked, "query_id").join(postings.select("term", "doc_id", "tf", "positions", "coded_length"), ["term", "doc_id"])
+    texts = docs.select("doc_id", T.whitespace_tokens("title").alias("title_tokens"))
+    rows = pairs.join(known, "query_id").join(texts, "doc_id").join(found_terms(met, "query_id", "doc_id"), ["query_id", "doc_id"], "left").crossJoin(F.broadcast(stats))
+    return with_hits(rows)
 
 
-def pair_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame, terms: DataFrame, stats: DataFrame, names: tuple[str, ...] = PAIR_FEATURES) -> DataFrame:
+def pair_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame, terms: DataFrame, stats: DataFrame, names: tuple[str, ...] = PAIR_FEATURES, postings: DataFrame | None = None) -> DataFrame:
     """The pairs' own columns and the named features as floats."""
-    rows = prepared(pairs, queries, docs, terms, stats)
+    rows = prepared(pairs, queries, docs, terms, stats, postings=postings)
     found = features()
     return rows.select(*pairs.columns, *[found[n].cast("float").alias(n) for n in names])
+
+
+def checked_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs, failing where a document is unknown: the mandatory join."""
+    known = docs.select("doc_id", F.lit(True).alias("_there"))
+    missing = F.raise_error(F.concat(F.lit("unknown document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("boolean")
+    return pairs.join(known, "doc_id", "left").where(F.when(F.col("_there"), F.lit(True)).otherwise(missing)).drop("_there").select(*pairs.columns)

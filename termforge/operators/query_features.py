@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,6 @@ from termforge.functions.scores import log_plus_one
 from termforge.plans.tables import join_sized
 
 QUERY_FEATURES = ("QueryWordCount", "QueryNonDictionaryCount", "QueryVowelCount", "QueryConsonantCount", "QuerySpecialCharacterCount", "QueryNumberCount", "QueryNounCount", "QueryMinLogFrequency", "QueryMaxLogFrequency", "QueryMeanLogFrequency")
-_RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: English words and endings that are no nouns, for the fallback without a tagging model.
 _NO_NOUNS = frozenset("the a an this that these those and or but if of in on at by for from with to as is are was were be been being am do does did have has had will would can could may might must shall should not no i you he she it we they me him her us them my your his its our their who what which when where why how there here very more most some any all each few many much".split())
 _NO_NOUN_ENDS = ("ly", "ing", "ed", "ous", "ful", "able", "ible", "ive", "ish", "less")
@@ -25,29 +22,20 @@ def text_features() -> dict[str, Column]:
     return {"QueryWordCount": T.word_count("query"), "QueryVowelCount": T.vowel_count("query"), "QueryConsonantCount": T.consonant_count("query"), "QuerySpecialCharacterCount": T.special_count("query"), "QueryNumberCount": T.number_count("query")}
 
 
-def tagged_nouns(lexicon: dict[str, str] | None = None):
-    """A vectorised function counting nouns: tokens (runs of letters, digits or signs) whose tag starts with NN.
+def noun_count(query: Column | str, lexicon: dict[str, str] | None = None) -> Column:
+    """Nouns of a query: words (runs of letters) whose tag starts with NN.
 
     ``lexicon`` maps lower-cased words to tags. Words outside it go by a small deterministic rule in place of a
-    trained tagger: letters only, no function word, no adverb, adjective or verb ending, and not a plain verb after a noun.
+    trained tagger: no function word, and no adverb, adjective or verb ending.
     """
     tags = lexicon or {}
-
-    def count(text: str | None) -> int:
-        nouns = 0
-        for token in _RUNS.findall(text or ""):
-            word = token.lower()
-            if word in tags:
-                nouns += tags[word].startswith("NN")
-            else:
-                nouns += token.isalpha() and word not in _NO_NOUNS and not word.endswith(_NO_NOUN_ENDS)
-        return nouns
-
-    @F.pandas_udf("int")
-    def nouns(texts: pd.Series) -> pd.Series:
-        return texts.map(count)
-
-    return nouns
+    among = lambda words: F.array(*[F.lit(w) for w in sorted(words)]).cast("array<string>")
+    words = F.filter(F.regexp_extract_all(F.lower(T.text(query)), F.lit(r"[\p{L}\p{M}\p{Nl}\p{No}]+"), F.lit(0)), lambda w: w.rlike(r"^\p{L}+$"))
+    rule = lambda w: ~F.array_contains(among(_NO_NOUNS), w) & ~w.rlike(f"(?:{'|'.join(_NO_NOUN_ENDS)})$")
+    if not tags:
+        return F.size(F.filter(words, rule))
+    noun = lambda w: F.array_contains(among(w_ for w_, t in tags.items() if t.startswith("NN")), w) | ~F.array_contains(among(tags), w) & rule(w)
+    return F.size(F.filter(words, noun))
 
 
 def query_frequencies(queries: DataFrame, query: str = "query") -> DataFrame:
@@ -66,12 +54,12 @@ def _joined_features(queries: DataFrame, dictionary: DataFrame, frequencies: Dat
 
 
 def query_features(queries: DataFrame, dictionary: DataFrame, frequencies: DataFrame, lexicon: dict[str, str] | None = None, nouns: bool = True) -> DataFrame:
-    """``query_id`` and the features as floats, in their fixed order; ``nouns=False`` leaves out the one that needs Python.
+    """``query_id`` and the features as floats, in their fixed order; ``nouns=False`` leaves out the noun count.
 
     ``queries`` has unique ``query_id`` and ``query``; a blank query has one word outside the dictionary, an empty one none.
     """
     rows = queries.select("query_id", T.text("query").alias("query"))
-    plain = rows.select("query_id", *[c.alias(n) for n, c in text_features().items()], *([tagged_nouns(lexicon)("query").alias("QueryNounCount")] if nouns else []))
+    plain = rows.select("query_id", *[c.alias(n) for n, c in text_features().items()], *([noun_count("query", lexicon).alias("QueryNounCount")] if nouns else []))
     joined = plain.join(_joined_features(rows, dictionary, frequencies), "query_id")
     names: Iterable[str] = [n for n in QUERY_FEATURES if nouns or n != "QueryNounCount"]
     return joined.select("query_id", *[F.coalesce(F.col(n), F.lit(0)).cast("float").alias(n) for n in names])

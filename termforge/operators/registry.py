@@ -48,7 +48,7 @@ def all_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame, index: I
 
     Features of a query or a document alone are worked out once per query or document and joined, not once per pair.
     """
-    found = pair_features(pairs, queries, docs, index.terms, index.stats)
+    found = pair_features(pairs, queries, docs, index.terms, index.stats, postings=index.postings)
     found = found.join(query_features(queries, query_dictionary if query_dictionary is not None else dictionary, frequencies, nouns=nouns), "query_id")
     found = found.join(top_scores(queries, index), "query_id").join(document_features(docs, dictionary), "doc_id")
     return found.select(*pairs.columns, *[n for n, _ in FEATURES if nouns or n != "QueryNounCount"])

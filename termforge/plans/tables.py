@@ -24,20 +24,50 @@ def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
     return table.select(*columns) if columns else table
 
 
+_MADE: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one is set for this session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="termforge-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """This application's folder below the one in ``spark.checkpoint.dir``; it is deleted when the application ends.
+
+    Where the setting is unset, a local session gets a temporary folder; on a cluster that is an error, as executors would write
+    to their own disks.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="termforge-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    folder = f"{base.rstrip('/')}/termforge-{context.applicationId}"
+    if _MADE.get(context.applicationId) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MADE[context.applicationId] = folder
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what the queries of this application wrote so far; their results must have been read or written elsewhere."""
+    folder = _MADE.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing stands at yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: later jobs restart from the files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,13 +13,13 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termforge.functions import text as T
 from termforge.operators import model
 from termforge.operators.document_features import DOCUMENT_FEATURES, document_features, text_features
-from termforge.operators.index import collection_stats, indexable, term_stats
-from termforge.operators.pair_features import PAIR_FEATURES, pair_features
+from termforge.operators.index import Index, build_index, indexable, open_index
+from termforge.operators.pair_features import PAIR_FEATURES
 from termforge.operators.query_features import QUERY_FEATURES, query_features, query_frequencies
 from termforge.operators.retrieval import hydrated
+from termforge.plans.search import needs_a_term, planned, search_rows
 from termforge.sources import files
 
 DICTIONARY_FEATURES = {n for n in DOCUMENT_FEATURES if "dictionary" in n} | {"QueryNonDictionaryCount"}
@@ -40,48 +40,53 @@ def needed_inputs(m: model.Model) -> set[str]:
 class Search:
     """A model over a document collection; ``prepare`` works out a query once, further searches reuse its rows."""
 
-    def __init__(self, docs: DataFrame, m: model.Model, dictionary: DataFrame | None = None, query_log: DataFrame | None = None) -> None:
+    def __init__(self, docs: DataFrame, m: model.Model, dictionary: DataFrame | None = None, query_log: DataFrame | None = None, index: Index | None = None) -> None:
         missing = needed_inputs(m) - ({"dictionary"} if dictionary is not None else set()) - ({"frequencies"} if query_log is not None else set())
         if missing:
             raise ValueError(f"the model needs {', '.join(sorted(missing))}")
         unknown = m.used_features() - {*DOCUMENT_FEATURES, *PAIR_FEATURES, *QUERY_FEATURES}
         if unknown:
             raise KeyError(f"unknown features {sorted(unknown)}")
-        self.docs, self.model, self.dictionary, self.query_log = indexable(docs), m, dictionary, query_log
-        self._terms, self._stats = term_stats(self.docs), collection_stats(self.docs.select(F.size(T.whitespace_tokens("body")).alias("body_length")))
+        self.model, self.dictionary, self.query_log = m, dictionary, query_log
+        self.index = index if index is not None else build_index(indexable(docs))
+        self.docs = self.index.docs
 
-    def prepare(self, query: str) -> tuple[DataFrame, model.Conditions]:
-        """The documents with the features that the model uses, and its conditions with the query's own features as constants."""
-        spark, used = self.docs.sparkSession, self.model.used_features()
-        asked = spark.createDataFrame([("q", query)], "query_id string, query string")
+    def prepare(self, query: str, threshold: float | None = None) -> tuple[DataFrame, model.Conditions]:
+        """The documents with the features that the model uses, and its conditions with the query's own features as constants.
+
+        With a threshold only documents that can score above it: where that takes a term of the query, those of the terms' postings.
+        """
+        used = self.model.used_features()
+        spark = self.docs.sparkSession
         constants: dict[str, float] = {}
         if used & set(QUERY_FEATURES):
             none = spark.createDataFrame([], "word string")
             log = query_frequencies(self.query_log) if self.query_log is not None else spark.createDataFrame([], "word string, n bigint")
+            asked = spark.createDataFrame([("q", query)], "query_id string, query string")
             constants = query_features(asked, self.dictionary if self.dictionary is not None else none, log).drop("query_id").first().asDict()
-        rows = self.docs.select("doc_id")
         lexical = tuple(n for n in PAIR_FEATURES if n in used)
-        if lexical:
-            pairs = rows.crossJoin(F.broadcast(asked.select("query_id")))
-            rows = rows.join(pair_features(pairs, asked, self.docs, self._terms, self._stats, lexical).drop("query_id"), "doc_id")
+        every = threshold is None or not needs_a_term(self.model, threshold, constants)
+        found = search_rows(self.index, planned(self.index, query), lexical, every) if lexical or not every else self.docs
+        rows = found.select("doc_id", *lexical, *[c.cast("float").alias(n) for n, c in text_features().items() if n in used])
         if used & DICTIONARY_FEATURES & set(DOCUMENT_FEATURES):
-            rows = rows.join(document_features(self.docs, self.dictionary), "doc_id")
-        elif used & set(DOCUMENT_FEATURES):
-            rows = rows.join(self.docs.select("doc_id", *[c.cast("float").alias(n) for n, c in text_features().items() if n in used]), "doc_id")
+            wanted = sorted(used & DICTIONARY_FEATURES & set(DOCUMENT_FEATURES))
+            kept = self.docs.join(rows.select("doc_id"), "doc_id", "left_semi")
+            rows = rows.join(document_features(kept, self.dictionary).select("doc_id", *wanted), "doc_id")
         return rows, model.Conditions({c: F.col(c) for c in rows.columns}, constants)
 
     def ranked(self, query: str, threshold: float, k: int, prepared: tuple | None = None) -> DataFrame:
-        rows, conditions = prepared or self.prepare(query)
+        rows, conditions = prepared or self.prepare(query, threshold)
         return model.ranked(rows, self.model, threshold, k, conditions=conditions).select("doc_id", "score", "probability")
 
     def first(self, query: str, threshold: float, n: int, prepared: tuple | None = None) -> DataFrame:
-        rows, conditions = prepared or self.prepare(query)
+        rows, conditions = prepared or self.prepare(query, threshold)
         return model.first_matches(rows, self.model, threshold, n, conditions=conditions).select("doc_id", "score")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="termforge", allow_abbrev=False)
     p.add_argument("--corpus", help="JSON-lines files (environment: TERMFORGE_CORPUS)")
+    p.add_argument("--index", help="folder of a written index, in place of a corpus (environment: TERMFORGE_INDEX)")
     p.add_argument("--model", help="model file (environment: TERMFORGE_MODEL)")
     p.add_argument("--query", required=True)
     p.add_argument("--threshold", type=float, default=3.0)
@@ -98,21 +103,22 @@ def parser() -> argparse.ArgumentParser:
 
 def run(arguments: list[str], spark: SparkSession | None = None) -> dict:
     options = parser().parse_args(arguments)
-    corpus, model_file = setting("corpus", options.corpus), setting("model", options.model)
-    if not corpus or not model_file:
-        raise SystemExit("--corpus and --model are required")
+    corpus, stored, model_file = setting("corpus", options.corpus), setting("index", options.index), setting("model", options.model)
+    if not (corpus or stored) or not model_file:
+        raise SystemExit("--model and one of --corpus and --index are required")
     if options.repeat < 1 or (options.limit or options.top_k or 1) < 1:
         raise SystemExit("counts must be positive")
     spark = spark or SparkSession.builder.appName("termforge").getOrCreate()
     dictionary = files.read_dictionary(spark, options.dictionary) if options.dictionary else None
     log = files.read_query_log(spark, options.query_log) if options.query_log else None
-    docs = files.read_corpus(spark, corpus)
-    search = Search(docs, model.read_model(model_file), dictionary, log)
+    index = open_index(spark, stored) if stored else None
+    docs = index.docs if index else files.read_corpus(spark, corpus)
+    search = Search(docs, model.read_model(model_file), dictionary, log, index)
     ranked, most = options.limit is None, options.limit or options.top_k or 10
     began = time.perf_counter()
     prepared = None
     if options.hot:
-        rows, conditions = search.prepare(options.query)
+        rows, conditions = search.prepare(options.query, options.threshold)
         prepared = rows.persist(), conditions
         prepared[0].count()
     prepare_ms = (time.perf_counter() - began) * 1000
