@@ -259,7 +259,7 @@ def model_table_scores(spark, folder):
     long = F.explode(F.array(*[F.struct(F.lit(n).alias("feature_name"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")
     features = found.select(F.struct("query_id", "doc_id").alias("pair"), long).select("pair", "x.*")
     known, _ = model.known_monomials(_model_splits(spark, folder), names)
-    return model.model_table_scores(known, features, "pair").select("pair.query_id", "pair.doc_id", "model_id", F.round("score", 4).alias("score"))
+    return model.model_table_scores(known, features, "pair").select("pair.query_id", "pair.doc_id", "model_id", F.round("score", 6).alias("score"))
 
 
 def model_table_rejected(spark, folder):

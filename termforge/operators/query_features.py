@@ -13,8 +13,8 @@ from termforge.plans.tables import join_sized
 
 QUERY_FEATURES = ("QueryWordCount", "QueryNonDictionaryCount", "QueryVowelCount", "QueryConsonantCount", "QuerySpecialCharacterCount", "QueryNumberCount", "QueryNounCount", "QueryMinLogFrequency", "QueryMaxLogFrequency", "QueryMeanLogFrequency")
 #: English words and endings that are no nouns, for the fallback without a tagging model.
-_NO_NOUNS = frozenset("the a an this that these those and or but if of in on at by for from with to as is are was were be been being am do does did have has had will would can could may might must shall should not no i you he she it we they me him her us them my your his its our their who what which when where why how there here very more most some any all each few many much".split())
-_NO_NOUN_ENDS = ("ly", "ing", "ed", "ous", "ful", "able", "ible", "ive", "ish", "less")
+NO_NOUNS = frozenset("the a an this that these those and or but if of in on at by for from with to as is are was were be been being am do does did have has had will would can could may might must shall should not no i you he she it we they me him her us them my your his its our their who what which when where why how there here very more most some any all each few many much".split())
+NO_NOUN_ENDS = ("ly", "ing", "ed", "ous", "ful", "able", "ible", "ive", "ish", "less")
 
 
 def text_features() -> dict[str, Column]:
@@ -31,7 +31,7 @@ def noun_count(query: Column | str, lexicon: dict[str, str] | None = None) -> Co
     tags = lexicon or {}
     among = lambda words: F.array(*[F.lit(w) for w in sorted(words)]).cast("array<string>")
     words = F.filter(F.regexp_extract_all(F.lower(T.text(query)), F.lit(r"[\p{L}\p{M}\p{Nl}\p{No}]+"), F.lit(0)), lambda w: w.rlike(r"^\p{L}+$"))
-    rule = lambda w: ~F.array_contains(among(_NO_NOUNS), w) & ~w.rlike(f"(?:{'|'.join(_NO_NOUN_ENDS)})$")
+    rule = lambda w: ~F.array_contains(among(NO_NOUNS), w) & ~w.rlike(f"(?:{'|'.join(NO_NOUN_ENDS)})$")
     if not tags:
         return F.size(F.filter(words, rule))
     noun = lambda w: F.array_contains(among(w_ for w_, t in tags.items() if t.startswith("NN")), w) | ~F.array_contains(among(tags), w) & rule(w)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from termforge.operators.query_features import NO_NOUN_ENDS, NO_NOUNS
+
 _WS = r"[\s\x0b\x1c-\x1f\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{3000}]+"
 _JS = r"[\s\x0b]"  # what the engine's \s matches
 
@@ -149,11 +153,6 @@ select query_id, doc_id, rank - 1 as rank0 from d join best using (query_id, ran
     "monomial_first": f"with {_SEARCH}, {_SCORES} select doc_id, score from scored where score > 0 order by doc_id limit 20",
     "monomial_explained": f"with {_SEARCH}, {_SCORES}, a as (select doc_id, array_to_string(list_filter([case when bm25 > 1.5 and doc_word_count > 40 then '0' end, case when ec > 1 then '1' end, case when tr > 0.3::double and qn > 2 then '2' end, case when w8 > 0 then '3' end, case when doc_special_character_count > 60 then '4' end, case when doc_size_kbyte > 1.1 then '5' end], lambda x: x is not null), ',') as active from v join f using (doc_id)) select doc_id, score, active from scored join a using (doc_id)",
     "monomial_pairs": f"with {_PAIR_ROWS}, {_SCORES} select query_id, doc_id, score from scored where score > 0",
-    "model_table_scores": f"""with {_CORPUS}, f as (select doc_id, {_DOC_TEXT} from corpus), long as (unpivot (select doc_id, {_DOUBLES} from f) on {', '.join(_DOC_NAMES)} into name feature_name value value),
-s as (select model_id, monomial_no, split_no, max(trained_coef) as trained_coef, {_trim('max(feature_name)')} as feature_name, max(border) as border from linear_monomials where upper(comparison) = 'GT' and model_id is not null group by model_id, monomial_no, split_no),
-sizes as (select model_id, monomial_no, count(*) as n, max(trained_coef) as c from s group by all),
-held as (select doc_id, s.model_id, s.monomial_no, count(*) as met from long join s using (feature_name) where value > border group by all)
-select doc_id, held.model_id, round(sum(c), 4) as score from held join sizes using (model_id, monomial_no) where met = n group by all""",
     "condition_check": f"with {_SEARCH}, {_SCORES}, x as (select unnest([{{'feature': 'BM25Score', 'border': 1.5::double, 'met': bm25 > 1.5}}, {{'feature': 'doc_word_count', 'border': 40.0, 'met': doc_word_count > 40}}, {{'feature': 'ExactMatchCount', 'border': 1.0, 'met': ec > 1}}, {{'feature': 'TitleExactMatchRatio', 'border': 0.3, 'met': tr > 0.3::double}}, {{'feature': 'UnorderedWindow8', 'border': 0.0, 'met': w8 > 0}}, {{'feature': 'doc_special_character_count', 'border': 60.0, 'met': doc_special_character_count > 60}}, {{'feature': 'doc_size_kbyte', 'border': 1.1, 'met': doc_size_kbyte > 1.1}}, {{'feature': 'doc_has_url', 'border': -1.0, 'met': doc_has_url > -1}}]) as x from v join f using (doc_id)) select x.feature as feature, x.border::double as border, count(*) filter (x.met) as met, 0::bigint as differing from x group by all",
     "dataset_split": f"with {_TRAINING} select source, label, query, doc_id, split from split",
     "dataset_manifest": f"with {_TRAINING} select source, split, count(*) as rows, count(distinct query) as queries, count(distinct doc_id) as documents from split group by source, split",
@@ -172,10 +171,54 @@ select doc_id, held.model_id, round(sum(c), 4) as score from held join sizes usi
 {_share(_among('qs_', 'ds', 2), 'len(ds)')} as legacy_stemmed_bigram_share, {_share(_among('qs_', 'ds', 3), 'len(ds)')} as legacy_stemmed_trigram_share from legacy""",
     "previews": rf"with {_CORPUS}, {_QUERIES}, {_RELEVANT}, p as (select query_id, doc_id, title, trim(regexp_replace(body, '{_JS}+', ' ', 'g')) as p from relevant join corpus using (doc_id)) select query_id, doc_id, title, case when length(p) > 80 then substring(p, 1, 80) || '…' else p end as preview from p",
 }
-_QUERY_NAMES = "QueryWordCount QueryNonDictionaryCount QueryVowelCount QueryConsonantCount QuerySpecialCharacterCount QueryNumberCount QueryMinLogFrequency QueryMaxLogFrequency QueryMeanLogFrequency".split()
+
+_NOUNS = rf"len(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{M}}\p{{Nl}}\p{{No}}]+'), lambda w: regexp_full_match(w, '\p{{L}}+') and w not in ({', '.join(repr(w) for w in sorted(NO_NOUNS))}) and not regexp_matches(w, '({'|'.join(NO_NOUN_ENDS)})$')))::double"
+ORACLE["query_feature_table_with_nouns"] = ORACLE["query_feature_table"].replace("as QueryNumberCount,", f"as QueryNumberCount, {_NOUNS} as QueryNounCount,")
+_QUERY_NAMES = "QueryWordCount QueryNonDictionaryCount QueryVowelCount QueryConsonantCount QuerySpecialCharacterCount QueryNumberCount QueryNounCount QueryMinLogFrequency QueryMaxLogFrequency QueryMeanLogFrequency".split()
 _ALL_NAMES = [*_QUERY_NAMES, *_DOC_NAMES, "doc_title_non_dictionary_count", "doc_body_non_dictionary_count", "doc_non_dictionary_ratio", "doc_non_dictionary_ratio_count", "BM25Score", "TFIDFScore", "ExactMatchRatio", "ExactMatchCount", "TitleExactMatchRatio", "TitleExactMatchCount", "BigramCount", "TrigramCount", "UnorderedWindow4", "UnorderedWindow8", "BM25Top1Score", "BM25Top2Score", "BM25Top3Score"]
-ORACLE["all_feature_table"] = f"""select query_id, doc_id, {', '.join(f'round({n}, {5 if "Log" in n else 4}) as {n}' for n in _ALL_NAMES)} from ({ORACLE['pair_feature_table']}) join ({ORACLE['query_feature_table']}) using (query_id)
-join ({ORACLE['bm25_top_scores']}) using (query_id) join ({ORACLE['document_feature_table']}) using (doc_id)"""
+_ALL_JOINED = f"""({ORACLE["pair_feature_table"]}) join ({ORACLE["query_feature_table_with_nouns"]}) using (query_id)
+join ({ORACLE["bm25_top_scores"]}) using (query_id) join ({ORACLE["document_feature_table"]}) using (doc_id)"""
+ORACLE["all_feature_table"] = f"""select query_id, doc_id, {", ".join(f'round({n}, {5 if "Log" in n else 4}) as {n}' for n in _ALL_NAMES)} from {_ALL_JOINED}"""
+_RELEVANT_PAIRS = "pairs as (select distinct query_id, doc_id from (select query_id, unnest(relevant) as doc_id from qs))"
+_ALL_RELEVANT = re.sub(r", [45]\) as ", ", 12) as ", _ALL_JOINED.replace(_PAIRS, _RELEVANT_PAIRS))  # values are compared, so digits are kept
+_SPLITS = f"s as (select model_id, monomial_no, split_no, max(trained_coef) as trained_coef, {_trim('max(feature_name)')} as feature_name, max(border) as border from linear_monomials where upper(comparison) = 'GT' and model_id is not null and monomial_no is not null and split_no is not null group by model_id, monomial_no, split_no)"
+_SIZES = f"sizes as (select model_id, monomial_no, count(*) as n, max(trained_coef) as c, count(*) filter (feature_name is null or feature_name not in ({', '.join(map(repr, _ALL_NAMES))})) as unknown from s group by all)"
+ORACLE["model_table_scores"] = f"""with f as (select query_id, doc_id, {", ".join(f"{n}::double as {n}" for n in _ALL_NAMES)} from {_ALL_RELEVANT}), long as (unpivot f on {", ".join(_ALL_NAMES)} into name feature_name value value), {_SPLITS}, {_SIZES},
+held as (select query_id, doc_id, s.model_id, s.monomial_no, count(*) as met from long join s using (feature_name) where value > border group by all)
+select query_id, doc_id, held.model_id, round(sum(c), 6) as score from held join sizes using (model_id, monomial_no) where met = n and unknown = 0 group by all"""
+ORACLE["model_table_rejected"] = f"with {_SPLITS}, {_SIZES} select model_id, monomial_no, unknown from sizes where unknown > 0"
+_BORDERS = {"BM25Score": ("bm25", (0.0, 1.5)), "TFIDFScore": ("tfidf", (0.0, 4.0)), "TitleExactMatchCount": ("tc", (0.0,)), "BigramCount": ("b2", (0.0,)), "UnorderedWindow4": ("w4", (0.0,)), "UnorderedWindow8": ("w8", (0.0,))}
+_COMPARED = "case c when 'GT' then value > border when 'LT' then value < border when 'GE' then value >= border else value <= border end"
+
+
+def _struct(feature: str, value: str, border: float) -> str:
+    return f"{{'feature': '{feature}', 'value': {value}::double, 'border': {border}::double}}"
+
+
+def _compared(values: list[tuple[str, str, float]], source: str) -> str:
+    return f"x as (select unnest([{', '.join(_struct(*v) for v in values)}]) as x from {source}), y as (select x.feature as feature, x.value as value, x.border as border, unnest(['GT', 'LT', 'GE', 'LE']) as c from x)"
+
+
+ORACLE["feature_conditions"] = f"with {_SEARCH}, v as ({_PAIR_VALUES}), {_compared([(n, c, b) for n, (c, bs) in _BORDERS.items() for b in bs], 'v')} select feature, c as comparison, border, count(*) as documents from y where {_COMPARED} group by all"
+_TOPS = ", ".join(f"coalesce(max(bm25) filter (rank = {i}), 0)::double as s{i}" for i in (1, 2, 3))
+ORACLE["top_score_conditions"] = f"{_RANKED.replace(_CLEAN, 'query')}, tops as (select qs.query_id, {_TOPS} from qs left join ranked using (query_id) group by qs.query_id), {_compared([(f'BM25Top{i}Score', f's{i}', 2.5) for i in (1, 2, 3)], 'tops')} select feature, c as comparison, count(*) filter ({_COMPARED}) as queries from y group by all"
+_CLASSIC = "classic as (select query_id, doc_id, sum(qtf * sqrt(tf) * idf * idf / sqrt(greatest(l, 1)))::float as classic from (select query_id, doc_id, qtf, tf, l, ln((num_docs + 1.0) / (df + 1.0)) + 1.0 as idf from pairs join qt using (query_id) join terms using (term) join tfs using (doc_id, term) join coded using (doc_id) cross join stats) group by all)"
+_WHOLE = f"whole as (select query_id, doc_id, sum(qtf * c * {_TFIDF})::float as whole from (select query_id, doc_id, qtf, coalesce(df, 0) as df, num_docs, len(list_filter(t, lambda x: x = term)) + len(list_filter(tt, lambda x: x = term)) as c from pairs join qt using (query_id) join toks using (doc_id) left join terms using (term) cross join stats) group by all)"
+ORACLE["legacy_score_table"] = f"with {_PAIR_ROWS}, {_CLASSIC}, {_WHOLE} select pairs.query_id, pairs.doc_id, round(coalesce(bm25, 0)::double, 3) as legacy_bm25, round(coalesce(classic, 0)::double, 3) as legacy_classic, round(coalesce(whole, 0)::double, 3) as legacy_tfidf from pairs join qs using (query_id) left join sums using (query_id, doc_id) left join classic using (query_id, doc_id) left join whole using (query_id, doc_id)"
+_NOT_BLANK = ", ".join(f"case when {_trim('qs.query')} = '' then 0 else f.{n} end as legacy_{n}" for n in _QUERY_NAMES)
+ORACLE["legacy_query_table"] = f"select f.query_id, {_NOT_BLANK} from ({ORACLE['query_feature_table_with_nouns']}) f join (select docno as query_id, coalesce(max(text_raw), '') as query from queries where docno is not null group by docno) qs using (query_id)"
+ORACLE["legacy_dictionary_table"] = f"""with {_CORPUS}, {_QUERIES}, dict as (select distinct unnest({_words("lower(query)")}) as word from qs),
+w as (select doc_id, 'tc' as kind, lower(unnest({_words("title")})) as word from corpus union all select doc_id, 'bc', lower(unnest({_words("body")})) from corpus union all select doc_id, 'r', unnest(regexp_extract_all(lower(title || ' ' || body), '{_UNICODE}')) from corpus),
+c as (select doc_id, count(*) filter (kind = 'tc' and d.word is null) as tc, count(*) filter (kind = 'bc' and d.word is null) as bc, count(*) filter (kind = 'r' and d.word is null) as r, count(*) filter (kind = 'r') as a from w left join dict d using (word) group by doc_id)
+select corpus.doc_id, coalesce(tc, 0)::double as legacy_title_non_dictionary_count, coalesce(bc, 0)::double as legacy_body_non_dictionary_count, case when coalesce(a, 0) = 0 then 0 else (r::float / a::float)::double end as legacy_non_dictionary_ratio, coalesce(r, 0)::double as legacy_non_dictionary_ratio_count from corpus left join c using (doc_id)"""
+_BATCH = " join ".join(f"({ORACLE[n].replace(_PAIRS, _RELEVANT_PAIRS)})" + (" using (query_id, doc_id)" if i else "") for i, n in enumerate(("legacy_pair_table", "legacy_score_table", "relevant_ranks")))
+ORACLE["legacy_batch_table"] = f"select query_id, doc_id, rank::bigint as legacy_rank, legacy_title_match_count, legacy_exact_match_count, legacy_query_tf_sum, legacy_bigram_count, legacy_bm25, legacy_classic from {_BATCH}"
+_GRAM_WEIGHTS = f"""asked as (select query_id, q from q where len(list_distinct(q)) > 1), gs as (select query_id, 2 as n, unnest(list_distinct({_grams("q", 2)})) as gram from asked union all select query_id, 3, unnest(list_distinct({_grams("q", 3)})) from asked),
+parts_ as (select n, gram, string_split(gram, ' ') as ts from (select distinct n, gram from gs)), dfs as (select n, gram, min(coalesce(df, 0)) as least, product(coalesce(df, 0)::float) as dfs from (select n, gram, unnest(ts) as term from parts_) left join terms using (term) group by all),
+held as (select n, gram, count(*) as together from parts_ join toks on list_has_all(t, ts) group by all),
+weights as (select n, gram, case when coalesce(together, 0) = 0 or least = 0 then 0 else greatest(0, ln(together * pow(num_docs, n - 1) / dfs)) end::float as weight from dfs left join held using (n, gram) cross join stats)"""
+_GRAM_SUM = f"(select query_id, doc_id, sum(weight) filter (n = 2) as p2, sum(weight) filter (n = 3) as p3 from (select query_id, doc_id, 2 as n, unnest({_grams('t', 2)}) as gram from rows_ union all select query_id, doc_id, 3, unnest({_grams('t', 3)}) from rows_) join gs using (query_id, n, gram) join weights using (n, gram) group by all)"
+ORACLE["legacy_window_table"] = f"with {_PAIR_ROWS}, {_GRAM_WEIGHTS}, v as (select query_id, doc_id, q, {_windows(5)} as w4, {_windows(9)} as w8 from rows_) select v.query_id, v.doc_id, round(coalesce(p2, 0)::float::double, 3) as legacy_bigram_pmi, round(coalesce(p3, 0)::float::double, 3) as legacy_trigram_pmi, case when len(list_distinct(q)) > 1 then w4 else 0 end::double as legacy_window4, case when len(list_distinct(q)) > 1 then w8 else 0 end::double as legacy_window8 from v left join {_GRAM_SUM} g using (query_id, doc_id)"
 _WITH_TERM = f"pairs as (select distinct query_id, doc_id from (select query_id, unnest({_tokens('query')}) as term from qs) join tfs using (term))"
 ORACLE["positional_table"] = f"with {_PAIR_ROWS.replace(_PAIRS, _WITH_TERM)}, v as ({_PAIR_VALUES}) select query_id, doc_id, b2::bigint as BigramCount, b3::bigint as TrigramCount, w4::bigint as UnorderedWindow4, w8::bigint as UnorderedWindow8 from v"
 ORACLE["term_condition_counts"] = f"""with {_CORPUS}, {_TOKENS}, {_QUERIES}, {_PAIRS}, q as (select query_id, {_tokens('query')} as q from qs), r as (select query_id, len(list_distinct(q)) as n, len(list_intersect(q, t)) as m from pairs join q using (query_id) join toks using (doc_id))
