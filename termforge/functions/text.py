@@ -106,6 +106,19 @@ def query_tokens(c: Column | str) -> Column:
     return whitespace_tokens(without_operators(without_punctuation(text(c))))
 
 
+def standard_tokens(c: Column | str) -> Column:
+    """Tokens of standard analysis: lower-cased runs of letters, marks and digits (inner apostrophes, dots and commas between like characters kept), without stop words."""
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    runs = F.regexp_extract_all(F.lower(text(c)), F.lit(r"[\p{L}\p{M}]+(?:['’.][\p{L}\p{M}]+)*[\p{L}\p{M}\p{Nd}]*|\p{Nd}+(?:[.,]\p{Nd}+)*[\p{L}\p{M}\p{Nd}]*"), F.lit(0))
+    return F.filter(runs, lambda x: ~F.array_contains(stop, x))
+
+
+def json_field(c: Column | str, name: str) -> Column:
+    """The string value of a field cut out of a line of JSON without parsing the rest; null where there is none."""
+    found = F.regexp_extract(text(c), rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
+    return F.when(text(c).rlike(rf'"{name}"\s*:\s*"'), found)
+
+
 def count_matches(c: Column | str, pattern: str) -> Column:
     return F.regexp_count(text(c), F.lit(pattern))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termforge.functions import text as T
+from termforge.plans.tables import file_system, write_text_file
 
 SPLIT_SEED, TRAIN_FRACTION, BM25_ROWS = 42, 0.95, 100_002
 CANDIDATE = ["source", "part", "line_no", "label", "query", "doc_id", "title", "body"]
@@ -65,29 +65,30 @@ def feature_schema(families: list[tuple[str, str]], first: int = 3) -> list[tupl
 
 
 def write_dataset(rows: DataFrame, features: list[tuple[str, str]], folder: str) -> dict:
-    """Writes ``train`` and ``valid`` as CSV folders, the schema, names and manifest; the folder must not exist and appears only when complete.
+    """Writes ``train`` and ``valid`` as CSV folders, the schema, names and manifest; the folder must not exist and appears, by a rename, only when complete.
 
-    Rows of a query stand together, in source order. A local or mounted path; on object stores rename is the committer's task.
+    Rows of a query stand together, in source order. Any file system that Spark writes to.
     """
-    target = Path(folder)
-    if target.exists():
+    spark = rows.sparkSession
+    files, target = file_system(spark, folder)
+    if files.exists(target):
         raise FileExistsError(folder)
-    staging = target.with_name(target.name + ".staging")
+    staging = folder.rstrip("/") + ".staging"
+    files.delete(file_system(spark, staging)[1], True)  # what a run that broke off left
     names = [n for n, _ in features]
-    counts = {}
+    counts = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     for split in ("train", "valid"):
-        part = rows.where(F.col("split") == split)
-        columns = [T.csv_field(F.col("label").cast("string")), *[T.csv_field(c) for c in ("query", "doc_id")], *[F.col(n).cast("float").cast("string") for n in names]]
-        ordered = part.repartitionByRange("query").sortWithinPartitions("query", "source", "part", "line_no")
-        ordered.select(F.concat_ws(",", *columns).alias("value")).write.option("lineSep", "\r\n").text(str(staging / split))
-        counts[split] = part.count()
-        if not counts[split]:
+        if not counts.get(split):
             raise ValueError(f"no rows in {split}")
-    (staging / "header.csv").write_text(",".join(["label", "query", "doc_id", *names]) + "\r\n", encoding="utf-8")
-    (staging / "feature_schema.csv").write_text("column_index,feature_name,family\n" + "".join(f"{i},{n},{f}\n" for i, n, f in feature_schema(features)), encoding="utf-8")
-    (staging / "feature_names.txt").write_text("\n".join(names) + "\n", encoding="utf-8")
+    columns = [T.csv_field(F.col("label").cast("string")), *[T.csv_field(c) for c in ("query", "doc_id")], *[F.col(n).cast("float").cast("string") for n in names]]
+    for split in ("train", "valid"):
+        ordered = rows.where(F.col("split") == split).repartitionByRange("query").sortWithinPartitions("query", "source", "part", "line_no")
+        ordered.select(F.concat_ws(",", *columns).alias("value")).write.option("lineSep", "\r\n").text(f"{staging}/{split}")
     by_source = [r.asDict() for r in manifest(rows).orderBy("source", "split").toLocalIterator()]
-    out = {"rows": counts, "by_source": by_source, "features": len(names), "seed": SPLIT_SEED, "train_fraction": TRAIN_FRACTION}
-    (staging / "manifest.json").write_text(json.dumps(out, indent=1), encoding="utf-8")
-    staging.rename(target)
+    out = {"rows": {k: counts[k] for k in ("train", "valid")}, "by_source": by_source, "features": len(names), "seed": SPLIT_SEED, "train_fraction": TRAIN_FRACTION}
+    schema = "".join(f"{i},{n},{f}\n" for i, n, f in feature_schema(features))
+    for name, text in (("header.csv", ",".join(["label", "query", "doc_id", *names]) + "\r\n"), ("feature_schema.csv", "column_index,feature_name,family\n" + schema), ("feature_names.txt", "\n".join(names) + "\n"), ("manifest.json", json.dumps(out, indent=1))):
+        write_text_file(spark, f"{staging}/{name}", text)
+    if not files.rename(file_system(spark, staging)[1], target):
+        raise OSError(f"could not publish {folder}")
     return out

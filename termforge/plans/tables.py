@@ -43,8 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     folder = f"{base.rstrip('/')}/termforge-{context.applicationId}"
     if _MADE.get(context.applicationId) != folder:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files, path = file_system(spark, folder)
         files.mkdirs(path)
         files.deleteOnExit(path)
         _MADE[context.applicationId] = folder
@@ -55,8 +54,30 @@ def release(spark: SparkSession) -> None:
     """Deletes what the queries of this application wrote so far; their results must have been read or written elsewhere."""
     folder = _MADE.pop(spark.sparkContext.applicationId, None)
     if folder:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = file_system(spark, folder)
+        files.delete(path, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path as its object, whatever its scheme."""
+    context = spark.sparkContext
+    there = context._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(context._jsc.hadoopConfiguration()), there
+
+
+def write_text_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of text."""
+    files, there = file_system(spark, path)
+    out = files.create(there, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text_file(spark: SparkSession, path: str) -> str:
+    """The whole of one small file of text."""
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
 
 
 def new_path(spark: SparkSession, name: str) -> str:

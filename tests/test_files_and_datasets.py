@@ -83,8 +83,9 @@ def test_other_files(spark, tmp_path):
     assert [tuple(r) for r in files.read_relevance(spark, _lines(tmp_path, "r.tsv", ["q\t0\td\t1", "x"])).collect()] == [("q", "d")]
     files.write_sharded(spark.createDataFrame([("m_03_1",), ("bad",)], "doc_id string"), str(tmp_path / "shards"))
     assert (tmp_path / "shards" / "shard=3").is_dir()
-    files.write_by_query(spark.createDataFrame([("q1", 1)], "query_id string, x int"), str(tmp_path / "by"))
-    assert (tmp_path / "by" / "query_id=q1").is_dir()
+    files.write_by_query(spark.createDataFrame([(f"q{i % 7}", i) for i in range(40)], "query_id string, x int"), str(tmp_path / "by"), 4)
+    assert sorted(r["x"] for r in files.read_by_query(spark, str(tmp_path / "by"), "query_id string, x int", "q3", 4).collect()) == [3, 10, 17, 24, 31, 38]
+    assert files.read_by_query(spark, str(tmp_path / "by"), "query_id string, x int").count() == 40 and len(list((tmp_path / "by").glob("bucket=*"))) <= 4
     with pytest.raises(Exception, match="row without query_id"):
         files.write_by_query(spark.createDataFrame([(None, 1)], "query_id string, x int"), str(tmp_path / "by2"))
 
