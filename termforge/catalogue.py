@@ -25,7 +25,7 @@ FLAGSHIP = "monomial_topk"
 #: The query of the single-query searches.
 SEARCH = "bowls kilns glazes"
 
-MODEL = model.parse_model(
+MODEL_JSON = (
     {
         "format": model.FORMAT,
         "intercept": -0.5,
@@ -40,6 +40,7 @@ MODEL = model.parse_model(
         ],
     }
 )
+MODEL = model.parse_model(MODEL_JSON)
 
 
 # Sources

@@ -22,9 +22,9 @@ def matches_terms(query_tokens: str, tokens: str, ratio: float | None = None, co
     return (terms > 0) & (F.size(F.array_intersect(F.array_distinct(query_tokens), F.col(tokens))) >= at_least(ratio, count, terms))
 
 
-def any_ngram(count: Column) -> Column:
-    """Whether any of the query's n-grams stands in the document, whatever the border."""
-    return count > 0
+def any_ngram(*counts: Column) -> Column:
+    """Whether any of the query's n-grams of the counted lengths stands in the document, whatever the border."""
+    return F.greatest(*counts) > 0 if len(counts) > 1 else counts[0] > 0
 
 
 def any_window(count: Column) -> Column:

@@ -39,19 +39,23 @@ def matching(index: Index, query: Query) -> DataFrame:
 
 
 def search_rows(index: Index, query: Query, names: tuple[str, ...] = PAIR_FEATURES, every: bool = True) -> DataFrame:
-    """The index's documents with the named features of the query: all documents, or those with a term of it (``every=False``)."""
-    rows = index.docs.drop("coded_length").join(matching(index, query), "doc_id", "left" if every else "inner")
+    """The index's documents with the named features of the query: all documents, or (``every=False``) those with a term of it, in the body or, if a
+    feature of the title is named, in the title."""
+    titles = any(n.startswith("Title") for n in names)
     words = F.array(*[F.lit(t) for t in query.tokens]).cast("array<string>")
+    rows = index.docs.drop("coded_length").join(matching(index, query), "doc_id", "left" if every or titles else "inner").withColumn("title_tokens", T.whitespace_tokens("title"))
+    if titles and not every:
+        rows = rows.where(F.col("found").isNotNull() | F.arrays_overlap("title_tokens", words))
     grams = {n: [" ".join(query.tokens[i : i + n]) for i in range(len(query.tokens) - n + 1)] for n in (2, 3)}
     known = {"q_tokens": words} | {f"q_grams{n}": F.array(*[F.lit(g) for g in dict.fromkeys(gs)]).cast("array<string>") for n, gs in grams.items()}
-    known |= {"title_tokens": T.whitespace_tokens("title")} | {c: F.lit(query.stats[c]).cast(t) for c, t in (("num_docs", "bigint"), ("doc_count", "bigint"), ("average_length", "float"))}
+    known |= {c: F.lit(query.stats[c]).cast(t) for c, t in (("num_docs", "bigint"), ("doc_count", "bigint"), ("average_length", "float"))}
     found = features()
     return with_hits(rows).withColumns(known).select(*index.docs.drop("coded_length").columns, *[found[n].cast("float").alias(n) for n in names])
 
 
 def needs_a_term(m: model.Model, threshold: float, constants: dict[str, float] | None = None) -> bool:
-    """Whether no document without a term of the query can score above the threshold: the intercept does not, and each positive conjunction asks for
-    more than 0 of a feature that such a document has 0 of (or is false by the query's own features)."""
+    """Whether no document without a term of the query, in body or title, can score above the threshold: the intercept does not, and each positive
+    conjunction asks for more than 0 of a feature that such a document has 0 of (or is false by the query's own features)."""
     if threshold < m.intercept:
         return False
     constants = constants or {}
@@ -66,6 +70,5 @@ def feature_search(index: Index, query: Query, feature: str, comparison: str, bo
     """``doc_id`` and the value of the documents whose feature of the query compares with the border. If 0 fails the comparison, documents without a
     term of the query are not looked at."""
     zero = {"GT": 0.0 > border, "LT": 0.0 < border, "GE": 0.0 >= border, "LE": 0.0 <= border}[comparison]
-    every = zero or feature.startswith("Title")  # titles have no postings
-    rows = search_rows(index, query, (feature,), every)
+    rows = search_rows(index, query, (feature,), every=zero)
     return rows.where(model.compare(F.col(feature), comparison, border)).select("doc_id", F.col(feature).alias("value"))

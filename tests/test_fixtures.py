@@ -167,3 +167,35 @@ def test_models_are_checked():
             model.parse_model(good | bad)
     with pytest.raises(KeyError):
         model.Conditions({}).greater("unknown", 1.0)
+
+
+def test_search_by_the_index_equals_all_documents(spark):
+    from termforge.operators.index import build_index
+    from termforge.plans.search import feature_search, needs_a_term, planned, search_rows
+
+    docs = spark.createDataFrame([("d1", "cat", "no such word"), ("d2", "x", "cat dog"), ("d3", "y", "bird"), ("d4", "dog", "cat cat dog bird")], "doc_id string, title string, body string")
+    built = build_index(docs)
+    query = planned(built, "cat dog cat")
+    assert query.terms == ((0, "cat", 2, 2), (1, "dog", 1, 2))
+    every = {r["doc_id"]: r.asDict() for r in search_rows(built, query).collect()}
+    some = {r["doc_id"]: r.asDict() for r in search_rows(built, query, every=False).collect()}
+    assert set(every) == {"d1", "d2", "d3", "d4"} and some == {k: v for k, v in every.items() if k != "d3"}
+    assert {r["doc_id"] for r in search_rows(built, query, ("BM25Score",), every=False).collect()} == {"d2", "d4"}
+    for feature in ("BM25Score", "TitleExactMatchRatio", "UnorderedWindow4"):
+        for border in (0.0, 0.4):
+            for comparison, holds in (("GT", float.__gt__), ("LT", float.__lt__), ("GE", float.__ge__), ("LE", float.__le__)):
+                got = {r["doc_id"] for r in feature_search(built, query, feature, comparison, border).collect()}
+                assert got == {d for d, r in every.items() if holds(float(r[feature]), border)}, (feature, comparison, border)
+    by_title = model.Model(0.0, ("TitleExactMatchRatio",), (model.Monomial(1.0, (model.Split("TitleExactMatchRatio", 0.1),)),))
+    by_length = model.Model(0.0, ("doc_word_count",), (model.Monomial(1.0, (model.Split("doc_word_count", 1.0),)),))
+    assert needs_a_term(by_title, 0.5) and not needs_a_term(by_length, 0.5) and not needs_a_term(by_title, -0.5)
+    assert planned(built, "").terms == () and search_rows(built, planned(built, ""), every=False).count() == 0
+
+
+def test_unknown_features_are_rejected(spark):
+    splits = spark.createDataFrame([("m", 0, 1.0, "a", 0.5), ("m", 1, 2.0, "a", 0.5), ("m", 1, 2.0, "gone", 0.5), ("m", 2, 1.0, None, 0.5)], "model_id string, monomial_no int, trained_coef double, feature_name string, border double")
+    known, rejected = model.known_monomials(splits, ["a", "b"])
+    assert [r["monomial_no"] for r in known.collect()] == [0]
+    assert {(r["monomial_no"], r["unknown"]) for r in rejected.collect()} == {(1, 1), (2, 1)}
+    with pytest.raises(Exception, match="unknown feature gone"):
+        model.known_monomials(splits.where("feature_name is not null"), ["a"], strict=True)[0].collect()
