@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termforge.functions import text as T
 from termforge.functions.scores import ratio_or_zero
-from termforge.plans.tables import join_sized
+from termforge.plans.tables import cut, fits_broadcast
 
 DOCUMENT_FEATURES = ("doc_word_count", "doc_title_non_dictionary_count", "doc_body_non_dictionary_count", "doc_non_dictionary_ratio", "doc_non_dictionary_ratio_count", "doc_vowel_count", "doc_special_character_count", "doc_title_number_count", "doc_body_number_count", "doc_paragraph_count", "doc_size_kbyte", "doc_has_url")
 TOKENIZATIONS = {"whitespace": T.words, "unicode": T.unicode_words}
@@ -30,17 +30,20 @@ def text_features() -> dict[str, Column]:
 def dictionary_features(docs: DataFrame, dictionary: DataFrame, counts: str = "whitespace", ratio: str = "unicode") -> DataFrame:
     """``doc_id`` and the four counts of words outside a dictionary (column ``word``, lower-cased).
 
-    Words are counted per document and text first, then looked up by a join that broadcasts the dictionary only
-    if its size allows. Documents without words have zeros.
+    A dictionary of a size that allows it goes to every task, where words are looked up one by one and only counts are shuffled; beside a
+    larger one words are counted per document and text first and then joined. Same result either way. Documents without words have zeros.
     """
 
     def of(kind: str, source: str, tokens: Column) -> Column:
         return F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), F.lower(t).alias("word")))
 
     tokens = F.concat(*[of(kind, source, TOKENIZATIONS[name](source)) for kind, name in (("count", counts), ("ratio", ratio)) for source in ("title", "body")])
-    words = docs.select("doc_id", F.explode(tokens).alias("x")).groupBy("doc_id", "x.kind", "x.source", "x.word").agg(F.count(F.lit(1)).alias("n"))
-    known = dictionary.select(F.col("word")).distinct().withColumn("known", F.lit(True))
-    looked = join_sized(words, known, "word", "left")
+    words = docs.select("doc_id", F.explode(tokens).alias("x")).select("doc_id", "x.*")
+    known = cut(dictionary.select(F.col("word")).distinct(), "dictionary").withColumn("known", F.lit(True))
+    if fits_broadcast(known):
+        looked = words.join(F.broadcast(known), "word", "left").withColumn("n", F.lit(1))
+    else:
+        looked = words.groupBy("doc_id", "kind", "source", "word").agg(F.count(F.lit(1)).alias("n")).join(known, "word", "left")
     unknown = F.when(F.col("known").isNull(), F.col("n")).otherwise(0)
     total = lambda kind, source, value: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("source").isin(*source)), value)), F.lit(0))
     found = looked.groupBy("doc_id").agg(

@@ -45,7 +45,7 @@ class Index:
     def write(self, folder: str) -> None:
         """Replaces the tables under ``folder``; postings are clustered by term."""
         self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+        _ordered(self.postings).write.mode("overwrite").parquet(f"{folder}/postings")
         self.terms.write.mode("overwrite").parquet(f"{folder}/terms")
         self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
@@ -68,6 +68,10 @@ def term_stats(docs: DataFrame) -> DataFrame:
     return distinct.join(each, "term").select("term", "df", "ttf")
 
 
+def _ordered(postings: DataFrame) -> DataFrame:
+    return postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     tokens = docs.select("doc_id", T.text("title").alias("title"), T.text("body").alias("body"), T.whitespace_tokens("body").alias("tokens"))
     return tokens.withColumn("body_length", F.size("tokens")).withColumn("coded_length", length_code(F.col("body_length")))
@@ -106,7 +110,8 @@ def stored_index(spark: SparkSession, key: str, docs: Callable[[], DataFrame]) -
         sized.write.parquet(f"{path}/tokens")
         written = spark.read.schema(sized.schema).parquet(f"{path}/tokens")
         written.drop("tokens").write.parquet(f"{path}/docs")
-        _postings(written).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        # cut before it is ordered, as ordering by range samples its input; a frequent term's postings spread over files by document
+        _ordered(cut(_postings(written), "postings")).write.parquet(f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
         postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ttf")).write.parquet(f"{path}/terms")
         collection_stats(spark.read.parquet(f"{path}/docs")).write.parquet(f"{path}/stats")
