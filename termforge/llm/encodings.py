@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from termforge.llm.words import slices
 
 #: Encodings that UTF-8 text is commonly read as. ``cp1252`` and the like keep bytes they do not define as control characters.
-WRONG_FOR_UTF8 = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1254", "cp1257", "iso8859-2", "iso8859-15", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8-r", "gbk", "cp932", "big5", "euc_kr")
+WRONG_FOR_UTF8 = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "iso8859-2", "iso8859-15", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8-r", "gbk", "cp932", "big5", "euc_kr")
 #: Fixed values: (true, wrong) pairs of other encodings.
 OTHER_PAIRS = (("cp1250", "cp1252"), ("iso8859-2", "latin-1"), ("cp1251", "latin-1"), ("cp1251", "cp1252"), ("koi8-r", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp866", "latin-1"), ("cp1252", "cp1251"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp932", "latin-1"), ("cp932", "cp1252"), ("euc_jp", "latin-1"), ("gbk", "latin-1"))
 _MULTIBYTE = ("gbk", "cp932", "big5", "euc_kr")

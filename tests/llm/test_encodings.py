@@ -80,3 +80,10 @@ def test_text_garbled_many_times():
     for _ in range(6):
         once = once.encode().decode("latin-1")
     assert is_garbled(once) and restore(once) == text
+
+
+@pytest.mark.parametrize("wrong", ["cp1253", "cp1254", "cp1255", "cp1256"])
+def test_utf8_read_in_further_encodings(wrong):
+    text = "The keeper’s notes – “warm” hives"
+    assert is_garbled(from_bytes(text.encode(), wrong)) and not is_garbled(text)
+    assert not is_garbled({"cp1253": "Το παλιό σπίτι είναι κοντά στη θάλασσα", "cp1254": "Eski ağaç çok güzel, şu ışık", "cp1255": "הבית הישן ליד הים", "cp1256": "البيت القديم قرب البحر"}[wrong])
