@@ -21,7 +21,13 @@ _BEST_DOCS = O.ORACLE["best_query_per_document"]
 _MODEL_RANKS = f"""ranked as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as first, row_number() over (partition by query_id order by bm25 desc, doc_id) as second from (select s.query_id, s.doc_id, score, round(bm25::double, 4) as bm25 from scored s join v using (query_id, doc_id)) where score > -1000)"""
 _SPLIT_VALUE = "('0x' || substring(md5('42|' || query || '|' || doc_id || '|' || label), 1, 12))::bigint::double / 281474976710656"
 
+_TREES = "0.5 * ((case when doc_word_count > 120.5 then case when doc_special_character_count > 40.5 then 1.5 else 0.25 end else case when doc_special_character_count > 40.5 then 0.125 else -0.5 end end)::double + (case when doc_size_kbyte > 1 then -0.25 else 0.75 end)::double + 0.0625::double) + 0.25::double"
+_RULE = O._NOUNS[O._NOUNS.index("w not in (") : O._NOUNS.rindex("))::double")]
+_LEXICON = O._NOUNS.replace(_RULE, f"(w in ('bowls', 'being') or w not in ('bowls', 'cold', 'run', 'being', 'kilns') and {_RULE})").replace("::double", "")
+
 ORACLE = {
+    "tree_scores": f"{_DOC_ROWS}, r as (select doc_id, {_TREES} as raw from f) select doc_id, raw, round(1 / (1 + exp(-raw)), 9) as probability from r",
+    "nouns_by_lexicon": f"with {O._QUERIES} select query_id, {_LEXICON} as nouns from qs",
     "corpus_shards_read": f"with {_NEWEST} select docid as doc_id, title, md5(body) as body_md5 from newest",
     "headings_read": f"with {_NEWEST} select docid as doc_id, md5(coalesce(headings, '') || chr(10) || coalesce(body, '')) as body_md5 from newest",
     "index_written": f"with {O._INDEX} select doc_id, sum(tf)::bigint as tokens, count(*) as terms from tfs group by doc_id",

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from termforge import catalogue as C
 from termforge.functions import text as T
-from termforge.operators import dataset, index, model, retrieval, sampling
+from termforge.operators import dataset, index, model, retrieval, sampling, trees
 from termforge.operators.document_features import text_features
 from termforge.operators.families import TitleShare, WordLengths, disagreements, with_families
 from termforge.operators.pair_features import checked_pairs
-from termforge.operators.query_features import query_frequencies
+from termforge.operators.query_features import noun_count, query_frequencies
 from termforge.operators.registry import described, joined_vector, vector
 from termforge.plans import predicates
 from termforge.plans.search import planned, search_rows
@@ -223,6 +223,32 @@ def streamed_features(spark, folder):
     return rows.select("doc_id", *[F.col(c).cast("double").alias(c) for c in rows.columns[1:]])
 
 
+TREES_JSON = {
+    "oblivious_trees": [
+        {"splits": [{"float_feature_index": 0, "border": 120.5}, {"float_feature_index": 2, "border": 40.5}], "leaf_values": [-0.5, 0.25, 0.125, 1.5]},
+        {"splits": [{"float_feature_index": 6, "border": 1.0}], "leaf_values": [0.75, -0.25]},
+        {"splits": [], "leaf_values": [0.0625]},
+    ],
+    "scale_and_bias": [0.5, [0.25]],
+}
+
+
+def tree_scores(spark, folder):
+    """An ensemble of trees written as JSON, read, and scored over the document features."""
+    path = new_path(spark, "trees") + ".json"
+    write_text_file(spark, path, json.dumps(TREES_JSON))
+    rows = C.corpus(spark, folder).select("doc_id", *[c.cast("float").alias(n) for n, c in text_features().items()])
+    found = trees.scored_by_trees(rows, trees.parse_trees(read_text_file(spark, path)), list(text_features()))
+    return found.select("doc_id", "raw", F.round("probability", 9).alias("probability"))
+
+
+def nouns_by_lexicon(spark, folder):
+    """Nouns of the queries with a lexicon read from lines of word and tag."""
+    path = new_path(spark, "lexicon") + ".txt"
+    write_text_file(spark, path, "bowls\tNNS\ncold\tJJ\nrun\tVB\nbeing\tNN\nkilns\tVBZ\n")
+    return C.query_set(spark, folder).select("query_id", noun_count("query", files.read_lexicon(spark, path)).alias("nouns"))
+
+
 # Conditions, lookups, samples
 
 
@@ -338,7 +364,7 @@ def feature_names(spark, folder):
     return spark.createDataFrame([(d["index"], d["name"], d["family"]) for d in described()], "place int, name string, family string")
 
 
-_NAMES = """corpus_shards_read headings_read index_written index_lookup queries_read candidate_lines_read ranked_lines_read lines_numbered relevance_read model_read dictionary_read query_log_read vectors_text_read vectors_binary_read
+_NAMES = """tree_scores nouns_by_lexicon corpus_shards_read headings_read index_written index_lookup queries_read candidate_lines_read ranked_lines_read lines_numbered relevance_read model_read dictionary_read query_log_read vectors_text_read vectors_binary_read
 vectors_inspected candidates_json_read sharded_read by_query_read dataset_read dataset_files stream_rows_read text_body_read streamed_features predicate_counts single_term_documents hit_counts candidate_entries compared_model_ranks
 pairs_above_both live_documents mandatory_pairs sorted_pairs split_by_rows limited_rows first_candidates nonzero_features standard_analysis json_fields family_values family_conditions feature_names""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

@@ -26,9 +26,18 @@ DICTIONARY_FEATURES = {n for n in DOCUMENT_FEATURES if "dictionary" in n} | {"Qu
 FREQUENCY_FEATURES = {n for n in QUERY_FEATURES if n.endswith("LogFrequency")}
 
 
-def setting(name: str, value: str | None, default: str | None = None) -> str | None:
-    """An option, else the environment variable TERMFORGE_<NAME>, else the default."""
-    return value if value is not None else os.environ.get(f"TERMFORGE_{name.upper()}", default)
+def setting(name: str, value: str | None, default: str | None = None, spark: SparkSession | None = None) -> str | None:
+    """An option, else the session's property spark.termforge.<name>, else the environment variable TERMFORGE_<NAME>, else the line <name>=... of the file
+    that TERMFORGE_CONFIG names, else the default."""
+    if value is not None:
+        return value
+    found = spark.conf.get(f"spark.termforge.{name}", None) if spark is not None else None
+    found = found or os.environ.get(f"TERMFORGE_{name.upper()}")
+    if found is None and (config := os.environ.get("TERMFORGE_CONFIG")):
+        with open(config, encoding="utf-8") as file:
+            lines = dict(x.strip().split("=", 1) for x in file if "=" in x and not x.lstrip().startswith("#"))
+        found = {k.strip(): v.strip() for k, v in lines.items()}.get(name)
+    return found if found is not None else default
 
 
 def needed_inputs(m: model.Model) -> set[str]:
@@ -96,6 +105,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dictionary")
     p.add_argument("--query-log")
     p.add_argument("--hot", action="store_true", help="prepare once and warm up")
+    p.add_argument("--explain", action="store_true", help="with the conjunctions that hold for each hit")
     p.add_argument("--repeat", type=int, default=1)
     p.add_argument("--output")
     return p
@@ -103,7 +113,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(arguments: list[str], spark: SparkSession | None = None) -> dict:
     options = parser().parse_args(arguments)
-    corpus, stored, model_file = setting("corpus", options.corpus), setting("index", options.index), setting("model", options.model)
+    corpus, stored, model_file = (setting(n, getattr(options, n), spark=spark) for n in ("corpus", "index", "model"))
     if not (corpus or stored) or not model_file:
         raise SystemExit("--model and one of --corpus and --index are required")
     if options.repeat < 1 or (options.limit or options.top_k or 1) < 1:
@@ -131,7 +141,13 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> dict:
         searched = time.perf_counter()
         texts = {r["doc_id"]: r.asDict() for r in hydrated(spark.createDataFrame([(h["doc_id"],) for h in found], "doc_id string"), docs).collect()} if found else {}
         ended = time.perf_counter()
-        timings = {"build_query": (built - began) * 1000, "search": (searched - built) * 1000, "fetch_documents": (ended - searched) * 1000}
+        active = {}
+        if options.explain and found:
+            rows, conditions = prepared or search.prepare(options.query, options.threshold)
+            active = {r["doc_id"]: [x.asDict() for x in r["active"]] for r in model.explained(rows.where(F.col("doc_id").isin([h["doc_id"] for h in found])), search.model, conditions).select("doc_id", "active").collect()}
+            found = [h | {"active": active.get(h["doc_id"], [])} for h in found]
+        told = time.perf_counter()
+        timings = {"build_query": (built - began) * 1000, "search": (searched - built) * 1000, "fetch_documents": (ended - searched) * 1000, "explain": (told - ended) * 1000}
         runs.append({"run": i + 1, "search_ms": sum(timings.values()), "timings_ms": timings, "result": {"query": options.query, "threshold": options.threshold, "returned": len(found), "limit_reached": not ranked and len(found) == most, "candidates": [h | {k: texts[h["doc_id"]][k] for k in ("title", "body")} for h in found if h["doc_id"] in texts]}})
     out = {"mode": "hot" if options.hot else "cold", "retrieval_mode": "ranked" if ranked else "first", "prepare_ms": prepare_ms, "runs": runs}
     if options.output:

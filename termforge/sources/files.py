@@ -103,6 +103,20 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(T.control_trim("value")).alias("word")).where("word <> ''").distinct()
 
 
+#: A lexicon is held by the plan, so it may have at most this many words.
+MOST_LEXICON = 100_000
+
+
+def read_lexicon(spark: SparkSession, path: str) -> dict[str, str]:
+    """Lower-cased word -> tag from lines of word and tag; of several tags of a word the first in order counts. A longer file is an error."""
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where(F.size(f) >= 2).select(F.lower(T.control_trim(F.get(f, 0))).alias("word"), T.control_trim(F.get(f, 1)).alias("tag")).where("word <> '' and tag <> ''").groupBy("word").agg(F.min("tag").alias("tag"))
+    found = rows.limit(MOST_LEXICON + 1).collect()
+    if len(found) > MOST_LEXICON:
+        raise ValueError(f"more than {MOST_LEXICON} words in {path}")
+    return {r["word"]: r["tag"] for r in found}
+
+
 def read_query_log(spark: SparkSession, path: str) -> DataFrame:
     """``query``: the second field of tab-separated lines; lines with fewer fields are skipped."""
     f = F.split("value", "\t")
