@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termforge.functions import text as T
 from termforge.functions.scores import length_code
-from termforge.plans.tables import cut, join_sized, new_path, shared_folder
+from termforge.plans.tables import cut, file_system, join_sized, new_path
 
 
 def indexable(docs: DataFrame) -> DataFrame:
@@ -97,6 +97,12 @@ def build_index(docs: DataFrame) -> Index:
 _STORED: dict[tuple[str, str], str] = {}
 
 
+def _whole(spark: SparkSession, path: str) -> bool:
+    """Whether the last table of a stored index is there: not before it is complete, and not after ``release``."""
+    files, there = file_system(spark, f"{path}/stats/_SUCCESS")
+    return files.exists(there)
+
+
 def stored_index(spark: SparkSession, key: str, docs: Callable[[], DataFrame]) -> Index:
     """The index of a collection named ``key``, built and written once per application to the shared folder and opened from there after that.
 
@@ -104,7 +110,7 @@ def stored_index(spark: SparkSession, key: str, docs: Callable[[], DataFrame]) -
     """
     name = spark.sparkContext.applicationId, key
     path = _STORED.get(name)
-    if path is None or not path.startswith(shared_folder(spark)):
+    if path is None or not _whole(spark, path):
         path = new_path(spark, "index")
         sized = _sized(docs())
         sized.write.parquet(f"{path}/tokens")

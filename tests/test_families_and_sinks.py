@@ -126,6 +126,21 @@ def test_shared_folder(spark):
     assert made.count() == 3 and fs.exists(path)
 
 
+def test_a_stored_index_is_built_once_and_again_after_release(spark):
+    built = []
+
+    def docs():
+        built.append(1)
+        return spark.createDataFrame([("d1", "t", "cat dog cat"), ("d2", "", "dog")], "doc_id string, title string, body string")
+
+    for _ in range(2):
+        terms = {r["term"]: (r["df"], r["ttf"]) for r in index.stored_index(spark, "test-collection", docs).terms.collect()}
+        assert terms == {"cat": (1, 2), "dog": (2, 2)}
+    assert len(built) == 1
+    tables.release(spark)
+    assert index.stored_index(spark, "test-collection", docs).stats.first()["num_docs"] == 2 and len(built) == 2
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Session:
         class conf:
