@@ -110,7 +110,11 @@ def value_pairs(df: DataFrame, record: str, value: str) -> DataFrame:
 
 
 def value_term_counts(pairs: DataFrame) -> DataFrame:
-    """``text_term_counts`` of ``record, term, n`` rows: hash-partitioned and ordered by record, then counted with last-seen counters."""
+    """``text_term_counts`` of ``record, term, n`` rows: hash-partitioned and ordered by record, then counted with last-seen counters.
+
+    The rows are combined by record and term before (``value_pairs``), as one record may hold a third of all occurrences and would
+    gather in one task; so a term comes once per record here, and the last-seen test holds for rows that are not combined.
+    """
     ordered = pairs.select("record", "term", "n").repartition("record").sortWithinPartitions("record")
     partial = ordered.mapInArrow(_count_values, "term string, occurrences bigint, records bigint")
     return _summed(partial)
