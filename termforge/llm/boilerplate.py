@@ -154,7 +154,7 @@ def _events(lines: list[str]) -> tuple[_Lines, bool]:
 
 _DIGITS = re.compile(r"\d+")
 _PARTS = re.compile(r"[|/•·›»>→←«‹\t]+|[.!?。]\s+|\s\s+")
-_EDGES = " []()«‹›»-–•*"
+_EDGES = " []()«‹›»-–•*.!?。"
 
 
 def parts(line: str, site: str | None) -> list[str]:
