@@ -13,6 +13,7 @@ from termforge.operators.document_features import document_features
 from termforge.operators.index import Index
 from termforge.operators.pair_features import pair_features
 from termforge.operators.query_features import query_features
+from termforge.operators.ranking import Packed
 from termforge.operators.retrieval import top_scores
 
 #: Fixed values: (family, its features), in the order of the columns.
@@ -43,14 +44,15 @@ def described() -> list[dict]:
     return [{"index": i, "name": n, "family": f} for i, (n, f) in enumerate(FEATURES)]
 
 
-def all_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame, index: Index, dictionary: DataFrame, frequencies: DataFrame, query_dictionary: DataFrame | None = None, nouns: bool = True) -> DataFrame:
+def all_features(pairs: DataFrame, queries: DataFrame, docs: DataFrame, index: Index, dictionary: DataFrame, frequencies: DataFrame, query_dictionary: DataFrame | None = None, nouns: bool = True, packed: Packed | None = None) -> DataFrame:
     """Pairs (``query_id, doc_id`` and other columns) with all features as floats, in order; ``nouns=False`` leaves out the noun count.
 
-    Features of a query or a document alone are worked out once per query or document and joined, not once per pair.
+    Features of a query or a document alone are worked out once per query or document and joined, not once per pair. Top scores are those over ``packed``,
+    or over the documents of the index.
     """
     found = pair_features(pairs, queries, docs, index.terms, index.stats, postings=index.postings)
     found = found.join(query_features(queries, query_dictionary if query_dictionary is not None else dictionary, frequencies, nouns=nouns), "query_id")
-    found = found.join(top_scores(queries, index), "query_id").join(document_features(docs, dictionary), "doc_id")
+    found = found.join(top_scores(queries, packed or index), "query_id").join(document_features(docs, dictionary), "doc_id")
     return found.select(*pairs.columns, *[n for n, _ in FEATURES if nouns or n != "QueryNounCount"])
 
 
